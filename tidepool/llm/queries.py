@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidepool.llm.decontamination import contained_items
+from tidepool.llm.hamming import embedding_links
 from tidepool.llm.jaccard import jaccard_components
+from tidepool.llm.mixing import mix_sources, quality_weights, word_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +19,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mix_sources(quality_weights(docs, _table(spark, sf_dir, "labels"))).drop("source")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
+    "op3_hamming": op3_hamming,
     "op4_jaccard": op4_jaccard,
 }
 
@@ -34,6 +54,60 @@ sets as (
   from words)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": r"""
+with best as (select doc_id, max(quality) as quality from labels group by doc_id),
+d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    -ln((cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 12) as bigint) + 0.5::double) / 281474976710656::double)
+      / case when quality >= 1 then 1.0::double when quality <= 0 then 0.25::double else 0.5::double end as key
+  from documents left join best using (doc_id)),
+s as (
+  select source, sum(size)::bigint as source_size,
+    ([5, 2, 1])[(row_number() over (order by source asc nulls last) - 1) % 3 + 1]::double as w
+  from d group by source),
+c as (select *, source_size * 2::double as cap from s),
+f as (
+  select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))
+    / sum(w) over (o rows between current row and unbounded following) as level
+  from c window o as (order by cap / w, source asc nulls last)),
+g as (select *, case when level <= cap / w then level end as ok from f),
+l as (select *, first_value(ok ignore nulls) over (order by cap / w, source asc nulls last rows between unbounded preceding and current row) as lv from g),
+t as (select source, source_size, coalesce(lv * w, cap) as target from l),
+p as (
+  select d.doc_id, d.size, t.source_size, t.target,
+    case when t.source_size > 0 then floor(t.target / t.source_size)::bigint else 0 end as full_,
+    coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id rows between unbounded preceding and 1 preceding), 0) as before
+  from d join t on d.source is not distinct from t.source)
+select doc_id, cast(size as bigint) as size, source_size, target,
+  cast(full_ * size + least(size, greatest(0, floor(target)::bigint - full_ * source_size - before)) as bigint) as taken
+from p""",
+    "op2_decontamination": f"""
+with {_SHINGLES},
+item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from benchmark),
+item_sets as (
+  select item_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+  from item_words),
+items as (select item_id, len(s) as n, unnest(s) as e from item_sets),
+elements as (select doc_id, unnest(s) as e from sets)
+select doc_id, item_id, cast(any_value(n) as bigint) as n_item, count(*) as n_shared, count(*) / any_value(n)::double as containment
+from elements join items using (e) group by doc_id, item_id having 100 * count(*) >= 75 * any_value(n)""",
+    "op3_hamming": """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+    and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+low as (select a, min(b) as lo from reach group by a),
+n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, least(vec_id, coalesce(lo, vec_id)) as component_id,
+  vec_id <= coalesce(lo, vec_id) as kept
+from embeddings e left join low on low.a = e.vec_id left join n on n.a = e.vec_id""",
     "op4_jaccard": f"""
 with recursive {_SHINGLES},
 elements as (select doc_id, len(s) as n, md5(unnest(s)) as e from sets),
