@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from tidepool.llm.decontamination import contained_items
 from tidepool.llm.hamming import embedding_links
 from tidepool.llm.jaccard import jaccard_components
+from tidepool.llm.language import identify_languages
+from tidepool.llm.licenses import COPYRIGHT_LINE, SPELLINGS, scan_licenses
+from tidepool.llm.license_texts import TEXTS
 from tidepool.llm.mixing import mix_sources, quality_weights, word_count
+from tidepool.llm.tokens import count_tokens
+from tidepool.llm.toxicity import held_out, labelled_lexicon, score_toxicity
+from tidepool.llm.urls import filter_urls
+from tidepool.llm.warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,13 +43,72 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+#: Fixed values: (host, path, verdict).
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return filter_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, labelled_lexicon(docs, _table(spark, sf_dir, "labels")), extra=[held_out()])
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_hamming": op3_hamming,
     "op4_jaccard": op4_jaccard,
+    "op5_urls": op5_urls,
+    "op6_language": op6_language,
+    "op7_licenses": op7_licenses,
+    "op8_tokens": op8_tokens,
+    "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical form of licence texts in DuckDB."""
+    t = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    t = f"regexp_replace({t}, {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    t = f"' ' || regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+    for one, other in SPELLINGS:
+        t = f"replace({t}, ' {one} ', ' {other} ')"
+    return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+
+
 #: Words, shingle sets and links as in the operator; components by repeated reach.
 _SHINGLES = r"""
 words as (
@@ -120,4 +186,22 @@ links as (select a, b from common where 100 * k >= 75 * (na + nb - k)),
 reach as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b)
 select d.doc_id, cast(len(s) as bigint) as n_shingles, least(d.doc_id, coalesce(m.lo, d.doc_id)) as component_id
 from sets d left join (select a, min(b) as lo from reach group by a) m on m.a = d.doc_id""",
+    "op5_urls": f"""
+with r(host, path, verdict) as (values {", ".join(str(r) for r in URL_RULES)}),
+s as (select page_id, case when contains(url, '://') then url[position('://' in url) + 3:] else '' end as rest from pages),
+h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as host from s),
+p as (
+  select page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest[len(host) + 1:], '^[^?#]*') as path
+  from h)
+select page_id, any_value(p.host) as host, any_value(p.path) as path, max_by(r.host || r.path, len(r.host || r.path)) as rule,
+  coalesce(max_by(r.verdict, len(r.host || r.path)), 'allow') as verdict
+from p left join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+group by page_id""",
+    "op7_licenses": f"""
+with known(license_id, digest) as (
+  select min(k), sha256({_canonical_sql("t")}) from (values {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in TEXTS.items())}) v(k, t) group by 2),
+forms as (select doc_id, {_canonical_sql("text")} as form from documents),
+d as (select doc_id, case when form <> '' then sha256(form) end as digest, len(form)::bigint as n_canonical from forms)
+select doc_id, d.digest, n_canonical, license_id from d left join known on known.digest = d.digest""",
 }
