@@ -1,11 +1,12 @@
-"""Runs of rows in Arrow streams that are sorted by a column."""
+"""Batches of rows in Arrow streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def by_key(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -24,3 +25,43 @@ def by_key(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int,
             held.append(b.slice(a, z - a))
     if held:
         yield at, pa.concat_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], name: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `rows` rows or more that hold all rows of each value of `name`, in a sorted stream."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        v = b[name].to_numpy(zero_copy_only=False)
+        if not len(v):
+            continue
+        if size >= rows:
+            # the last value held may go on in this batch
+            last = held[-1][name][len(held[-1]) - 1].as_py()
+            differs = np.flatnonzero(v != last)
+            cut = int(differs[0]) if differs.size else len(v)
+            if cut:
+                held.append(b.slice(0, cut))
+            if cut < len(v):
+                yield pa.concat_batches(held)
+                held, size = [b.slice(cut)], len(v) - cut
+            continue
+        held.append(b)
+        size += len(v)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def keep_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list], Sequence[bool]]]) -> DataFrame:
+    """The rows of `df`, with all their columns, for whose values of `column` the test holds.
+
+    `keep` is called once in each task and returns the test of a batch of values.
+    """
+    names, at = df.columns, df.columns.index(column)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = keep()
+        for b in batches:
+            yield b.filter(pa.array(test(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(kept, df.toDF(*[f"c{k}" for k in range(len(names))]).schema).toDF(*names)

@@ -18,11 +18,12 @@ partner agrees on at least k, so one of the m - k + 1 rarest is common to
 both: keys of passages that many documents share are hardly ever used.  Sets
 whose blocks are too crowded for this also give keys of one shingle each.
 
-Work is by distinct set (copies are one vertex).  Links are found in two
-steps: cheap ones to a pivot of each key group, which unite most members of
-large groups of near copies, then, for every key whose members are not yet in
-one component, all pairs across components that pass the Hamming bound.  Both
-are verified on the whole sets.  Only pairs within one component are ever
+Work is by distinct set (copies are one vertex).  Links are found in steps:
+cheap ones to a pivot of each key group, and to the likeliest partners among
+the members of a few keys, which unite most members of large groups of near
+copies, then, for every key whose members are not yet in one component, all
+pairs across components that pass the Hamming bound.  All are verified on the
+whole sets.  Only pairs within one component are ever
 left out, so components are exact; groups over BLOCK members are compared in
 blocks by several tasks.
 """
@@ -33,9 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.arrow import by_key, whole_groups
 from tidepool.llm.components import connected_components
 from tidepool.llm.shared import Scratch, shuffle_partitions
 from tidepool.llm.shingles import mix, shingles
@@ -44,6 +47,8 @@ from tidepool.llm.shingles import mix, shingles
 LEAST = 75
 #: Keys of a set that start a cheap link to a pivot.
 PIVOT_KEYS = 3
+#: Rounds that look for more cheap links among the members of those keys, and how many each member tries.
+THIN_ROUNDS, BEST = 2, 3
 #: Salts of a pivot's group.
 SALTS = 64
 #: Members of a key group that one task compares at a time.
@@ -103,11 +108,6 @@ def parity_sketch(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
-def fold(sketch: np.ndarray, size: int) -> np.ndarray:
-    """A sketch of `size` bytes from a larger one: its parts XOR-ed together."""
-    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
-
-
 def _sketch_bytes(band: int) -> int:
     return max(1, (4 << band) // 8)
 
@@ -171,26 +171,8 @@ def _key_blobs(buckets: int):
     return blobs
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The rows of each value of `name`, in a stream that is sorted by it."""
-    held, at = [], None
-    for b in batches:
-        v = b[name].to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
-        for a, z in zip(cuts[:-1], cuts[1:]):
-            if a == z:
-                continue
-            if held and v[a] != at:
-                yield at, pa.concat_batches(held)
-                held = []
-            at = v[a]
-            held.append(b.slice(a, z - a))
-    if held:
-        yield at, pa.concat_batches(held)
-
-
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, b in _by_key(batches, "bucket"):
+    for _, b in by_key(batches, "bucket"):
         head = np.concatenate([np.frombuffer(x, dtype=_RUN) for x in b["runs"].to_pylist()])
         keys = np.concatenate([np.frombuffer(x, dtype=_U) for x in b["keys"].to_pylist()])
         run = np.repeat(np.arange(head.size), head["count"])
@@ -256,39 +238,84 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_both.mapInArrow(_verified, "src long, dst long")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a key's members from different components that pass the size and Hamming bounds."""
-    for _, b in _by_key(batches, "group"):
-        view = b["view"][0].as_py() % _FINE
-        size = _sketch_bytes(view)
-        node, root, n = (b[c].to_numpy() for c in ("node", "root", "n"))
-        part, low, high = (b[c].to_numpy() for c in ("part", "low", "high"))
-        sketch = np.stack([fold(np.frombuffer(x.as_buffer(), np.uint8), size) for x in b["sketch"]])
-        words = sketch.view(np.uint64) if size % 8 == 0 else sketch
-        order = np.argsort(root, kind="stable")
-        node, root, n, part, words = node[order], root[order], n[order].astype(np.int64), part[order], words[order]
-        cuts = np.concatenate(([0], np.flatnonzero(root[1:] != root[:-1]) + 1, [root.size]))
-        src, dst = [], []
-        # the members of the largest component are never the ones that go round
-        largest = int(np.argmax(np.diff(cuts)))
-        done = np.zeros(root.size, bool)
-        for c in sorted(range(cuts.size - 1), key=lambda c: int(cuts[c + 1] - cuts[c])):
-            if c == largest:
-                continue
-            done[cuts[c] : cuts[c + 1]] = True
-            rest = np.flatnonzero(~done)
-            for i in range(cuts[c], cuts[c + 1]):
-                ok = rest[(100 * np.minimum(n[i], n[rest]) >= LEAST * np.maximum(n[i], n[rest]))]
-                if low[0] != high[0]:  # a pair of two blocks; pairs within one are another group's
-                    ok = ok[part[ok] != part[i]]
-                far = np.bitwise_count(words[ok] ^ words[i]).sum(axis=1, dtype=np.int64)
-                ok = ok[far * (100 + LEAST) <= (n[ok] + n[i]) * (100 - LEAST)]
-                if ok.size:
-                    dst.append(node[ok])
-                    src.append(np.full(ok.size, node[i]))
-        if src:
-            a, z = np.concatenate(src), np.concatenate(dst)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], ["src", "dst"])
+def _folded(column: pa.Array, size: int) -> np.ndarray:
+    """Sketches of `size` bytes each, as rows of words."""
+    lengths = pc.binary_length(column).to_numpy()
+    out = np.empty((len(column), size), np.uint8)
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        rows = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), np.uint8).reshape(at.size, n // size, size)
+        out[at] = np.bitwise_xor.reduce(rows, axis=1)
+    return out.view(np.uint64) if size % 8 == 0 else out
+
+
+def _across(best: int):
+    """Pairs of a key's members from different components that pass the size and Hamming bounds.
+
+    With `best` over 0, only that many of each member, those with the most room
+    under the bound, and none between blocks.
+    """
+
+    def pairs_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        group, node, root = (b[c].to_numpy() for c in ("group", "node", "root"))
+        n, part = b["n"].to_numpy().astype(np.int64), b["part"].to_numpy()
+        two = b["low"].to_numpy() != b["high"].to_numpy()
+        words = _folded(b["sketch"], _sketch_bytes(b["view"][0].as_py() % _FINE))
+        left, room, found = np.arange(len(node) - 1), [], []
+        step = 1
+        while left.size:
+            left = left[left < len(node) - step]
+            left = left[group[left] == group[left + step]]
+            i = left[root[left] != root[left + step]]
+            j = i + step
+            ok = (100 * np.minimum(n[i], n[j]) >= LEAST * np.maximum(n[i], n[j])) & (~two[i] | (part[i] != part[j]))
+            i, j = i[ok], j[ok]
+            far = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+            slack = (n[i] + n[j]) * (100 - LEAST) - far * (100 + LEAST)
+            ok = slack >= 0
+            found.append(np.stack((i[ok], j[ok])))
+            room.append(slack[ok] / (n[i] + n[j])[ok])
+            step += 1
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        (i, j), r = np.concatenate(found, axis=1), np.concatenate(room)
+        if best and i.size:
+            x, y, r = np.concatenate((i, j)), np.concatenate((j, i)), np.concatenate((r, r))
+            order = np.lexsort((-r, x))
+            x, y = x[order], y[order]
+            start = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            rank = np.arange(x.size) - np.repeat(start, np.diff(np.concatenate((start, [x.size]))))
+            i, j = x[rank < best], y[rank < best]
+        return node[i], node[j]
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in whole_groups(batches, "group", 20_000):
+            for view in np.unique(chunk["view"].to_numpy()).tolist():
+                own = chunk.filter(pa.array(chunk["view"].to_numpy() == view))
+                a, z = pairs_of(own)
+                both = np.unique(np.stack((np.minimum(a, z), np.maximum(a, z))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["src", "dst"])
+
+    return across
+
+
+def _candidates(members: DataFrame, roots: DataFrame, sets: DataFrame, best: int, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs to verify (src, dst) among the members (key, view, node) of keys that join several components."""
+    parts = shuffle_partitions(members.sparkSession)
+    members = members.join(roots, "node", "left").select("key", "view", "node", F.coalesce("root", "node").alias("root"))
+    members = scratch.save(members, f"{name}-members")
+    mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    mixed = scratch.save(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), f"{name}-mixed")
+    own = members.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1) if not best else F.array("part")
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    dealt = (
+        own.withColumn("other", F.explode(others))
+        .select("view", "node", "root", "part", low.alias("low"), high.alias("high"), F.xxhash64("key", low, high).alias("group"))
+        .join(sets.select("node", "n", "sketch"), "node")
+    )
+    pairs = dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_across(best), "src long, dst long").distinct()
+    return scratch.save(pairs, f"{name}-pairs")
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -336,24 +363,15 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
         near.groupBy("key").agg(F.min("pivot").alias("src"), F.collect_set("pivot").alias("all")).select("src", F.explode("all").alias("dst"))
     )
     links = scratch.save(_verify(stars.where("src <> dst").distinct(), sets), "links")
-    roots = scratch.save(connected_components(links, scratch, "first"), "roots")
-
-    members = (
-        shared.select("node", "view", F.explode("rarest").alias("key")).join(roots, "node", "left")
-        .select("key", "view", "node", F.coalesce("root", "node").alias("root"))
-    )
-    members = scratch.save(members, "members")
-    mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    mixed = scratch.save(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "mixed")
-    blocks = (
-        members.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("view", "node", "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("group"))
-        .join(sets.select("node", "n", "sketch"), "node")
-    )
-    pairs = blocks.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_across, "src long, dst long").distinct()
-    more = scratch.save(_verify(pairs, sets), "more")
-    scratch.drop("sets", "members", "mixed", "near", "shared")
+    cheap = shared.select("node", "view", F.explode("pivots").alias("key"))
+    for k in range(THIN_ROUNDS):
+        roots = scratch.save(connected_components(links, scratch, f"thin{k}"), f"roots{k}")
+        more = _verify(_candidates(cheap, roots, sets, BEST, scratch, f"thin{k}"), sets)
+        links = scratch.save(links.unionByName(more), f"links{k}")
+    roots = scratch.save(connected_components(links, scratch, "most"), "roots")
+    rarest = shared.select("node", "view", F.explode("rarest").alias("key"))
+    more = scratch.save(_verify(_candidates(rarest, roots, sets, 0, scratch, "all"), sets), "more")
+    scratch.drop("sets", "all-members", "all-mixed", "all-pairs", "near", "shared")
 
     roots = connected_components(links.unionByName(more), scratch, "last")
     names = roots.join(classes, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -364,3 +382,16 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     return profile.join(component, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (with columns doc_id, text), one of each component: that with the smallest doc_id.
+
+    Rows without a doc_id all stay; of rows that repeat a doc_id and text one
+    stays.
+    """
+    found = jaccard_components(docs)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    both = docs.where("doc_id is not null").join(kept, "doc_id")
+    kept = both.where("_rows = 1").unionByName(both.where("_rows > 1").dropDuplicates(["doc_id", "text"]))
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
