@@ -15,13 +15,15 @@ The benchmark is a stated query set.  It is broadcast in blocks of at most
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.arrow import keep_rows
 from tidepool.llm.shingles import mix, shingles
 
 _U = np.uint64
@@ -72,6 +74,20 @@ def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _item_blocks(items: DataFrame, percent: int, block_shingles: int) -> Iterator[Broadcast]:
+    """Indexes of all items, in blocks by a hash of item_id that hold about `block_shingles` shingles."""
+    spark = items.sparkSession
+    sets = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
+        _item_sets, "item_id long, n long, elements binary"
+    ).where("n > 0").persist()
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // block_shingles))
+    for k in range(blocks):
+        rows = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
+        yield spark.sparkContext.broadcast(ItemIndex([(r["item_id"], np.frombuffer(bytes(r["elements"]), _U)) for r in rows], percent))
+    sets.unpersist()
+
+
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, block_shingles: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) for each document and item it contains.
 
@@ -82,17 +98,9 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, block_
     null item_id is left out.  Repeated rows on either side give repeated
     results.  Empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    sets = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(
-        _item_sets, "item_id long, n long, elements binary"
-    ).where("n > 0").persist()
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-total // block_shingles))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for k in range(blocks):
-        rows = sets.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r["item_id"], np.frombuffer(bytes(r["elements"]), _U)) for r in rows], percent))
+    for index in _item_blocks(items, percent, block_shingles):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
@@ -108,5 +116,15 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, block_
 
         part = texts.mapInArrow(search, "doc_id long, item_id long, n_item long, n_shared long, containment double")
         found = part if found is None else found.unionByName(part)
-    sets.unpersist()
     return found
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, block_shingles: int = 2_000_000) -> DataFrame:
+    """The rows of `docs` (with a column text) that contain no item, with all their columns."""
+    for index in _item_blocks(items, percent, block_shingles):
+
+        def test(index=index) -> Callable[[list], list[bool]]:
+            return lambda texts: [next(index.value.found(s), None) is None for s in shingles(texts)]
+
+        docs = keep_rows(docs, "text", test)
+    return docs

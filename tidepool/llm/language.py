@@ -11,7 +11,7 @@ calibrates the scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.arrow import keep_rows
 from tidepool.llm.shared import Scratch
 
 BITS = 14
@@ -62,6 +63,13 @@ class LanguageModel:
         at, x = self.features(text)
         return x @ self.weights[at] + self.weights[SIZE]
 
+    def predict(self, text: str | None) -> tuple[str, float]:
+        if not self.langs or not has_letter(text):
+            return UNKNOWN, 0.0
+        p = softmax(self.logits(text) / self.temperature)
+        k = int(np.argmax(p))
+        return self.langs[k], float(p[k])
+
 
 def tf_idf(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(counts)
@@ -174,16 +182,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, extra: list[Column]
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            found, scores = [], []
-            for t in b["text"].to_pylist():
-                if m.langs and has_letter(t):
-                    p = softmax(m.logits(t) / m.temperature)
-                    k = int(np.argmax(p))
-                    found.append(m.langs[k])
-                    scores.append(float(p[k]))
-                else:
-                    found.append(UNKNOWN)
-                    scores.append(0.0)
+            got = [m.predict(t) for t in b["text"].to_pylist()]
+            found, scores = [x[0] for x in got], [x[1] for x in got]
             yield pa.RecordBatch.from_arrays(
                 [*(b[n] for n in names), pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"]
             )
@@ -195,13 +195,28 @@ def predict_language(docs: DataFrame, model: LanguageModel, extra: list[Column]
     return rows.mapInArrow(predict, schema)
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether crc32 of doc_id as text leaves 2 by 4; rows without a doc_id are held out, too."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang) that may be learned from: not held out, with a lang and a letter."""
+    return docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+
+
 def identify_languages(docs: DataFrame, fit_rows: int = 8000) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of `docs` (doc_id, text, lang).
+    """(doc_id, held_out, lang_pred, score) for every row of `docs` (doc_id, text, lang)."""
+    model = fit_language_model(training_rows(docs), fit_rows)
+    return predict_language(docs, model, [held_out(F.col("doc_id")).alias("held_out")])
 
-    Held out are rows whose crc32 of doc_id as text leaves 2 by 4, those
-    without a doc_id, too; the others that have a text with a letter and a lang
-    are learned from.
-    """
-    fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
-    train = docs.where(~fold & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    return predict_language(docs, fit_language_model(train, fit_rows), [fold.alias("held_out")])
+
+def drop_unidentified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` (with a column text) in a known language with a score of `least`, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def test() -> Callable[[list], list[bool]]:
+        m = shared.value
+        return lambda texts: [lang != UNKNOWN and score >= least for lang, score in map(m.predict, texts)]
+
+    return keep_rows(docs, "text", test)

@@ -15,7 +15,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.arrow import keep_rows
 from tidepool.llm.shared import Scratch
 
 #: Letters of other scripts that look like Latin ones.
@@ -126,6 +127,10 @@ def features(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, floa
     return math.log1p(total), math.log1p(10 * total / math.sqrt(words + 20))
 
 
+def _probability(found: tuple[float, float], c: np.ndarray) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * found[0] + c[2] * found[1]))))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(30):
@@ -198,12 +203,9 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, ex
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, (c0, c1, c2) = shared.value.automaton(), shared.value.coefficients
+        a, c = shared.value.automaton(), shared.value.coefficients
         for b in batches:
-            out = []
-            for t in b["text"].to_pylist():
-                x, y = features(fold(t), a)
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c0 + c1 * x + c2 * y)))))
+            out = [_probability(features(fold(t), a), c) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(out, pa.float64())], [*names, "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(extra or []))
@@ -213,6 +215,17 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, ex
     return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs` (with a column text) that score under `threshold`, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def test() -> Callable[[list], list[bool]]:
+        a, c = shared.value.automaton(), shared.value.coefficients
+        return lambda texts: [_probability(features(fold(t), a), c) < threshold for t in texts]
+
+    return keep_rows(docs, "text", test)
+
+
 def labelled_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 16_000, scratch: Scratch | None = None) -> Lexicon:
     """A lexicon from documents whose doc_id is not held out: crc32 of it as text does not leave 1 by 3.
 
