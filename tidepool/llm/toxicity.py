@@ -161,7 +161,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def fit_lexicon(sample: DataFrame, least_documents: int = 5, least_log_odds: float = 2.5, most_terms: int = 20_000) -> Lexicon:
+def fit_lexicon(sample: DataFrame, least_documents: int = 5, least_log_odds: float = 1.5, most_terms: int = 20_000) -> Lexicon:
     """A lexicon from a bounded sample (doc_id, text, toxic 0 or 1), none null.
 
     Three quarters, by a hash of doc_id, are for the terms and the rest to
