@@ -33,8 +33,12 @@ BLOCK = 1000
 
 
 def learn_rotation(x: np.ndarray, rounds: int = 50, seed: int = 7) -> np.ndarray:
-    """The rotation of principal axes that brings centred rows closest to the corners of a cube."""
-    axes = np.linalg.svd(np.cov(x, rowvar=False))[0] if len(x) > 1 else np.eye(x.shape[1])
+    """The rotation of principal axes that brings rows closest to the corners of a cube.
+
+    Rows are not centred: angles are about the origin, and a mean that lies in
+    a large group of near copies would make their codes random.
+    """
+    axes = np.linalg.svd(x.T @ x)[0]
     v = x @ axes
     r = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1], x.shape[1])))[0]
     for _ in range(rounds):
@@ -58,7 +62,7 @@ def unit_rows(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _coded(mean: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int):
+def _coded(rotations: list[np.ndarray], bits: int, tables: int):
     power = 1 << np.arange(bits, dtype=np.int64)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +70,7 @@ def _coded(mean: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int
             if not b.num_rows:
                 continue
             x = unit_rows(b["embedding"])
-            signs = np.concatenate([(x - mean) @ r >= 0 for r in rotations], axis=1)[:, : bits * tables]
+            signs = np.concatenate([x @ r >= 0 for r in rotations], axis=1)[:, : bits * tables]
             parts = signs.reshape(len(x), tables, bits) @ power
             yield pa.RecordBatch.from_arrays(
                 [b["rep"], b["label"], b["copies"], b["embedding"],
@@ -138,11 +142,10 @@ def embedding_links(
         share = min(1.0, fit_rows / many)
         sample = own.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)).select("embedding").toArrow()
         fit = unit_rows(sample["embedding"].combine_chunks()) if sample.num_rows else np.zeros((1, width))
-        mean = fit.mean(axis=0)
         bits, tables = plan_tables(many, least, miss)
-        rotations = [learn_rotation(fit - mean, seed=k) for k in range(-(-bits * tables // width))]
+        rotations = [learn_rotation(fit, seed=k) for k in range(-(-bits * tables // width))]
         coded = own.select("rep", "label", "copies", "embedding").mapInArrow(
-            _coded(mean, rotations, bits, tables), "rep long, label string, copies long, embedding array<double>, parts array<int>"
+            _coded(rotations, bits, tables), "rep long, label string, copies long, embedding array<double>, parts array<int>"
         )
         coded = scratch.save(coded, f"coded{width}")
         keys = coded.select("rep", F.posexplode("parts").alias("table", "code"), "label")
