@@ -1,12 +1,413 @@
-"""The registered queries of the market operators, and their SQL."""
+"""The registered queries of the market operators, and their SQL.
+
+Symbols are the 25 brands of the line items, or brand and supplier nation for
+many short series with gaps.  Ratios are rounded to six decimals on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import functions as F
+
+from tidepool.functions.series import (
+    drawdown, ffill, moving_average, moving_std, pct_change, rebase, rolling_slope, rolling_zscore, series, with_ewm, with_rsi,
+)
+from tidepool.operators import allocation, calendar, performance, returns
+from tidepool.plans.books import book_prices, inverse_variance_book
+from tidepool.sources.bars import daily_bars, load_bars
+from tidepool.sources.scratch import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
+
+
+def _w() -> WindowSpec:
+    return series("symbol")
+
+
+def _series_query(**named: Callable[[WindowSpec], Column]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = daily_bars(spark, sf_dir).select("symbol", "date", *[f(_w()).alias(n) for n, f in named.items()])
+        return _round(rows, *named)
+
+    return query
+
+
+def flagship_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sized inverse-variance book of the brands, from weekly bars."""
+    return _round(inverse_variance_book(book_prices(daily_bars(spark, sf_dir)), least=0.3), "price", "weight", "value")
+
+
+def q_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(daily_bars(spark, sf_dir, by_nation=True), "open", "high", "low", "close")
+
+
+def q_load_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load_bars(daily_bars(spark, sf_dir), ["Brand#11", "Brand#23", "Brand#55"], "1994-01-01", "1996-12-31")
+    return _round(rows, "open", "high", "low", "close")
+
+
+def q_resample_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(calendar.resample_weekly(daily_bars(spark, sf_dir, by_nation=True)), "open", "high", "low", "close")
+
+
+def q_ewm_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_ewm(daily_bars(spark, sf_dir).select("symbol", "date", "close"), ["symbol"], {"ema9": ("close", 0.2), "ema21": ("close", 2 / 22)})
+    return _round(rows.drop("close"), "ema9", "ema21")
+
+
+def q_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(with_rsi(daily_bars(spark, sf_dir).select("symbol", "date", "close"), ["symbol"]).drop("close"), "rsi")
+
+
+def q_align_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = daily_bars(spark, sf_dir, by_nation=True).select("symbol", "date", "close", "volume")
+    return _round(calendar.align_calendar(rows, ["close", "volume"]), "close")
+
+
+def q_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = daily_bars(spark, sf_dir, by_nation=True).select("symbol", "date", "close")
+    return calendar.fill_report(rows, calendar.align_calendar(rows, ["close"]), "close")
+
+
+def q_weekly_onto_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = daily_bars(spark, sf_dir, by_nation=True)
+    weekly = calendar.resample_weekly(bars).select("symbol", "week", F.col("close").alias("weekly_close"))
+    return _round(calendar.weekly_onto_daily(bars.select("symbol", "date"), weekly, ["weekly_close"]), "weekly_close")
+
+
+def q_warmup_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.warmup_skip(daily_bars(spark, sf_dir).select("symbol", "date", "volume"), 200)
+
+
+def q_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = daily_bars(spark, sf_dir, by_nation=True)
+    grid = calendar.calendar_of(bars).join(bars.select("symbol").distinct()).join(bars.select("symbol", "date", "close"), ["symbol", "date"], "left")
+    return _round(grid.select("symbol", "date", ffill(F.col("close"), _w()).alias("close")), "close")
+
+
+def _weekly_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(book_prices(daily_bars(spark, sf_dir)))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(returns.pair_moments(materialise(returns.returns_matrix(_weekly_book(spark, sf_dir), least=0.3))))
+
+
+def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = book_prices(daily_bars(spark, sf_dir, by_nation=True))
+    return _round(returns.coverage(returns.tail_dates(returns.returns_of(prices, pad=False), 252)), "coverage")
+
+
+def q_returns_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(returns.returns_matrix(_weekly_book(spark, sf_dir), least=0.3), "r", places=9)
+
+
+def q_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(_pairs(spark, sf_dir).drop("sq"), "cov", "corr", places=9)
+
+
+def q_shrunk_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(returns.shrunk_covariance(_pairs(spark, sf_dir)), "shrinkage", "cov", places=8)
+
+
+def q_correlation_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(returns.correlation_distance(_pairs(spark, sf_dir)), "dist")
+
+
+def q_inverse_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(allocation.inverse_variance(_pairs(spark, sf_dir)), "weight")
+
+
+def q_equal_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(allocation.equal_weights(_weekly_book(spark, sf_dir)), "weight")
+
+
+def q_risk_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _weekly_book(spark, sf_dir)
+    return _round(allocation.risk_contributions(_pairs(spark, sf_dir), allocation.equal_weights(prices)), "share")
+
+
+def q_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = returns.rank_z(returns.momentum(_weekly_book(spark, sf_dir)), "momentum")
+    return _round(rows, "momentum", "z")
+
+
+def q_momentum_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _weekly_book(spark, sf_dir)
+    z = returns.rank_z(returns.momentum(prices), "momentum")
+    return _round(allocation.momentum_tilt(allocation.equal_weights(prices), z), "weight")
+
+
+def q_cap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(allocation.cap_weights(allocation.inverse_variance(_pairs(spark, sf_dir)), 0.041), "weight")
+
+
+def q_erc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(allocation.equal_risk_contributions(_pairs(spark, sf_dir)), "weight")
+
+
+def q_erc_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variance parts of the equal-risk book: all the same."""
+    pairs = _pairs(spark, sf_dir)
+    return _round(allocation.risk_contributions(pairs, materialise(allocation.equal_risk_contributions(pairs))), "share")
+
+
+def q_hrp_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(allocation.hierarchical_risk_parity(_pairs(spark, sf_dir)), "weight")
+
+
+def q_ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return allocation.ward_clusters(returns.correlation_distance(_pairs(spark, sf_dir)))
+
+
+def q_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = returns.correlation_distance(_pairs(spark, sf_dir))
+    return _round(allocation.silhouettes(d, materialise(allocation.ward_clusters(d))), "silhouette")
+
+
+def _book_returns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    weekly = calendar.resample_weekly(daily_bars(spark, sf_dir)).withColumnRenamed("week", "date")
+    return weekly.select(F.col("symbol").alias("book_id"), "date", pct_change(F.col("close"), _w()).alias("r")), _benchmark(weekly)
+
+
+def _benchmark(weekly: DataFrame) -> DataFrame:
+    """Returns of the weekly mean close."""
+    mean = weekly.groupBy("date").agg(F.avg("close").alias("close"))
+    return mean.select("date", pct_change(F.col("close"), Window.partitionBy(F.lit(1)).orderBy("date")).alias("b")).where("b is not null")
+
+
+METRICS = (
+    "total_return", "cagr", "volatility", "max_drawdown", "sharpe", "sortino", "calmar", "var_95", "var_99", "cvar_95", "win_rate", "best", "worst", "skewness",
+    "kurtosis", "profit_factor", "beta", "benchmark_return", "alpha", "correlation", "r_squared", "tracking_error", "info_ratio", "treynor",
+)
+
+
+def q_performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, b = _book_returns(spark, sf_dir)
+    return _round(performance.performance_metrics(r, b), *METRICS)
+
+
+def q_value_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weekly = calendar.resample_weekly(daily_bars(spark, sf_dir)).withColumnRenamed("week", "date")
+    held = weekly.groupBy("symbol").agg(F.min_by("close", "date").alias("c")).select(F.lit("all").alias("book_id"), "symbol", F.floor(F.lit(4000.0) / F.col("c")).alias("units"))
+    return _round(performance.value_book(weekly.select("symbol", "date", "close"), held), "value", places=4)
+
+
+def q_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = daily_bars(spark, sf_dir)
+    return _round(rows.select("symbol", "date", drawdown(F.col("close"), _w()).alias("drawdown"), rebase(F.col("close"), _w()).alias("rebased")), "drawdown", "rebased")
+
+
+def q_rolling_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = daily_bars(spark, sf_dir).withColumn("pos", F.row_number().over(_w()).cast("double"))
+    return _round(rows.select("symbol", "date", rolling_slope(F.col("volume"), F.col("pos"), _w()).alias("slope")), "slope")
+
+
+QUERIES: dict[str, Query] = {
+    "flagship_book": flagship_book,
+    "daily_bars": q_daily_bars,
+    "load_bars": q_load_bars,
+    "resample_weekly": q_resample_weekly,
+    "pct_change": _series_query(r=lambda w: pct_change(F.col("close"), w)),
+    "moving_average": _series_query(**{f"ma{n}": lambda w, n=n: moving_average(F.col("close"), w, n) for n in (20, 90, 200)}),
+    "moving_std": _series_query(dev20=lambda w: moving_std(F.col("close"), w, 20)),
+    "rolling_zscore": _series_query(z=lambda w: rolling_zscore(F.col("close"), w)),
+    "ewm_mean": q_ewm_mean,
+    "rsi": q_rsi,
+    "align_calendar": q_align_calendar,
+    "fill_report": q_fill_report,
+    "weekly_onto_daily": q_weekly_onto_daily,
+    "warmup_skip": q_warmup_skip,
+    "ffill": q_ffill,
+    "drawdown": q_drawdown,
+    "rolling_slope": q_rolling_slope,
+    "coverage": q_coverage,
+    "returns_matrix": q_returns_matrix,
+    "covariance": q_covariance,
+    "ledoit_wolf": q_shrunk_covariance,
+    "correlation_distance": q_correlation_distance,
+    "inverse_variance": q_inverse_variance,
+    "equal_weights": q_equal_weights,
+    "risk_contributions": q_risk_contributions,
+    "momentum_12_1": q_momentum,
+    "momentum_tilt": q_momentum_tilt,
+    "cap_weights": q_cap_weights,
+    "erc_weights": q_erc_weights,
+    "erc_shares": q_erc_shares,
+    "hrp_weights": q_hrp_weights,
+    "ward_clusters": q_ward_clusters,
+    "silhouettes": q_silhouettes,
+    "value_book": q_value_book,
+    "performance_metrics": q_performance_metrics,
+}
+
+_PRINTS = """prints as (
+  select {symbol} as symbol, cast(l_shipdate as date) as date, p_retailprice * (1 - l_discount) as px, l_quantity as q,
+    row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount) as k
+  from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey),
+bars as (
+  select symbol, date, arg_min(px, k) as open, max(px) as high, min(px) as low, arg_max(px, k) as close, sum(q) as volume
+  from prints group by symbol, date)"""
+_BARS = _PRINTS.format(symbol="p_brand")
+_MANY = _PRINTS.format(symbol="p_brand || '|' || s_nationkey")
+_OHLC = "round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, volume"
+_WEEKLY = """weekly as (
+  select symbol, cast(date_trunc('week', date + interval 2 day) as date) + 4 as week, arg_min(open, date) as open, max(high) as high, min(low) as low,
+    arg_max(close, date) as close, sum(volume) as volume
+  from bars group by 1, 2)"""
+_RETURNS = f"""with {_BARS}, {_WEEKLY},
+r0 as (select symbol, week as date, close / lag(close) over (partition by symbol order by week) - 1 as r from weekly),
+days as (select date from (select distinct date from r0) order by date desc limit 252),
+recent as (select r0.* from r0 join days using (date)),
+kept as (select symbol from recent group by symbol having count(r) >= 0.3 * (select count(distinct date) from recent)),
+rows0 as (select * from recent where symbol in (select symbol from kept) and r is not null),
+full_ as (select date from rows0 group by date having count(*) = (select count(*) from kept)),
+m as (select * from rows0 where date in (select date from full_))"""
+_PAIRS = f"""{_RETURNS},
+x as (select symbol, date, r - avg(r) over (partition by symbol) as x from m),
+p as (
+  select a.symbol as si, b.symbol as sj, count(*) as n, sum(a.x * b.x) / (count(*) - 1) as cov,
+    case when sum(a.x * a.x) > 0 and sum(b.x * b.x) > 0 then sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) else 0 end as corr, sum(a.x * a.x * b.x * b.x) as sq
+  from x a join x b using (date) where a.symbol <= b.symbol group by 1, 2)"""
+_IVP = f"""{_PAIRS}, v as (select si as symbol, 1 / cov as i from p where si = sj), ivp as (select symbol, i / sum(i) over () as weight from v)"""
+
+
+def _capped(source: str, cap: float) -> str:
+    return f"""(select symbol, wm + case when sum(top - wm) over () > 0 then (1 - sum(wm) over ()) * (top - wm) / sum(top - wm) over () else 0 end as weight
+  from (select symbol, top, least(weight, top) as wm from (select *, greatest({cap}, 1.0::double / count(*) over ()) as top from {source})))"""
+
+
+def _rows(expression: str, n: int) -> str:
+    name = expression.split("(")[0]
+    x = expression[len(name) + 1 : -1]
+    over = f"over (partition by symbol order by date rows between {n - 1} preceding and current row)"
+    return f"case when count({x}) {over} = {n} then {expression} {over} end"
+
+
+_WEIGHTED = f"""with {_BARS}, n as (select symbol, date, close, row_number() over (partition by symbol order by date) as k from bars)"""
+_MOMENTUM = f"""with {_BARS}, {_WEEKLY},
+days as (select week, row_number() over (order by week desc) - 1 as back from (select distinct week from weekly)),
+mo as (
+  select symbol, max(case when back = 21 then close end) / max(case when back = 273 then close end) - 1 as momentum
+  from weekly join days using (week) group by symbol),
+z as (
+  select symbol, momentum, case when momentum is null or count(momentum) over () < 2 then 0
+    else ((rank() over (order by momentum asc nulls last) + (count(*) over (partition by momentum) - 1) / 2.0 - 0.5) / count(momentum) over () - 0.5) * sqrt(12.0) end as z
+  from mo)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "flagship_book": f"""{_IVP},
+top0 as (select symbol, weight from ivp where weight > 1e-9 order by weight desc, symbol limit 10),
+top1 as (select symbol, weight / sum(weight) over () as weight from top0),
+capped as {_capped("top1", 0.12)},
+last_ as (select symbol, arg_max(close, week) as price from weekly group by symbol),
+w as (select symbol, price, weight / sum(weight) over () as weight from capped join last_ using (symbol))
+select 'all' as book_id, symbol, round(price, 6) as price, round(weight, 6) as weight, cast(floor(100000.0::double * weight / price) as bigint) as units,
+  round(floor(100000.0::double * weight / price) * price, 6) as value
+from w""",
+    "daily_bars": f"with {_MANY} select symbol, date, {_OHLC} from bars",
+    "load_bars": f"with {_BARS} select symbol, date, {_OHLC} from bars where symbol in ('Brand#11', 'Brand#23', 'Brand#55') and date between '1994-01-01' and '1996-12-31'",
+    "resample_weekly": f"with {_MANY}, {_WEEKLY} select symbol, week, {_OHLC} from weekly",
+    "pct_change": f"with {_BARS} select symbol, date, round(close / lag(close) over (partition by symbol order by date) - 1, 6) as r from bars",
+    "moving_average": f"with {_BARS} select symbol, date, {', '.join(f'round({_rows("avg(close)", n)}, 6) as ma{n}' for n in (20, 90, 200))} from bars",
+    "moving_std": f"with {_BARS} select symbol, date, round({_rows('stddev_samp(close)', 20)}, 6) as dev20 from bars",
+    "rolling_zscore": f"with {_BARS} select symbol, date, round((close - {_rows('avg(close)', 20)}) / case when {_rows('stddev_samp(close)', 20)} = 0 then 1 else {_rows('stddev_samp(close)', 20)} end, 6) as z from bars",
+    "ewm_mean": f"""{_WEIGHTED}
+select a.symbol, a.date, {', '.join(f"round(sum(pow(1 - {al}::double, a.k - b.k) * b.close) / sum(pow(1 - {al}::double, a.k - b.k)), 6) as {nm}" for nm, al in (("ema9", "0.2"), ("ema21", "(2.0::double / 22)")))}
+from n a join n b on a.symbol = b.symbol and b.k <= a.k and b.k > a.k - 450 group by a.symbol, a.date""",
+    "rsi": f"""{_WEIGHTED},
+u as (select *, coalesce(greatest(close - lag(close) over (partition by symbol order by k), 0), 0) as up, coalesce(greatest(lag(close) over (partition by symbol order by k) - close, 0), 0) as down from n),
+g as (
+  select a.symbol, a.date, a.k, sum(pow(13.0::double / 14, a.k - b.k) * up) / sum(pow(13.0::double / 14, a.k - b.k)) as gain,
+    sum(pow(13.0::double / 14, a.k - b.k) * down) / sum(pow(13.0::double / 14, a.k - b.k)) as loss
+  from (select symbol, date, k from u) a join u b on a.symbol = b.symbol and b.k <= a.k and b.k > a.k - 560 group by 1, 2, 3)
+select symbol, date, round(case when k < 14 then null when loss > 0 then 100 - 100 / (1 + gain / loss) when gain > 0 then 100 end, 6) as rsi from g""",
+    "align_calendar": f"""with {_MANY},
+grid as (select * from (select distinct date from bars), (select distinct symbol from bars))
+select symbol, date, round(last_value(close ignore nulls) over w, 6) as close, last_value(volume ignore nulls) over w as volume
+from grid left join bars using (symbol, date) window w as (partition by symbol order by date rows between 5 preceding and current row)""",
+    "fill_report": f"""with {_MANY},
+grid as (select * from (select distinct date from bars), (select distinct symbol from bars)),
+f as (
+  select symbol, close, last_value(close ignore nulls) over (partition by symbol order by date rows between 5 preceding and current row) as after
+  from grid left join bars using (symbol, date))
+select symbol, count(close) as original, cast(sum(case when close is null and after is not null then 1 else 0 end) as bigint) as repaired from f group by symbol""",
+    "weekly_onto_daily": f"""with {_MANY}, {_WEEKLY}
+select b.symbol, b.date, round(last_value(w.close ignore nulls) over (partition by b.symbol order by b.date rows between unbounded preceding and current row), 6) as weekly_close
+from bars b left join weekly w on w.symbol = b.symbol and w.week = b.date""",
+    "warmup_skip": f"""with {_BARS}, d as (select date, row_number() over (order by date) as n from (select distinct date from bars))
+select symbol, date, volume from bars join d using (date) where n > 200""",
+    "ffill": f"""with {_MANY},
+grid as (select * from (select distinct date from bars), (select distinct symbol from bars))
+select symbol, date, round(last_value(close ignore nulls) over (partition by symbol order by date rows between unbounded preceding and current row), 6) as close
+from grid left join bars using (symbol, date)""",
+    "drawdown": f"""with {_BARS}
+select symbol, date, round((close - max(close) over w) / max(close) over w, 6) as drawdown, round(close / first_value(close) over w * 100, 6) as rebased
+from bars window w as (partition by symbol order by date rows between unbounded preceding and current row)""",
+    "rolling_slope": f"""with {_BARS}, n as (select *, row_number() over (partition by symbol order by date) as k from bars)
+select symbol, date, round(case when count(*) over w = 10 then regr_slope(volume, k) over w end, 6) + 0 as slope
+from n window w as (partition by symbol order by date rows between 9 preceding and current row)""",
+    "coverage": f"""with {_MANY}, {_WEEKLY},
+r as (select symbol, week, close / lag(close) over (partition by symbol order by week) - 1 as r from weekly),
+days as (select week from (select distinct week from r) order by week desc limit 252),
+t as (select symbol, r, (select count(*) from days) as n from r join days using (week))
+select 'all' as book_id, symbol, count(r) as obs, any_value(n) as "window", round(count(r) / any_value(n)::double, 6) as coverage, count(r) / any_value(n)::double >= 0.8 as kept
+from t group by symbol""",
+    "returns_matrix": f"{_RETURNS} select 'all' as book_id, symbol, date, round(r, 9) as r from m",
+    "covariance": f"{_PAIRS} select 'all' as book_id, si, sj, n, round(cov, 9) as cov, round(corr, 9) as corr from p",
+    "ledoit_wolf": f"""{_PAIRS},
+s as (select si, sj, n, corr, sq, cov * (n - 1) / n as s from p),
+o as (select si as name, s as v from s where si = sj),
+t as (
+  select s.*, case when si = sj then s else (select avg(corr) from s where si < sj) * sqrt(a.v * b.v) end as target, case when si = sj then 1.0 else 2.0 end as k
+  from s join o a on a.name = si join o b on b.name = sj),
+l as (select least(1, greatest(0, sum(k * (sq / n - s * s)) / (sum(k * (s - target) * (s - target)) * max(n)))) as shrinkage from t)
+select 'all' as book_id, si, sj, round(shrinkage, 8) as shrinkage, round(shrinkage * target + (1 - shrinkage) * s, 8) as cov from t, l""",
+    "correlation_distance": f"{_PAIRS} select 'all' as book_id, si, sj, round(case when si = sj then 0 else sqrt(greatest(0, 0.5 * (1 - corr))) end, 6) as dist from p",
+    "inverse_variance": f"{_IVP} select 'all' as book_id, symbol, round(weight, 6) as weight from ivp",
+    "equal_weights": f"with {_BARS} select distinct 'all' as book_id, symbol, round(1.0::double / (select count(distinct symbol) from bars), 6) as weight from bars",
+    "risk_contributions": f"""{_PAIRS},
+f as (select si, sj, cov from p union all select sj, si, cov from p where si < sj)
+select 'all' as book_id, si as symbol, round(sum(cov) / (select sum(cov) from f), 6) as share from f group by si""",
+    "momentum_12_1": f"{_MOMENTUM} select 'all' as book_id, symbol, round(momentum, 6) as momentum, round(z, 6) as z from z",
+    "momentum_tilt": f"""{_MOMENTUM}, t as (select symbol, greatest(0, 1 + 0.5 * z) as t from z)
+select 'all' as book_id, symbol, round(t / sum(t) over (), 6) as weight from t""",
+    "cap_weights": f"{_IVP} select 'all' as book_id, symbol, round(weight, 6) as weight from {_capped('ivp', 0.041)}",
+    "erc_shares": f"{_PAIRS} select 'all' as book_id, si as symbol, round(1.0::double / count(*) over (), 6) as share from p where si = sj",
+    "value_book": f"""with {_BARS}, {_WEEKLY},
+h as (select symbol, floor(4000.0::double / arg_min(close, week)) as units from weekly group by symbol),
+hh as (select * from h where units > 0),
+v as (select week as date, sum(units * close) as value, count(*) as have from weekly join hh using (symbol) group by week),
+st as (select min(date) as s from v where have = (select count(*) from hh))
+select 'all' as book_id, date, round(value, 4) as value from v, st where date >= s""",
+    "performance_metrics": f"""with {_BARS}, {_WEEKLY},
+r0 as (select symbol as book_id, week as date, close / lag(close) over (partition by symbol order by week) - 1 as r from weekly),
+c0 as (select week as date, avg(close) as c from weekly group by week),
+b0 as (select date, c / lag(c) over (order by date) - 1 as b from c0),
+j as (select r0.*, b from r0 left join b0 using (date) where r is not null),
+g as (select *, exp(sum(ln(1 + r)) over (partition by book_id order by date rows between unbounded preceding and current row)) as gr from j),
+d as (select *, gr / greatest(1, max(gr) over (partition by book_id order by date rows between unbounded preceding and current row)) - 1 as dd from g),
+q as (select *, quantile_cont(r, 0.05) over (partition by book_id) as v95 from d),
+a as (
+  select book_id, count(*) as n, exp(sum(ln(1 + r))) - 1 as total, avg(r) as mean, stddev_samp(r) as std, stddev_samp(case when r < 0 then r end) as down, min(dd) as mdd,
+    any_value(v95) as v95, quantile_cont(r, 0.01) as v99, avg(case when r <= v95 then r end) as c95, avg(case when r > 0 then 1.0 else 0.0 end) as win, max(r) as best, min(r) as worst,
+    skewness(r) as sk, kurtosis(r) as ku, sum(case when r > 0 then r end) as gains, sum(case when r < 0 then -r end) as losses,
+    covar_samp(case when b is not null then r end, b) / var_samp(b) as beta, corr(r, b) as co, count(b) as np, stddev_samp(r - b) as te, avg(r - b) as act, exp(sum(ln(1 + b))) - 1 as bt,
+    avg(case when b is not null then r end) as mp, avg(b) as mb
+  from q group by book_id),
+e as (select *, pow(1 + total, 252.0::double / n) - 1 as cagr, sqrt(252.0::double) as root, 0.045::double / 252 as daily from a)
+select book_id, n, round(total, 6) as total_return, round(cagr, 6) as cagr, round(std * root, 6) as volatility, round(mdd, 6) as max_drawdown,
+  round(case when std > 0 then (mean - daily) / std * root end, 6) as sharpe, round(case when down > 0 then (mean - daily) / down * root end, 6) as sortino,
+  round(case when mdd < 0 then cagr / -mdd end, 6) as calmar, round(v95, 6) as var_95, round(v99, 6) as var_99, round(c95, 6) as cvar_95, round(win, 6) as win_rate,
+  round(best, 6) as best, round(worst, 6) as worst, round(sk, 6) as skewness, round(ku, 6) as kurtosis,
+  round(case when losses > 0 then coalesce(gains, 0) / losses end, 6) as profit_factor, np as n_paired, round(beta, 6) as beta, round(bt, 6) as benchmark_return,
+  round(252 * (mp - daily - beta * (mb - daily)), 6) as alpha, round(co, 6) as correlation, round(co * co, 6) as r_squared, round(te * root, 6) as tracking_error,
+  round(case when te > 0 then act / te * root end, 6) as info_ratio, round(case when abs(beta) > 0 then (mp - daily) * 252 / beta end, 6) as treynor
+from e""",
+}
