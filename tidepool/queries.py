@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidepool.functions.series import (
     drawdown, ffill, moving_average, moving_std, pct_change, rebase, rolling_slope, rolling_zscore, series, with_ewm, with_rsi,
 )
-from tidepool.operators import allocation, calendar, performance, returns
+from tidepool.operators import allocation, calendar, performance, profile, returns
 from tidepool.plans.books import book_prices, inverse_variance_book
 from tidepool.sources.bars import daily_bars, load_bars
 from tidepool.sources.scratch import materialise
@@ -209,7 +209,13 @@ def q_rolling_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(rows.select("symbol", "date", rolling_slope(F.col("volume"), F.col("pos"), _w()).alias("slope")), "slope")
 
 
+def q_volume_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = calendar.resample_weekly(daily_bars(spark, sf_dir)).withColumnRenamed("week", "date")
+    return _round(profile.volume_profile(bars), "poc", "val", "vah")
+
+
 QUERIES: dict[str, Query] = {
+    "volume_profile": q_volume_profile,
     "flagship_book": flagship_book,
     "daily_bars": q_daily_bars,
     "load_bars": q_load_bars,
@@ -302,6 +308,27 @@ z as (
   from mo)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "volume_profile": f"""with recursive {_BARS}, {_WEEKLY},
+k as (select *, row_number() over (partition by symbol order by week) as k from weekly),
+w as (
+  select symbol, k, week, min(low) over v as lo, (max(high) over v - min(low) over v) / 60 as step, sum(volume) over v as total
+  from k window v as (partition by symbol order by k rows between 89 preceding and current row) qualify count(*) over v = 90),
+b as (
+  select w.symbol, w.week, k.volume / total as v, least(59, greatest(0, floor((low - lo) / step)))::int as a, least(59, greatest(0, floor((high - lo) / step)))::int as z
+  from w join k on k.symbol = w.symbol and k.k between w.k - 89 and w.k where step > 0 and total > 0),
+h as (select symbol, week, bin, sum(round(v / (z - a + 1), 12)::decimal(20, 12)) as h from (select *, unnest(range(a, z + 1)) as bin from b) group by 1, 2, 3),
+full_ as (
+  select symbol, week, list(coalesce(h, 0)::decimal(20, 12) order by n.bin) as h
+  from (select symbol, week, unnest(range(60)) as bin from w where step > 0) n left join h using (symbol, week, bin) group by 1, 2),
+p as (select symbol, week, h, list_position(h, list_max(h)) - 1 as p from full_),
+g as (
+  select symbol, week, h, p as lo, p as hi, h[p + 1]::decimal(20, 12) as got from p
+  union all
+  select symbol, week, h, case when up then lo else lo - 1 end, case when up then hi + 1 else hi end, (got + case when up then h[hi + 2] else h[lo] end)::decimal(20, 12)
+  from (select *, lo = 0 or (hi < 59 and h[hi + 2] >= h[lo]) as up from g where got < 0.7 and not (lo = 0 and hi = 59))),
+e as (select symbol, week, min(lo) as lo, max(hi) as hi from g group by 1, 2)
+select w.symbol, w.week as date, round(w.lo + (p + 0.5) * step, 6) as poc, round(w.lo + e.lo * step, 6) as val, round(w.lo + (e.hi + 1) * step, 6) as vah
+from w left join p using (symbol, week) left join e using (symbol, week)""",
     "flagship_book": f"""{_IVP},
 top0 as (select symbol, weight from ivp where weight > 1e-9 order by weight desc, symbol limit 10),
 top1 as (select symbol, weight / sum(weight) over () as weight from top0),
