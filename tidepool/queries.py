@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from tidepool.functions.series import (
     drawdown, ffill, moving_average, moving_std, pct_change, rebase, rolling_slope, rolling_zscore, series, with_ewm, with_rsi,
 )
-from tidepool.operators import allocation, calendar, performance, profile, returns
+from tidepool.operators import allocation, calendar, panel, performance, profile, returns
 from tidepool.plans.books import book_prices, inverse_variance_book
 from tidepool.sources.bars import daily_bars, load_bars
 from tidepool.sources.scratch import materialise
+from tidepool.streaming.bars import event_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -214,7 +215,67 @@ def q_volume_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(profile.volume_profile(bars), "poc", "val", "vah")
 
 
+def q_panel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.panel_summary(daily_bars(spark, sf_dir, by_nation=True))
+
+
+def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All brands by all nations: more names than have bars."""
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct()
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
+    return brands.crossJoin(F.broadcast(nations)).select(F.concat_ws("|", "p_brand", F.col("n_nationkey").cast("string")).alias("symbol"), F.col("n_nationkey").alias("pos"))
+
+
+def q_missing_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.missing_symbols(daily_bars(spark, sf_dir, by_nation=True), _universe(spark, sf_dir))
+
+
+def q_symbols_with_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.symbols_with_prices(daily_bars(spark, sf_dir, by_nation=True), _universe(spark, sf_dir))
+
+
+def q_unpriced_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _universe(spark, sf_dir).select(F.lit("all").alias("book_id"), "symbol", F.col("pos").cast("double").alias("units"))
+    return panel.unpriced_holdings(held, daily_bars(spark, sf_dir, by_nation=True).where("date < date'1993-01-01'"))
+
+
+def q_compose_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    one = parts.where("p_size <= 10").groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_partkey").alias("pos"))
+    two = parts.groupBy(F.col("p_type").alias("symbol")).agg(F.min("p_partkey").alias("pos"))
+    return panel.compose_index(one, two.unionByName(one))
+
+
+def q_largest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = daily_bars(spark, sf_dir, by_nation=True)
+    weights = bars.groupBy(F.split("symbol", "[|]")[1].alias("book_id"), "symbol").agg(F.sum("volume").alias("weight"))
+    return panel.largest_k(weights)
+
+
+def q_percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(panel.percentile_in_group(daily_bars(spark, sf_dir).select("symbol", "date", "volume"), "volume", "p", "date").drop("volume"), "p")
+
+
+def q_rank_in_trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(panel.rank_in_trailing_window(daily_bars(spark, sf_dir).select("symbol", "date", "volume"), "volume", "p").drop("volume"), "p")
+
+
+def q_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = daily_bars(spark, sf_dir).select("symbol", "date", F.when(F.col("close") > F.col("open"), "up").otherwise("down").alias("side"))
+    return panel.transitions(up, "side")
+
+
 QUERIES: dict[str, Query] = {
+    "panel_summary": q_panel_summary,
+    "missing_symbols": q_missing_symbols,
+    "symbols_with_prices": q_symbols_with_prices,
+    "unpriced_holdings": q_unpriced_holdings,
+    "compose_index": q_compose_index,
+    "largest_k": q_largest_k,
+    "percentile_rank_row": q_percentile_rank,
+    "rank_in_trailing_window": q_rank_in_trailing_window,
+    "transitions": q_transitions,
+    "stream_bars": event_bars,
     "volume_profile": q_volume_profile,
     "flagship_book": flagship_book,
     "daily_bars": q_daily_bars,
@@ -307,7 +368,35 @@ z as (
     else ((rank() over (order by momentum asc nulls last) + (count(*) over (partition by momentum) - 1) / 2.0 - 0.5) / count(momentum) over () - 0.5) * sqrt(12.0) end as z
   from mo)"""
 
+_UNIVERSE = "u as (select distinct p_brand || '|' || n_nationkey as symbol, n_nationkey as pos from part, nation)"
+
 ORACLE_SQL: dict[str, str] = {
+    "panel_summary": f"""with {_MANY} select count(distinct date) as days, min(date) as first_date, max(date) as last_date, count(distinct symbol) as symbols,
+  count(distinct case when date = (select max(date) from bars) then symbol end) as in_latest from bars""",
+    "missing_symbols": f"""with {_MANY}, {_UNIVERSE},
+d as (select date, row_number() over (order by date desc) - 1 as back from (select distinct date from bars)),
+l as (select symbol, min(back) as age from bars join d using (date) group by symbol)
+select symbol, case when age is null then 'absent' else 'stale' end as reason from u left join l using (symbol) where age is null or age > 5""",
+    "symbols_with_prices": f"with {_MANY}, {_UNIVERSE} select pos, symbol, symbol in (select symbol from bars) as priced from u",
+    "unpriced_holdings": f"with {_MANY}, {_UNIVERSE} select 'all' as book_id, symbol from u where pos > 0 and symbol not in (select symbol from bars where date < '1993-01-01')",
+    "compose_index": """with one as (select p_brand as symbol, min(p_partkey) as pos from part where p_size <= 10 group by 1),
+two as (select p_type as symbol, min(p_partkey) as pos from part group by 1),
+a as (select symbol, 0 as l, pos from one union all select symbol, 1, pos from two),
+f as (select symbol, min(row(l, pos)) as place from a group by symbol)
+select cast(row_number() over (order by place, symbol) - 1 as integer) as pos, symbol from f""",
+    "largest_k": f"""with {_MANY}, w as (select split_part(symbol, '|', 2) as book_id, symbol, sum(volume) as weight from bars group by 1, 2)
+select * from (select *, cast(row_number() over (partition by book_id order by weight desc, symbol) as integer) as rank from w) where rank <= 5""",
+    "percentile_rank_row": f"""with {_BARS}
+select symbol, date, round(case when count(*) over (partition by date) <= 1 then 0 else
+  2 * (rank() over (partition by date order by volume) + (count(*) over (partition by date, volume) - 1) / 2.0::double) / count(*) over (partition by date) - 1 end, 6) as p from bars""",
+    "rank_in_trailing_window": f"""with {_BARS}, n as (select *, list(volume) over (partition by symbol order by date rows between 9 preceding and current row) as l from bars)
+select symbol, date, round(case when len(l) = 1 then 0.5 else len(list_filter(l, lambda x: x <= volume)) / len(l)::double end, 6) as p from n""",
+    "transitions": f"""with {_BARS}, s as (select symbol, date, case when close > open then 'up' else 'down' end as side from bars),
+c as (select symbol, case when side <> lag(side) over (partition by symbol order by date) then 1 else 0 end as c from s)
+select symbol, cast(sum(c) as bigint) as changes from c group by symbol""",
+    "stream_bars": """select event_type as symbol, date_trunc('day', ts)::timestamp as start, arg_min(value, row(ts, event_id)) as open, max(value) as high, min(value) as low,
+  arg_max(value, row(ts, event_id)) as close, cast(count(*) as double) as volume, count(*) as prints
+from events group by 1, 2 having any_value(date_trunc('day', ts)) + interval 1 day <= (select max(ts) from events) - interval 2 hour""",
     "volume_profile": f"""with recursive {_BARS}, {_WEEKLY},
 k as (select *, row_number() over (partition by symbol order by week) as k from weekly),
 w as (
