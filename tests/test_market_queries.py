@@ -23,7 +23,7 @@ def test_query(spark, name):
     if name not in queries.ORACLE_SQL:
         return
     con = duckdb.connect()
-    for t in ("lineitem", "part", "supplier"):
+    for t in ("lineitem", "part", "supplier", "nation", "events"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     want = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in want.description]

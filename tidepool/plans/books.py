@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators.allocation import cap_weights, inverse_variance, select_top, size_positions
-from tidepool.operators.calendar import resample_weekly
+from tidepool.operators.calendar import align_to, resample_weekly
 from tidepool.operators.returns import pair_moments, returns_matrix
 from tidepool.sources.scratch import materialise
 
 
-def book_prices(bars: DataFrame, book: str = "all") -> DataFrame:
-    """(book_id, symbol, date, close) of weekly bars, all symbols in one book."""
-    weekly = resample_weekly(bars)
-    return weekly.select(F.lit(book).alias("book_id"), "symbol", F.col("week").alias("date"), "close")
+def book_prices(bars: DataFrame, book: str = "all", fill: bool = False) -> DataFrame:
+    """(book_id, symbol, date, close) of weekly bars, all symbols in one book; with `fill`, on all weeks, gaps carried over."""
+    weekly = resample_weekly(bars).select("symbol", F.col("week").alias("date"), "close")
+    if fill:
+        weekly = align_to(weekly, weekly, ["close"])
+    return weekly.select(F.lit(book).alias("book_id"), "symbol", "date", "close")
 
 
 def last_prices(prices: DataFrame) -> DataFrame:

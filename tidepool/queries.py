@@ -41,7 +41,7 @@ def _series_query(**named: Callable[[WindowSpec], Column]) -> Query:
 
 def flagship_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sized inverse-variance book of the brands, from weekly bars."""
-    return _round(inverse_variance_book(book_prices(daily_bars(spark, sf_dir)), least=0.3), "price", "weight", "value")
+    return _round(inverse_variance_book(book_prices(daily_bars(spark, sf_dir), fill=True), least=0.3), "price", "weight", "value")
 
 
 def q_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,6 +344,16 @@ p as (
   from x a join x b using (date) where a.symbol <= b.symbol group by 1, 2)"""
 _IVP = f"""{_PAIRS}, v as (select si as symbol, 1 / cov as i from p where si = sj), ivp as (select symbol, i / sum(i) over () as weight from v)"""
 
+_R0 = "r0 as (select symbol, week as date, close / lag(close) over (partition by symbol order by week) - 1 as r from weekly)"
+_FILLED_IVP = _IVP.replace(
+    _R0,
+    f"""grid as (select * from (select distinct week from weekly), (select distinct symbol from weekly)),
+filled as (
+  select symbol, week, last_value(close ignore nulls) over (partition by symbol order by week rows between unbounded preceding and current row) as close
+  from grid left join weekly using (symbol, week)),
+{_R0.replace('from weekly', 'from filled')}""",
+)
+
 
 def _capped(source: str, cap: float) -> str:
     return f"""(select symbol, wm + case when sum(top - wm) over () > 0 then (1 - sum(wm) over ()) * (top - wm) / sum(top - wm) over () else 0 end as weight
@@ -418,7 +428,7 @@ g as (
 e as (select symbol, week, min(lo) as lo, max(hi) as hi from g group by 1, 2)
 select w.symbol, w.week as date, round(w.lo + (p + 0.5) * step, 6) as poc, round(w.lo + e.lo * step, 6) as val, round(w.lo + (e.hi + 1) * step, 6) as vah
 from w left join p using (symbol, week) left join e using (symbol, week)""",
-    "flagship_book": f"""{_IVP},
+    "flagship_book": f"""{_FILLED_IVP},
 top0 as (select symbol, weight from ivp where weight > 1e-9 order by weight desc, symbol limit 10),
 top1 as (select symbol, weight / sum(weight) over () as weight from top0),
 capped as {_capped("top1", 0.12)},
