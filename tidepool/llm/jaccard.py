@@ -53,7 +53,7 @@ THIN_ROUNDS, BEST = 2, 3
 SALTS = 64
 #: Members of a key group that one task compares at a time.
 BLOCK = 2000
-FLUSH_KEYS = 1_000_000
+FLUSH_KEYS = 500_000
 
 _U = np.uint64
 _RUN = np.dtype([("node", "<u8"), ("count", "<u4"), ("need", "<i4"), ("view", "<i2")])
@@ -289,7 +289,7 @@ def _across(best: int):
         return node[i], node[j]
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in whole_groups(batches, "group", 20_000):
+        for chunk in whole_groups(batches, "group", 4_000):
             for view in np.unique(chunk["view"].to_numpy()).tolist():
                 own = chunk.filter(pa.array(chunk["view"].to_numpy() == view))
                 a, z = pairs_of(own)

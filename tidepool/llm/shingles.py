@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 WIDTH = 5
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _U = np.uint64
 _P, _Q = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
