@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as driver
 import corpus_pipeline
+from test_pairs import brute, plain_set
 from tidepool.llm import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -38,12 +39,22 @@ def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "language ID", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    rows = docs
+    items = {tuple(sorted(plain_set(r.text))) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    rows, kept = docs, {r.doc_id: r.text for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = {r.doc_id for r in rows.collect()}
+        before = kept
         rows = stage(spark, rows, DATA)
-        kept = rows.collect()
         assert rows.columns == docs.columns, name
-        assert {r.doc_id for r in kept} <= before and len(kept) >= 0.7 * len(before)
+        kept = {r.doc_id: r.text for r in rows.collect()}
+        assert kept.items() <= before.items() and len(kept) >= 0.7 * len(before)
+        if name == "n-gram Jaccard join":
+            assert kept.keys() == {i for i, (_, root) in brute(before).items() if i == root}
+        if name == "benchmark decontamination":
+            sets = {i: plain_set(t) for i, t in before.items()}
+            assert kept.keys() == {i for i, s in sets.items() if not any(v and 100 * len(s & set(v)) >= 75 * len(v) for v in items)}
     mixed = corpus_pipeline.run(spark, DATA).collect()
-    assert {r.doc_id for r in mixed} <= {r.doc_id for r in kept} and all(r.taken > 0 for r in mixed)
+    assert all(0 < r.taken <= 2 * r.size and r.size == len((kept[r.doc_id] or "").split()) for r in mixed)
+    by_source = {}
+    for r in mixed:
+        by_source.setdefault(r.source, []).append(r)
+    assert all(abs(sum(r.taken for r in rs) - rs[0].target) < 1 for rs in by_source.values())
