@@ -35,13 +35,18 @@ def warmup_skip(panel: DataFrame, bars: int = 200) -> DataFrame:
     return panel.join(ranked.where(F.col("_n") > bars).select("date"), "date", "left_semi")
 
 
-def align_calendar(rows: DataFrame, columns: list[str], limit: int = 5) -> DataFrame:
-    """Every symbol on every date of the calendar, each column carried over at most `limit` rows of a gap.
+def every_date(symbols: DataFrame, dates: DataFrame) -> DataFrame:
+    """Each symbol with each date.
 
-    Dates and symbols are each a short distinct list; their product is the
-    size of the result, which is one row per symbol and date.
+    Dates are days, a few hundred a year whatever the number of rows, so their
+    side is broadcast; the result is as large as the aligned panel itself.
     """
-    grid = calendar_of(rows).join(rows.select("symbol").distinct())
+    return symbols.crossJoin(F.broadcast(dates))
+
+
+def align_calendar(rows: DataFrame, columns: list[str], limit: int = 5) -> DataFrame:
+    """Every symbol on every date of the calendar, each column carried over at most `limit` rows of a gap."""
+    grid = every_date(rows.select("symbol").distinct(), calendar_of(rows))
     w = series("symbol")
     return grid.join(rows, ["symbol", "date"], "left").select("symbol", "date", *[ffill_bounded(F.col(c), w, limit).alias(c) for c in columns])
 
@@ -61,7 +66,7 @@ def weekly_onto_daily(daily: DataFrame, weekly: DataFrame, columns: list[str]) -
 
 def align_to(prices: DataFrame, dates: DataFrame, columns: list[str]) -> DataFrame:
     """Prices on another calendar's dates, gaps filled with the last price on such a date."""
-    grid = dates.select("date").distinct().join(prices.select("symbol").distinct())
+    grid = every_date(prices.select("symbol").distinct(), dates.select("date").distinct())
     w = series("symbol")
     return grid.join(prices, ["symbol", "date"], "left").select("symbol", "date", *[ffill(F.col(c), w).alias(c) for c in columns])
 

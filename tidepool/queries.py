@@ -88,7 +88,7 @@ def q_warmup_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = daily_bars(spark, sf_dir, by_nation=True)
-    grid = calendar.calendar_of(bars).join(bars.select("symbol").distinct()).join(bars.select("symbol", "date", "close"), ["symbol", "date"], "left")
+    grid = calendar.every_date(bars.select("symbol").distinct(), calendar.calendar_of(bars)).join(bars.select("symbol", "date", "close"), ["symbol", "date"], "left")
     return _round(grid.select("symbol", "date", ffill(F.col("close"), _w()).alias("close")), "close")
 
 
