@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tidepool.functions.series import (
     drawdown, ffill, moving_average, moving_std, pct_change, rebase, rolling_slope, rolling_zscore, series, with_ewm, with_rsi,
 )
-from tidepool.operators import allocation, calendar, panel, performance, profile, returns
-from tidepool.plans.books import book_prices, inverse_variance_book
+from tidepool.operators import allocation, calendar, diagnostics, panel, performance, profile, returns
+from tidepool.plans.books import book_prices, inverse_variance_book, last_prices
 from tidepool.sources.bars import daily_bars, load_bars
 from tidepool.sources.scratch import materialise
 from tidepool.streaming.bars import event_bars
@@ -265,7 +265,34 @@ def q_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.transitions(up, "side")
 
 
+def q_holding_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = materialise(returns.returns_matrix(_weekly_book(spark, sf_dir), least=0.3))
+    weights = materialise(allocation.inverse_variance(materialise(returns.pair_moments(r))))
+    return _round(diagnostics.holding_diagnostics(r, weights), "weight", "volatility", "corr_to_book")
+
+
+def q_book_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir)
+    return _round(diagnostics.book_risk(pairs, materialise(allocation.inverse_variance(pairs))), "volatility", "concentration", "dispersion")
+
+
+def q_cluster_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations ordered by the two Ward clusters."""
+    pairs = _pairs(spark, sf_dir)
+    labels = materialise(allocation.ward_clusters(returns.correlation_distance(pairs)).where("k = 2"))
+    return _round(diagnostics.cluster_matrix(pairs, labels), "corr")
+
+
+def q_equal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = _weekly_book(spark, sf_dir)
+    return diagnostics.equal_units(allocation.equal_weights(prices), last_prices(prices), 100_000.0)
+
+
 QUERIES: dict[str, Query] = {
+    "holding_diagnostics": q_holding_diagnostics,
+    "book_risk": q_book_risk,
+    "cluster_matrix": q_cluster_matrix,
+    "equal_units": q_equal_units,
     "panel_summary": q_panel_summary,
     "missing_symbols": q_missing_symbols,
     "symbols_with_prices": q_symbols_with_prices,
@@ -381,6 +408,17 @@ z as (
 _UNIVERSE = "u as (select distinct p_brand || '|' || n_nationkey as symbol, n_nationkey as pos from part, nation)"
 
 ORACLE_SQL: dict[str, str] = {
+    "holding_diagnostics": f"""{_IVP},
+b as (select date, sum(r * weight) as b from m join ivp using (symbol) group by date)
+select 'all' as book_id, symbol, round(any_value(weight), 6) as weight, round(stddev_samp(r) * sqrt(252.0::double), 6) as volatility, round(corr(r, b), 6) as corr_to_book
+from m join b using (date) join ivp using (symbol) group by symbol""",
+    "book_risk": f"""{_IVP},
+f as (select si, sj, cov from p union all select sj, si, cov from p where si < sj),
+c as (select si, sum(a.weight * b.weight * cov) as c from f join ivp a on a.symbol = si join ivp b on b.symbol = sj group by si),
+s as (select c, c / sum(c) over () as share from c)
+select 'all' as book_id, count(*) as names, round(sqrt(sum(c) * 252), 6) as volatility, round(max(share) * count(*), 6) as concentration, round(stddev_pop(share) / avg(share), 6) as dispersion from s""",
+    "equal_units": f"""with {_BARS}, {_WEEKLY}, l as (select symbol, arg_max(close, week) as price from weekly group by symbol)
+select 'all' as book_id, symbol, cast(floor(100000.0::double / (select count(*) from l) / price) as bigint) as units from l""",
     "panel_summary": f"""with {_MANY} select count(distinct date) as days, min(date) as first_date, max(date) as last_date, count(distinct symbol) as symbols,
   count(distinct case when date = (select max(date) from bars) then symbol end) as in_latest from bars""",
     "missing_symbols": f"""with {_MANY}, {_UNIVERSE},
