@@ -52,6 +52,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], name: str, rows: int) -> Ite
         yield pa.concat_batches(held)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that few texts are Python objects at a time."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def keep_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list], Sequence[bool]]]) -> DataFrame:
     """The rows of `df`, with all their columns, for whose values of `column` the test holds.
 
@@ -61,7 +68,7 @@ def keep_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list], Se
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = keep()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(test(b.column(at).to_pylist()), pa.bool_()))
 
     return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(kept, df.toDF(*[f"c{k}" for k in range(len(names))]).schema).toDF(*names)

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.arrow import by_key, whole_groups
+from tidepool.llm.arrow import by_key, slices, whole_groups
 from tidepool.llm.components import connected_components
 from tidepool.llm.shared import Scratch, shuffle_partitions
 from tidepool.llm.shingles import mix, shingles
@@ -117,7 +117,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         n, first, second = [], [], []
         for s in shingles(b["text"].to_pylist()):
             n.append(s.size)
@@ -153,7 +153,7 @@ def _key_blobs(buckets: int):
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, keys, size = [], [], 0
-        for b in batches:
+        for b in slices(batches):
             for s in shingles(b["text"].to_pylist()):
                 if not s.size:
                     continue
@@ -171,39 +171,85 @@ def _key_blobs(buckets: int):
     return blobs
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, b in by_key(batches, "bucket"):
-        head = np.concatenate([np.frombuffer(x, dtype=_RUN) for x in b["runs"].to_pylist()])
-        keys = np.concatenate([np.frombuffer(x, dtype=_U) for x in b["keys"].to_pylist()])
-        run = np.repeat(np.arange(head.size), head["count"])
-        # copies of one set give the same keys: the first is enough
-        _, first = np.unique(mix(head["node"] + head["view"].astype(_U)), return_index=True)
-        keep = np.zeros(head.size, bool)
-        keep[first] = True
-        run, keys = run[keep[run]], keys[keep[run]]
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        new = np.concatenate(([True], k[1:] != k[:-1])) if k.size else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        count = np.diff(np.concatenate((at, [k.size])))
-        many = np.empty(k.size, np.int32)
-        many[order] = np.repeat(count, count)
-        hit = many >= 2
-        run, keys, many = run[hit], keys[hit], many[hit]
-        if not run.size:
-            continue
-        start = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1))
-        offsets = pa.array(np.concatenate((start, [run.size])).astype(np.int32))
-        h = head[run[start]]
+def _shared_keys(targets: int):
+    """From all keys of a bucket, those of two sets or more, in packed rows by a hash of the set that they go back to."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, b in by_key(batches, "bucket"):
+            head, keys = _unpacked(b, "runs", _RUN), _unpacked(b, "keys", _U)
+            run = np.repeat(np.arange(head.size), head["count"])
+            # copies of one set give the same keys: the first is enough
+            _, first = np.unique(_name(head), return_index=True)
+            keep = np.zeros(head.size, bool)
+            keep[first] = True
+            run, keys = run[keep[run]], keys[keep[run]]
+            order = np.argsort(keys, kind="stable")
+            k = keys[order]
+            new = np.concatenate(([True], k[1:] != k[:-1])) if k.size else np.zeros(0, bool)
+            count = np.diff(np.concatenate((np.flatnonzero(new), [k.size])))
+            many = np.empty(k.size, np.int32)
+            many[order] = np.repeat(count, count)
+            hit = many >= 2
+            run, keys, many = run[hit], keys[hit], many[hit]
+            target = (mix(head["node"][run]) % _U(targets)).astype(np.int64)
+            order = np.lexsort((run, target))
+            run, keys, many, target = run[order], keys[order], many[order], target[order]
+            cut = np.searchsorted(target, np.arange(targets + 1))
+            rows = []
+            for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                own = slice(cut[i], cut[i + 1])
+                r, c = np.unique(run[own], return_counts=True)
+                h = head[r]
+                h["count"] = c
+                rows.append((i, h.tobytes(), keys[own].tobytes(), many[own].tobytes()))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], ["target", "runs", "keys", "counts"])
+
+    return shared
+
+
+def _name(head: np.ndarray) -> np.ndarray:
+    """One number for a set in a view."""
+    return mix(head["node"] + mix(head["view"].astype(_U) + _U(1)))
+
+
+def _unpacked(b: pa.RecordBatch, name: str, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(b[name].to_pylist()), dtype=kind)
+
+
+def _ranks(group: np.ndarray) -> np.ndarray:
+    """The position of each element within its run of equal values."""
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    return np.arange(group.size) - np.repeat(start, np.diff(np.concatenate((start, [group.size]))))
+
+
+def _lists(group: np.ndarray, values: np.ndarray, groups: int) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=groups))))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), _signed(values))
+
+
+def _rarest_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set and view that shares enough keys: the rarest of them that it has to give, and a few to start from."""
+    for _, b in by_key(batches, "target"):
+        head, keys, counts = _unpacked(b, "runs", _RUN), _unpacked(b, "keys", _U), _unpacked(b, "counts", np.dtype("<i4"))
+        _, first, group = np.unique(_name(head), return_index=True, return_inverse=True)
+        group = np.repeat(group, head["count"])
+        shared, need = np.bincount(group, minlength=first.size), head["need"][first].astype(np.int64)
+        enough = shared >= need
+        keep = enough[group]
+        group, keys, counts = (np.cumsum(enough) - 1)[group[keep]], keys[keep], counts[keep]
+        give, head = (shared - need + 1)[enough], head[first[enough]]
+        by_count, by_hash = np.lexsort((keys, counts, group)), np.lexsort((keys, group))
+        rare = by_count[_ranks(group[by_count]) < give[group[by_count]]] if group.size else by_count
+        start = by_hash[_ranks(group[by_hash]) < PIVOT_KEYS] if group.size else by_hash
         yield pa.RecordBatch.from_arrays(
-            [_signed(h["node"]), pa.array(h["view"].astype(np.int32)), pa.array(h["need"].astype(np.int32)),
-             pa.ListArray.from_arrays(offsets, _signed(keys)), pa.ListArray.from_arrays(offsets, pa.array(many))],
-            ["node", "view", "need", "keys", "counts"],
+            [_signed(head["node"]), pa.array(head["view"].astype(np.int32)), _lists(group[rare], keys[rare], head.size), _lists(group[start], keys[start], head.size)],
+            ["node", "view", "rarest", "pivots"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         keep, n, values, sketches = [], [], [], []
         nodes = b["node"].to_numpy().view(_U)
         for i, s in enumerate(shingles(b["text"].to_pylist())):
@@ -340,15 +386,9 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
         docs.where("doc_id is not null and text is not null")
         .mapInArrow(_key_blobs(2 * parts), "bucket int, runs binary, keys binary")
         .repartition(parts, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_shared_keys, "node long, view int, need int, keys array<long>, counts array<int>")
-        .groupBy("node", "view")
-        .agg(F.first("need").alias("need"), F.flatten(F.collect_list("keys")).alias("keys"), F.flatten(F.collect_list("counts")).alias("counts"))
-        .where("size(keys) >= need")
-        .select(
-            "node", "view",
-            F.expr("transform(slice(array_sort(arrays_zip(counts, keys)), 1, size(keys) - need + 1), x -> x.keys)").alias("rarest"),
-            F.slice(F.array_sort("keys"), 1, PIVOT_KEYS).alias("pivots"),
-        )
+        .mapInArrow(_shared_keys(2 * parts), "target int, runs binary, keys binary, counts binary")
+        .repartition(parts, "target").sortWithinPartitions("target")
+        .mapInArrow(_rarest_keys, "node long, view int, rarest array<long>, pivots array<long>")
     )
     shared = scratch.save(shared, "shared")
     wanted = shared.select("node").distinct().join(classes, "node")
