@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.allocation import cap_weights, inverse_variance, select_top, size_positions
+from tidepool.operators.allocation import cap_weights, equal_risk_contributions, hierarchical_risk_parity, inverse_variance, select_top, size_positions
 from tidepool.operators.calendar import align_to, resample_weekly
 from tidepool.operators.returns import pair_moments, returns_matrix
 from tidepool.sources.scratch import materialise
@@ -29,3 +29,23 @@ def inverse_variance_book(prices: DataFrame, names: int = 10, cap: float = 0.12,
     pairs = materialise(pair_moments(materialise(returns_matrix(prices, lookback, least))))
     weights = cap_weights(select_top(inverse_variance(pairs), names), cap)
     return size_positions(weights, last_prices(prices), capital)
+
+
+#: The weights of a book from its pairs of names.
+METHODS = {
+    "equal": lambda pairs: pairs.where("si = sj").select("book_id", F.col("si").alias("symbol"), (1 / F.count("*").over(Window.partitionBy("book_id"))).alias("weight")),
+    "inverse_variance": inverse_variance,
+    "equal_risk": equal_risk_contributions,
+    "hierarchical": hierarchical_risk_parity,
+}
+
+
+def books_by_method(prices: DataFrame, names: int = 10, cap: float = 0.12, capital: float = 100_000.0, lookback: int = 252, least: float = 0.8) -> DataFrame:
+    """A capped, sized book of each book_id by each method: one estimate of the pairs serves all."""
+    prices = materialise(prices)
+    pairs = materialise(pair_moments(materialise(returns_matrix(prices, lookback, least))))
+    weights = None
+    for method, solve in METHODS.items():
+        own = solve(pairs).select(F.concat_ws("/", "book_id", F.lit(method)).alias("book_id"), "symbol", "weight")
+        weights = own if weights is None else weights.unionByName(own)
+    return size_positions(cap_weights(select_top(weights, names), cap), last_prices(prices), capital)

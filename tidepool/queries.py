@@ -6,6 +6,7 @@ many short series with gaps.  Ratios are rounded to six decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -15,9 +16,10 @@ from tidepool.functions.series import (
     drawdown, ffill, moving_average, moving_std, pct_change, rebase, rolling_slope, rolling_zscore, series, with_ewm, with_rsi,
 )
 from tidepool.operators import allocation, calendar, diagnostics, panel, performance, profile, returns
-from tidepool.plans.books import book_prices, inverse_variance_book, last_prices
+from tidepool.plans.books import book_prices, books_by_method, inverse_variance_book, last_prices
 from tidepool.sources.bars import daily_bars, load_bars
-from tidepool.sources.scratch import materialise
+from tidepool.sources.scratch import materialise, shared_folder
+from tidepool.sources.snapshots import read_snapshots, write_snapshots
 from tidepool.streaming.bars import event_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,7 +290,21 @@ def q_equal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.equal_units(allocation.equal_weights(prices), last_prices(prices), 100_000.0)
 
 
+def q_books_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(books_by_method(book_prices(daily_bars(spark, sf_dir), fill=True), least=0.3), "price", "weight", "value")
+
+
+def q_write_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = calendar.resample_weekly(daily_bars(spark, sf_dir)).withColumnRenamed("week", "date")
+    bars = _round(bars, "open", "high", "low", "close")
+    folder = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    write_snapshots(bars, folder)
+    return read_snapshots(bars, folder)
+
+
 QUERIES: dict[str, Query] = {
+    "books_by_method": q_books_by_method,
+    "write_snapshots": q_write_snapshots,
     "holding_diagnostics": q_holding_diagnostics,
     "book_risk": q_book_risk,
     "cluster_matrix": q_cluster_matrix,
@@ -408,6 +424,8 @@ z as (
 _UNIVERSE = "u as (select distinct p_brand || '|' || n_nationkey as symbol, n_nationkey as pos from part, nation)"
 
 ORACLE_SQL: dict[str, str] = {
+    "write_snapshots": f"""with {_BARS}, {_WEEKLY} select symbol, week as date, round(round(open, 6), 2) as open, round(round(high, 6), 2) as high, round(round(low, 6), 2) as low,
+  round(round(close, 6), 2) as close, volume from weekly""",
     "holding_diagnostics": f"""{_IVP},
 b as (select date, sum(r * weight) as b from m join ivp using (symbol) group by date)
 select 'all' as book_id, symbol, round(any_value(weight), 6) as weight, round(stddev_samp(r) * sqrt(252.0::double), 6) as volatility, round(corr(r, b), 6) as corr_to_book

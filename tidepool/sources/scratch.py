@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """`df`, computed once into the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset (tests), a folder of this machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
+
 
-    Where that is unset (tests), a folder of this machine is taken.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+def materialise(df: DataFrame) -> DataFrame:
+    """`df`, computed once into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

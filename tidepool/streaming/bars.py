@@ -7,12 +7,13 @@ State is one row for each symbol and open window, whatever the input's size.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.sources.scratch import shared_folder
+
 
 def stream_bars(prints: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Bars (symbol, start, open, high, low, close, volume, prints) of a stream (symbol, ts, order, price, quantity)."""
@@ -41,5 +42,4 @@ def event_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return drain(stream_bars(event_prints(spark, sf_dir)), folder).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return drain(stream_bars(event_prints(spark, sf_dir)), shared_folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz"))
