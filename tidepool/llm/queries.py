@@ -204,4 +204,15 @@ with known(license_id, digest) as (
 forms as (select doc_id, {_canonical_sql("text")} as form from documents),
 d as (select doc_id, case when form <> '' then sha256(form) end as digest, len(form)::bigint as n_canonical from forms)
 select doc_id, d.digest, n_canonical, license_id from d left join known on known.digest = d.digest""",
+    "op9_warc": """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (
+  select page_id, h, max(page_id) over (partition by h) as latest,
+    list_reduce(list_transform(range(0, 40, 1), lambda k: lpad(bin(instr('0123456789abcdef', sha1(h)[k + 1]) - 1), 4, '0')), lambda a, b: a || b) as bits
+  from p)
+select page_id, strlen(h)::bigint as payload_bytes,
+  list_reduce(list_transform(range(0, 32, 1), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * bits[5 * k + 1]::int + 8 * bits[5 * k + 2]::int
+    + 4 * bits[5 * k + 3]::int + 2 * bits[5 * k + 4]::int + bits[5 * k + 5]::int]), lambda a, b: a || b) as payload_digest,
+  case when page_id = latest then 'response' else 'revisit' end as record_type, case when page_id < latest then latest end as refers_to, null::varchar as problem
+from d""",
 }
