@@ -1,6 +1,8 @@
 """Mixing, language, licences, tokens and toxicity."""
 
 import random
+import re
+import textwrap
 import zlib
 
 import public_tokenizers
@@ -113,6 +115,25 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_licenses_at_any_wrapping(spark):
+    notices = ("", "Copyright (c) 2020 X.", "Copyright 1999, 2003-2005 Foo, Inc. and others\nAll rights reserved.\n\n", "© Some Holder\n", "(C) 2011 A. B.\n", "Copyright Joyent, Inc. and other Node contributors.\n\n")
+    rows, want = [], {}
+    for name, text in TEXTS.items():
+        wrapped = ["\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in text.split("\n\n")) for width in range(20, 110, 3)]
+        for body in [text, " ".join(text.split()), re.sub(r"\s+", "\n", text), *wrapped]:
+            rows.append((len(rows), body))
+            want[len(rows) - 1] = name
+        for notice in notices:
+            for body in (text, " ".join(text.split())):
+                rows.append((len(rows), f"{notice} {body}"))
+                want[len(rows) - 1] = name
+    other = ["(c) You must retain all copyright", "copyright holders be liable", "Copyright (c) 2020 X. " + "prose " * 90, "All rights reserved. And more"]
+    first = len(rows)
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame([*rows, *enumerate(other, first)], "doc_id long, text string")).collect()}
+    assert {i: got[i].license_id for i in want} == want
+    assert [got[first + k].n_canonical for k in range(4)] == [31, 27, 539, 8]
+
+
 def hard_texts():
     rng = random.Random(6)
     pieces = ["the", "house", " ", "  ", "\n", "été", "日本", "ﬁ", "😀", "x" * 30, " ", "<s>", "▁", "a▁b", "\t", "12345", "ß"]

@@ -1,22 +1,54 @@
 """License scans: whole texts by the digest of their canonical form.
 
-The canonical form drops copyright lines, lower-cases A-Z, maps equivalent
+The canonical form lower-cases A-Z, drops copyright notices, maps equivalent
 spellings to one, and makes every run of anything but letters and digits one
-space.  Its SHA-256 is joined to the digests of known licence texts, which are
+space.  Licence wording stays wherever its lines break.  Its SHA-256 is joined to the digests of known licence texts, which are
 made by the same expressions.  Everything is DataFrame functions; the known
 texts are a fixed list, so their side is broadcast.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.license_texts import TEXTS
 
-#: A line that is a copyright notice or "all rights reserved".
+#: The rule of the query's SQL (whole lines), kept as given there; the operator drops `NOTICE`.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
+_SIGN = r"(?:\(c\)|©|&copy;)"
+_YEAR = r"(?:(?:19|20)\d\d(?!\d)|[<\[{]\s*(?:year|yyyy|years)\s*[>\]}]|yyyy\b|19yy\b)"
+#: How a licence begins when it follows a notice on the same line.
+_OPENING = (
+    r"(?:permission\s+(?:is|to)\b|redistribution\s+and\s+use|redistributions?\s+of|this\s+(?:software|program|library|file|work|source|is)\b|licensed\s+under"
+    r"|released\s+under|everyone\s+is\s+permitted|the\s+software\s+is|all\s+rights\s+reserved|copyright\b|\(c\)|©|anyone\s+is\s+free"
+    r"|(?:the\s+)?(?:mit|isc|zlib|bsd|apache|gnu|mozilla|modified|simplified|new|[234]\s*-?\s*clause)\s+(?:bsd\s+)?(?:license|licence|zero|general|lesser|library|public|[0-9]\s*-?\s*clause))"
+)
+#: Notices that licence texts themselves contain, wherever their lines break.
+_INNER = (
+    rf"copyright\s+{_SIGN}\s+(?:(?:19|20)\d\d[,\s-]*)+free\s+software\s+foundation,?\s+inc\.?(?:\s*<https?://(?:www\.)?fsf\.org/>)?"
+    r"(?:[,\s]*(?:51\s+franklin|59\s+temple|675\s+mass)[^<;]{0,80}?\busa\b)?"
+    rf"|copyright\s+(?:{_SIGN}\s+)?(?:{_YEAR}|year\b)[\s,]*[<\[{{]?\s*name\s+of\s+(?:the\s+)?(?:author|copyright\s+owner)\s*[>\]}}]?"
+    rf"|copyright\s+{_SIGN}[\s_]*_[\s_]*"
+)
+#: A holder: up to an opening or the line's end, or if neither is near, up to the sentence's end, or nothing.
+_HOLDER = rf"(?:[^\r\n]{{0,200}}?(?<![\p{{L}}\p{{N}}])(?={_OPENING})|[^\r\n]{{0,200}}(?=[\r\n]|\z)|[^\r\n.]{{0,200}}\.(?=\s)|)"
+#: Words after "copyright" that make it licence wording.
+_WORDING = r"(?:and|or|in|of|on|to|is|as|by\s+law|for|the\s+software|notices?|holders?|owners?|laws?|interests?|statements?|licen[sc]es?|rights?|treat(?:y|ies)|acts?|protection|permissions?|disclaimers?|infringement|status|terms?|ownership|information|date|claims?)\b"
+#: A notice: "copyright" and a sign or year, a sign and year, © and a holder, or a paragraph "Copyright Some Holder"; and "all rights reserved".
+NOTICE = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:{_INNER}"
+    rf"|(?:copyright[\s:,]*{_SIGN}|(?:copyright[\s:,]+(?:by\s+)?|\(c\)[\s:,]*(?:copyright[\s:,]*)?){_YEAR}|©|&copy;){_HOLDER}"
+    rf"|(?<=\A[^\p{{L}}\p{{N}}]{{0,20}}|\n[ \t\r]{{0,20}}\n[^\p{{L}}\p{{N}}\n]{{0,20}})copyright[ \t]+(?!{_WORDING}){_HOLDER}"
+    r"|all\s+rights\s+reserved(?![\p{L}\p{N}]))"
+)
+#: What every notice contains: other texts are not searched.
+_MARKS = ("copyright", "(c)", "©", "&copy;", "reserved")
+
 #: Spellings that count as the same, as words of the canonical form.
 SPELLINGS = (
     ("licence", "license"),
@@ -36,7 +68,8 @@ SPELLINGS = (
 def canonical(text: Column) -> Column:
     """The canonical form; null and blank texts give an empty string."""
     t = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "")
+    marked = reduce(or_, [t.contains(m) for m in _MARKS])
+    t = F.when(marked, F.regexp_replace(t, NOTICE, " ")).otherwise(t)
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for one, other in SPELLINGS:
         t = F.replace(t, F.lit(f" {one} "), F.lit(f" {other} "))
