@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tidepool.llm.language import drop_unidentified, fit_language_model, has_letter, identify_languages, predict_language, training_rows
-from tidepool.llm.license_texts import TEXTS
+from tidepool.llm.license_texts import TEXTS, long_texts
 from tidepool.llm.licenses import scan_licenses
 from tidepool.llm.mixing import mix_sources, quality_weights, word_count
 from tidepool.llm.tokens import SplicingTokenizer, count_tokens
@@ -134,6 +134,24 @@ def test_licenses_at_any_wrapping(spark):
     assert [got[first + k].n_canonical for k in range(4)] == [31, 27, 539, 8]
 
 
+def test_long_licenses(spark):
+    rows, want = [], []
+    for name, text in long_texts().items():
+        fills = ["\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False) for p in text.split("\n\n")) for width in (46, 63, 100)]
+        rows += [text, " ".join(text.split()), *fills]
+        want += [name] * 5
+    texts = long_texts()
+    bsd = texts["BSD-3-Clause"]
+    own = bsd.replace("the University", "Foo, Inc.").replace("REGENTS", "COPYRIGHT HOLDERS").replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    rows += ["BSD 3-Clause License\n\nCopyright (c) 2019, Foo, Inc.\n" + own, "Copyright (c) 2025 <copyright holders>\n\n" + TEXTS["MIT"].split("\n", 1)[1]]
+    rows += [texts["Apache-2.0"].split("APPENDIX")[0], texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Foo LLC")]
+    rows += [texts["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"), texts["GPL-2.0"] + "more"]
+    want += ["BSD-3-Clause", "MIT", "Apache-2.0", "Apache-2.0", "GPL-2.0", None]
+    got = {r.doc_id: r.license_id for r in scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= texts.keys()
+
+
 def hard_texts():
     rng = random.Random(6)
     pieces = ["the", "house", " ", "  ", "\n", "été", "日本", "ﬁ", "😀", "x" * 30, " ", "<s>", "▁", "a▁b", "\t", "12345", "ß"]

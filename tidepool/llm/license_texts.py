@@ -1,4 +1,10 @@
-"""Short public licence texts in full, without their copyright lines."""
+"""Public licence texts in full; the short ones without their copyright lines, the long ones in `known_texts`."""
+
+from __future__ import annotations
+
+import re
+from functools import cache
+from importlib.resources import files
 
 TEXTS = {
     "MIT": """MIT License
@@ -95,3 +101,53 @@ For more information, please refer to <https://unlicense.org/>
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
 }
+
+#: Other titles of a text; its own first line is one, too, unless it is a sentence of the licence.
+TITLES = {
+    "MIT": ("", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT", "License"),
+    "ISC": ("", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "License"),
+    "0BSD": ("", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD / Free Public License 1.0.0 (0BSD)"),
+    "Zlib": ("", "The zlib License", "zlib/libpng license", "The zlib/libpng License"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License", "License", "The BSD License", "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License", "License", "The BSD License", "The BSD 3-Clause License", "Modified BSD License"),
+    "BSD-4-Clause": ("", "BSD 4-Clause License", "The 4-Clause BSD License", "BSD License", "Original BSD License"),
+}
+_ADVERTISING = """3. All advertising materials mentioning features or use of this software must display the following acknowledgement:
+   This product includes software developed by the organization.
+
+4. Neither"""
+_AUTHOR = "3. The name of the author may not be used to endorse or promote products"
+_WRITE = re.compile(r"if\s+not,\s+write\s+to\s+the\s+Free\s+Software\s+Foundation,\s+Inc\.,\s+51[^.]*USA")
+_END = re.compile(r"END OF TERMS AND CONDITIONS|(?=ADDENDUM: How to use|Exhibit A - Source|EXHIBIT A -Mozilla)")
+
+
+@cache
+def long_texts() -> dict[str, str]:
+    """The texts of `known_texts` by their ids, and the BSD texts of two and four clauses."""
+    texts = {p.name[:-4]: p.read_text("utf-8") for p in files("tidepool.llm").joinpath("known_texts").iterdir() if p.name.endswith(".txt")}
+    bsd = texts["BSD-3-Clause"]
+    texts["BSD-2-Clause"] = re.sub(r"3\. Neither.*?permission\.\n", "", bsd, flags=re.DOTALL)
+    texts["BSD-4-Clause"] = bsd.replace("3. Neither", _ADVERTISING)
+    return dict(sorted(texts.items()))
+
+
+def variants() -> list[tuple[str, str]]:
+    """(license_id, text) of every known text, with its other titles, and with and without what follows its terms."""
+    out = []
+    for name, text in {**TEXTS, **long_texts()}.items():
+        own = [text]
+        if name in TITLES:
+            body = text if name.startswith("BSD") else text.split("\n", 1)[1]
+            own += [f"{title}\n\n{body}" for title in TITLES[name]]
+        if _WRITE.search(text):
+            own.append(_WRITE.sub("if not, see <https://www.gnu.org/licenses/>", text))
+        if name == "BSD-3-Clause":
+            own += [re.sub(r"3\. Neither.*?products", _AUTHOR, t, flags=re.DOTALL) for t in own]
+        if name == "Apache-2.0":
+            own.append(text.replace("apache.org/licenses/", "apache.org/licenses/LICENSE-2.0", 1))
+        if name == "GPL-2.0":
+            own += [t.replace("GNU Lesser General\nPublic License instead", "GNU Library General\nPublic License instead") for t in own]
+        if _END.search(text):
+            own += [t[:k] for t in own for end in [_END.search(t)] for k in end.span()]
+        out += [(name, t) for t in dict.fromkeys(own)]
+    return out

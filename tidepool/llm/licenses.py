@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.license_texts import TEXTS
+from tidepool.llm.license_texts import variants
 
 #: The rule of the query's SQL (whole lines), kept as given there; the operator drops `NOTICE`.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
@@ -25,14 +25,14 @@ _YEAR = r"(?:(?:19|20)\d\d(?!\d)|[<\[{]\s*(?:year|yyyy|years)\s*[>\]}]|yyyy\b|19
 #: How a licence begins when it follows a notice on the same line.
 _OPENING = (
     r"(?:permission\s+(?:is|to)\b|redistribution\s+and\s+use|redistributions?\s+of|this\s+(?:software|program|library|file|work|source|is)\b|licensed\s+under"
-    r"|released\s+under|everyone\s+is\s+permitted|the\s+software\s+is|all\s+rights\s+reserved|copyright\b|\(c\)|©|anyone\s+is\s+free"
+    r"|released\s+under|everyone\s+is\s+permitted|the\s+software\s+is|all\s+rights\s+reserved|copyright\W{1,4}(?:c\)|©|(?:19|20)\d\d)|\(c\)|©|anyone\s+is\s+free"
     r"|(?:the\s+)?(?:mit|isc|zlib|bsd|apache|gnu|mozilla|modified|simplified|new|[234]\s*-?\s*clause)\s+(?:bsd\s+)?(?:license|licence|zero|general|lesser|library|public|[0-9]\s*-?\s*clause))"
 )
 #: Notices that licence texts themselves contain, wherever their lines break.
 _INNER = (
     rf"copyright\s+{_SIGN}\s+(?:(?:19|20)\d\d[,\s-]*)+free\s+software\s+foundation,?\s+inc\.?(?:\s*<https?://(?:www\.)?fsf\.org/>)?"
     r"(?:[,\s]*(?:51\s+franklin|59\s+temple|675\s+mass)[^<;]{0,80}?\busa\b)?"
-    rf"|copyright\s+(?:{_SIGN}\s+)?(?:{_YEAR}|year\b)[\s,]*[<\[{{]?\s*name\s+of\s+(?:the\s+)?(?:author|copyright\s+owner)\s*[>\]}}]?"
+    rf"|copyright\s+(?:{_SIGN}\s+)?(?:{_YEAR}|year\b|19xx\b)[\s,]*[<\[{{]?\s*(?:name\s+of\s+(?:the\s+)?(?:author|copyright\s+owner)|your\s+name)\s*[>\]}}]?"
     rf"|copyright\s+{_SIGN}[\s_]*_[\s_]*"
 )
 #: A holder: up to an opening or the line's end, or if neither is near, up to the sentence's end, or nothing.
@@ -64,6 +64,17 @@ SPELLINGS = (
     ("https", "http"),
 )
 
+#: What differs between copies of one licence (holders' names, clause numbers, addresses), in words of
+#: the canonical form, and a phrase of the texts it holds for.
+TEMPLATES = (
+    (" redistributions of source code must ", r" (?:[1-4]|[abcd]|i{1,3}|iv|o) (?=(?:redistributions (?:of|in) |neither the name|all advertising materials ))", " "),
+    (" redistributions of source code must ", r" neither the names? of .{1,150}? nor the names? of (?:its |their |his |her |any |other )*contributors ", " neither the name of the holder nor the names of its contributors "),
+    (" redistributions of source code must ", r" this software is provided by .{1,150}? as is and any ", " this software is provided by the holder as is and any "),
+    (" redistributions of source code must ", r" in no event shall .{1,150}? be liable for any direct ", " in no event shall the holder be liable for any direct "),
+    (" redistributions of source code must ", r" includes software developed by .{1,150}? neither the name", " includes software developed by the holder neither the name"),
+    (" free software foundation ", r" (?:51 franklin|59 temple|675 mass) .{1,60}? usa ", " "),
+)
+
 
 def canonical(text: Column) -> Column:
     """The canonical form; null and blank texts give an empty string."""
@@ -73,13 +84,29 @@ def canonical(text: Column) -> Column:
     t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for one, other in SPELLINGS:
         t = F.replace(t, F.lit(f" {one} "), F.lit(f" {other} "))
-    return F.trim(F.regexp_replace(t, " +", " "))
+    t = F.regexp_replace(t, " +", " ")
+    return F.trim(_templates(t))
+
+
+def _templates(t: Column) -> Column:
+    for phrases in dict.fromkeys(p for p, _, _ in TEMPLATES):
+        u = t
+        for p, one, other in TEMPLATES:
+            if p == phrases:
+                u = F.regexp_replace(u, one, other)
+        t = F.when(t.contains(phrases), u).otherwise(t)
+    return t
+
+
+def license_digests(texts: DataFrame) -> DataFrame:
+    """(license_id, digest) of a table of known texts (license_id, text)."""
+    return texts.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license_id, digest) of the known texts."""
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in TEXTS.items()]))
-    return spark.range(1).select(rows.alias("r")).select("r.license_id", F.sha2(canonical(F.col("r.text")), 256).alias("digest"))
+    """(license_id, digest) of the known texts and their variants."""
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in variants()]))
+    return license_digests(spark.range(1).select(rows.alias("r")).select("r.license_id", "r.text"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
