@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidepool.functions.series import moving_average, pct_change, series, with_ewm, with_rsi
-from tidepool.operators import allocation, calendar, performance, profile, returns
+from tidepool.operators import allocation, calendar, diagnostics, performance, profile, returns
 from tidepool.sources.bars import load_bars, number, panel_from_wide
 
 START = dt.date(2024, 1, 1)  # a Monday
@@ -152,6 +152,17 @@ def test_clusters_join_what_moves_together(spark):
     assert best.k == 2 and 0.9 < best.silhouette <= 1
 
 
+def test_best_clusters_by_silhouette(spark):
+    groups = {"three": [0, 0, 0, 1, 1, 2, 2], "two": [0, 0, 1, 1], "pair": [0, 0], "one": [0]}
+    rows = [(b, f"s{i}", f"s{j}", 0.0 if i == j else 0.1 if g[i] == g[j] else 0.8) for b, g in groups.items() for i in range(len(g)) for j in range(i, len(g))]
+    d = spark.createDataFrame(rows, "book_id string, si string, sj string, dist double")
+    got = allocation.best_clusters(d, allocation.ward_clusters(d)).orderBy("book_id", "symbol").collect()
+    assert {b: [r.cluster for r in got if r.book_id == b] for b in groups} == groups
+    assert {(r.book_id, r.k) for r in got} == {("three", 3), ("two", 2), ("pair", 1), ("one", 1)}
+    matrix = diagnostics.cluster_matrix(d.withColumn("corr", 1 - F.col("dist")), allocation.best_clusters(d, allocation.ward_clusters(d)))
+    assert {(r.book_id, r.i) for r in matrix.where("boundary").collect()} == {("three", 4), ("three", 6), ("two", 3)} and matrix.where("book_id in ('one', 'pair')").count() == 5
+
+
 def test_single_linkage_order():
     d = np.array([[0, 9, 1, 9], [9, 0, 9, 2], [1, 9, 0, 9], [9, 2, 9, 0.0]])
     assert allocation.single_linkage_order(d) == [0, 2, 1, 3]

@@ -195,7 +195,8 @@ def ward_clusters(distances: DataFrame, most: int = 8) -> DataFrame:
         names, d = _matrix(pdf, "dist")
         found = ward_labels(d, min(most, len(names) - 1)) if len(names) > 2 else {}
         parts = [pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "k": k, "symbol": names, "cluster": v}) for k, v in sorted(found.items())]
-        return pd.concat(parts) if parts else pd.DataFrame({"book_id": [], "k": [], "symbol": [], "cluster": []})
+        none = pd.DataFrame({"book_id": np.array([], object), "k": np.array([], np.int32), "symbol": np.array([], object), "cluster": np.array([], np.int32)})
+        return pd.concat(parts, ignore_index=True).astype({"book_id": object, "symbol": object}) if parts else none
 
     return distances.select("book_id", "si", "sj", "dist").groupBy("book_id").applyInPandas(solve, "book_id string, k int, symbol string, cluster int")
 
@@ -209,3 +210,12 @@ def silhouettes(distances: DataFrame, labels: DataFrame) -> DataFrame:
     s = near.groupBy("book_id", "k", "si").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("m"))).alias("own"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("m"))).alias("other"))
     value = F.when(F.col("own").isNull() | (F.greatest("own", "other") == 0), F.lit(0.0)).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
     return s.groupBy("book_id", "k").agg(F.avg(value).alias("silhouette"))
+
+
+def best_clusters(distances: DataFrame, labels: DataFrame) -> DataFrame:
+    """(book_id, k, symbol, cluster) of each book's k with the best silhouette, the smallest if several; one cluster for books that have no labels."""
+    best = silhouettes(distances, labels).groupBy("book_id").agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k"))
+    names = distances.where("si = sj").select("book_id", F.col("si").alias("symbol"))
+    chosen = labels.join(best, ["book_id", "k"]).select("book_id", "symbol", "k", "cluster")
+    rows = names.join(chosen, ["book_id", "symbol"], "left")
+    return rows.select("book_id", F.coalesce("k", F.lit(1)).alias("k"), "symbol", F.coalesce("cluster", F.lit(0)).alias("cluster"))

@@ -279,9 +279,10 @@ def q_book_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cluster_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlations ordered by the two Ward clusters."""
+    """Correlations ordered by the Ward clusters of the best silhouette."""
     pairs = _pairs(spark, sf_dir)
-    labels = materialise(allocation.ward_clusters(returns.correlation_distance(pairs)).where("k = 2"))
+    d = returns.correlation_distance(pairs)
+    labels = materialise(allocation.best_clusters(d, materialise(allocation.ward_clusters(d))))
     return _round(diagnostics.cluster_matrix(pairs, labels), "corr")
 
 
