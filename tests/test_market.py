@@ -163,6 +163,19 @@ def test_best_clusters_by_silhouette(spark):
     assert {(r.book_id, r.i) for r in matrix.where("boundary").collect()} == {("three", 4), ("three", 6), ("two", 3)} and matrix.where("book_id in ('one', 'pair')").count() == 5
 
 
+def test_ewm_carries_the_whole_past(spark):
+    rng = np.random.default_rng(5)
+    long = [50.0] * 700 + list(rng.normal(5, 1, 1500))
+    gap = [1.0, 3.0] + [None] * 3000 + [7.0, None]
+    df = close_frame(spark, a=long, b=gap)
+    got = with_ewm(df, ["symbol"], {"slow": ("close", 0.002), "fast": ("close", 0.3)}).collect()
+    for symbol, xs in (("a", long), ("b", gap)):
+        rows = sorted((r for r in got if r.symbol == symbol), key=lambda r: r.date)
+        for name, alpha in (("slow", 0.002), ("fast", 0.3)):
+            want = pd.Series(xs, dtype=float).ewm(alpha=alpha, adjust=True, ignore_na=False).mean()
+            assert [r[name] for r in rows] == pytest.approx(want.tolist(), rel=1e-9)
+
+
 def test_single_linkage_order():
     d = np.array([[0, 9, 1, 9], [9, 0, 9, 2], [1, 9, 0, 9], [9, 2, 9, 0.0]])
     assert allocation.single_linkage_order(d) == [0, 2, 1, 3]

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK = 128
-CARRIED = 5
 
 
 def series(*keys: str, order: str = "date") -> WindowSpec:
@@ -86,8 +85,9 @@ def with_ewm(df: DataFrame, keys: list[str], means: dict[str, tuple[str, float]]
 
     Rows are cut into chunks of CHUNK; within one, running sums of values over
     their weight stay far from overflow, and what earlier chunks carry in is a
-    lag over their totals.  So each row costs the same for any alpha, and one
-    sort by key and order serves all means.
+    decayed running sum of their totals, by lags of 1, 2, 4, ... chunks until a
+    weight is 0 as a double.  So the whole past counts, each row costs about the
+    same for any alpha, and one sort by key and order serves all means.
     """
     w = series(*keys, order=order)
     rows = df.withColumn("_pos", F.row_number().over(w) - 1)
@@ -104,16 +104,19 @@ def with_ewm(df: DataFrame, keys: list[str], means: dict[str, tuple[str, float]]
         sums.append((f"_c_{name}", F.sum(seen).over(so_far(w))))
     chunks = rows.groupBy(*keys, "_chunk").agg(*totals)
     cw = series(*keys, order="_chunk")
-    carried = []
-    for name, (_, alpha) in means.items():
-        for part in ("n", "d"):
-            carried.append(sum(F.coalesce(F.lag(f"_{part}_{name}", k).over(cw), F.lit(0.0)) * (1 - alpha) ** (CHUNK * (k - 1)) for k in range(1, CARRIED + 1)).alias(f"_k{part}_{name}"))
+    totalled = {f"_{p}_{name}": (1 - alpha) ** CHUNK for name, (_, alpha) in means.items() for p in ("n", "d")}
+    for step in (2**k for k in range(31)):
+        weighed = {c: g**step for c, g in totalled.items() if g**step > 0}
+        if not weighed:
+            break
+        chunks = chunks.withColumns({c: F.col(c) + F.coalesce(F.lag(c, step).over(cw), F.lit(0.0)) * g for c, g in weighed.items()})
+    carried = [F.coalesce(F.lag(c).over(cw), F.lit(0.0)).alias(f"_k{c[1:]}") for c in totalled]
     chunks = chunks.select(*keys, "_chunk", *carried)
     rows = rows.withColumns(dict(sums)).join(chunks, [*keys, "_chunk"])
     out = {}
-    for name, (_, alpha) in means.items():
+    for name, (column, alpha) in means.items():
         n, d = (F.col(f"_l{p}_{name}") + F.pow(F.lit(1 - alpha), F.col("_off") + 1) * F.col(f"_k{p}_{name}") for p in ("n", "d"))
-        out[name] = F.when(F.col(f"_c_{name}") >= least, n / d)
+        out[name] = F.last(F.when(F.col(column).isNotNull() & (F.col(f"_c_{name}") >= least), n / d), ignorenulls=True).over(so_far(w))
     return rows.withColumns(out).select(*df.columns, *means)
 
 
