@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = scratch.save(e, f"{name}-0")
     k, before = 0, None
-    while True:
+    while not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.save(large, f"{name}-{k + 1}")

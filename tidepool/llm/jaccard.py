@@ -26,6 +26,9 @@ pairs across components that pass the Hamming bound.  All are verified on the
 whole sets.  Only pairs within one component are ever
 left out, so components are exact; groups over BLOCK members are compared in
 blocks by several tasks.
+
+A set goes by the first half of a 128-bit fingerprint.  Where two different
+sets share that half, as their second halves tell, both go by the second.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.arrow import by_key, slices, whole_groups
 from tidepool.llm.components import connected_components
-from tidepool.llm.shared import Scratch, shuffle_partitions
+from tidepool.llm.shared import Scratch, fresh_names, shuffle_partitions
 from tidepool.llm.shingles import mix, shingles
 
 #: Two sets link when LEAST * |A | B| <= 100 * |A & B|.
@@ -51,8 +54,8 @@ PIVOT_KEYS = 3
 THIN_ROUNDS, BEST = 2, 3
 #: Salts of a pivot's group.
 SALTS = 64
-#: Members of a key group that one task compares at a time.
-BLOCK = 2000
+#: Groups of more than BLOCK members of a key are compared in blocks: 8 of them, or more of 8 * BLOCK members each.
+BLOCK = 250
 FLUSH_KEYS = 500_000
 
 _U = np.uint64
@@ -69,8 +72,8 @@ def _farthest(n: int, below: int) -> int:
     return (n + min(n * 100 // LEAST, below - 1)) * (100 - LEAST) // (100 + LEAST)
 
 
-def node_of(s: np.ndarray) -> tuple[int, int]:
-    """A 128-bit fingerprint of a set; the first half names it."""
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit fingerprint of a set, in halves."""
     g = mix(s + _U(0x5851F42D4C957F2D))
     a, b = _U(s.size), _U(s.size)
     if s.size:
@@ -112,25 +115,47 @@ def _sketch_bytes(band: int) -> int:
     return max(1, (4 << band) // 8)
 
 
+class Names:
+    """What sets go by: the first half of the fingerprint, or the second where the first is that of several sets.
+
+    `bits` of the first half are used; fewer than 64 are for tests.
+    """
+
+    def __init__(self, bits: int, taken: list[int] | None = None) -> None:
+        self.mask = (1 << bits) - 1
+        self.taken = frozenset(taken or ())
+
+    def halves(self, s: np.ndarray) -> tuple[int, int]:
+        first, second = fingerprint(s)
+        return first & self.mask, second
+
+    def of(self, s: np.ndarray) -> int:
+        first, second = self.halves(s)
+        return second if first in self.taken else first
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x, dtype=_U).view(np.int64))
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        n, first, second = [], [], []
-        for s in shingles(b["text"].to_pylist()):
-            n.append(s.size)
-            f = node_of(s)
-            first.append(f[0])
-            second.append(f[1])
-        yield pa.RecordBatch.from_arrays(
-            [b["doc_id"], pa.array(n, pa.int64()), _signed(np.array(first, _U)), _signed(np.array(second, _U))],
-            ["doc_id", "n_shingles", "node", "node2"],
-        )
+def _profiles(names: Names):
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            n, first, second = [], [], []
+            for s in shingles(b["text"].to_pylist()):
+                n.append(s.size)
+                f = names.halves(s)
+                first.append(f[0])
+                second.append(f[1])
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], b["version"], pa.array(n, pa.int64()), _signed(np.array(first, _U)), _signed(np.array(second, _U))],
+                ["doc_id", "version", "n_shingles", "node", "node2"],
+            )
 
+    return profiles
 
-def _key_blobs(buckets: int):
+
+def _key_blobs(buckets: int, names: Names):
     def flush(heads: list, keys: list) -> pa.RecordBatch:
         k = np.concatenate(keys)
         run = np.repeat(np.arange(len(heads)), [h[1] for h in heads])
@@ -139,17 +164,17 @@ def _key_blobs(buckets: int):
         k, run, bucket = k[order], run[order], bucket[order]
         head = np.array(heads, dtype=_RUN)
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        names, runs, values = [], [], []
+        filled, runs, values = [], [], []
         for i in range(buckets):
             a, z = cut[i], cut[i + 1]
             if a < z:
                 r, c = np.unique(run[a:z], return_counts=True)
                 h = head[r]
                 h["count"] = c
-                names.append(i)
+                filled.append(i)
                 runs.append(h.tobytes())
                 values.append(k[a:z].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(runs, pa.binary()), pa.array(values, pa.binary())], ["bucket", "runs", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(runs, pa.binary()), pa.array(values, pa.binary())], ["bucket", "runs", "keys"])
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, keys, size = [], [], 0
@@ -157,7 +182,7 @@ def _key_blobs(buckets: int):
             for s in shingles(b["text"].to_pylist()):
                 if not s.size:
                     continue
-                node = node_of(s)[0]
+                node = names.of(s)
                 for view, k, need in block_keys(s):
                     heads.append((node, k.size, need, view))
                     keys.append(k)
@@ -248,20 +273,25 @@ def _rarest_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        keep, n, values, sketches = [], [], [], []
-        nodes = b["node"].to_numpy().view(_U)
-        for i, s in enumerate(shingles(b["text"].to_pylist())):
-            if s.size and node_of(s)[0] == int(nodes[i]):
-                keep.append(nodes[i])
-                n.append(s.size)
-                values.append(s.tobytes())
-                sketches.append(parity_sketch(s, 8 * _sketch_bytes(_band(s.size) + 1)).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [_signed(np.array(keep, _U)), pa.array(n, pa.int32()), pa.array(values, pa.binary()), pa.array(sketches, pa.binary())],
-            ["node", "n", "elements", "sketch"],
-        )
+def _sets(names: Names):
+    """The whole set and its sketch for each row (node, text) whose text is of that set."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keep, n, values, sketches = [], [], [], []
+            nodes = b["node"].to_numpy().view(_U)
+            for i, s in enumerate(shingles(b["text"].to_pylist())):
+                if s.size and names.of(s) == int(nodes[i]):
+                    keep.append(nodes[i])
+                    n.append(s.size)
+                    values.append(s.tobytes())
+                    sketches.append(parity_sketch(s, 8 * _sketch_bytes(_band(s.size) + 1)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [_signed(np.array(keep, _U)), pa.array(n, pa.int32()), pa.array(values, pa.binary()), pa.array(sketches, pa.binary())],
+                ["node", "n", "elements", "sketch"],
+            )
+
+    return sets
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,8 +380,11 @@ def _candidates(members: DataFrame, roots: DataFrame, sets: DataFrame, best: int
     parts = shuffle_partitions(members.sparkSession)
     members = members.join(roots, "node", "left").select("key", "view", "node", F.coalesce("root", "node").alias("root"))
     members = scratch.save(members, f"{name}-members")
-    mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    mixed = scratch.save(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), f"{name}-mixed")
+    # of keys with the same members one is enough: long texts can share as many keys as they have words
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (0, 1)]
+    mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo < hi")
+    mixed = mixed.groupBy("m", "x0", "x1").agg(F.min("key").alias("key"))
+    mixed = scratch.save(mixed.select("key", F.ceil(F.col("m") / F.least(F.greatest(F.col("m") / 8, F.lit(BLOCK)), F.lit(8 * BLOCK))).cast("int").alias("parts")), f"{name}-mixed")
     own = members.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1) if not best else F.array("part")
     low, high = F.least("part", "other"), F.greatest("part", "other")
@@ -364,35 +397,64 @@ def _candidates(members: DataFrame, roots: DataFrame, sets: DataFrame, best: int
     return scratch.save(pairs, f"{name}-pairs")
 
 
-def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text).
+def _versions(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text): `version` tells the texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
 
-    Null texts and texts without words have an empty set and link with
-    nothing.  Rows with one doc_id and different texts are vertices of their
-    own; a null doc_id gives a null component and is linked with nothing.
-    Repeated rows stay and share their component.  An empty table gives no
-    rows.  Other columns are ignored.
+
+def _classes(rows: DataFrame, names: Names, scratch: Scratch) -> tuple[DataFrame, DataFrame, Names]:
+    """A profile of each row, the classes (node, first, twice) of rows with one set, and the names in use.
+
+    `first` is the smallest (doc_id, version) of a class, with the number of
+    rows that repeat it.
     """
+
+    def classed(profile: DataFrame) -> DataFrame:
+        known = profile.where("n_shingles > 0 and doc_id is not null")
+        rows = known.groupBy("node", "node2", "doc_id", "version").agg(F.count("*").alias("rows"))
+        return rows.groupBy("node").agg(F.min(F.struct("doc_id", "version", "rows")).alias("first"), (F.min("node2") != F.max("node2")).alias("twice"))
+
+    profile = rows.mapInArrow(_profiles(names), "doc_id long, version long, n_shingles long, node long, node2 long")
+    profile = scratch.save(profile.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))), "profile")
+    classes = scratch.save(classed(profile), "classes")
+    # of n sets about n * n / 2 ** 65 share a first half: none at all up to billions
+    taken = [r["node"] for r in classes.where("twice").select("node").collect()]
+    if taken:
+        table = rows.sparkSession.createDataFrame([(x,) for x in taken], "node long").withColumn("_taken", F.lit(True))
+        renamed = profile.join(F.broadcast(table), "node", "left").withColumn("node", F.when(F.col("_taken"), F.col("node2")).otherwise(F.col("node"))).drop("_taken")
+        profile = scratch.save(renamed.select(profile.columns), "renamed")
+        classes = scratch.save(classed(profile), "reclassed")
+        if classes.where("twice").count():
+            raise ValueError("different sets share a half of their fingerprints twice over")
+        names.taken = frozenset(x & ((1 << 64) - 1) for x in taken)
+    return profile, classes, names
+
+
+def _linked_classes(docs: DataFrame, scratch: Scratch, fingerprint_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The profile of every row (doc_id, version, n_shingles, node), and for each set (node) the first (doc_id, version) of its component."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "jaccard")
     parts = shuffle_partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    profile = scratch.save(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, node long, node2 long"), "profile")
-    known = profile.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    docs = _versions(docs)
+    profile, classes, names = _classes(docs, Names(fingerprint_bits), scratch)
 
     shared = (
         docs.where("doc_id is not null and text is not null")
-        .mapInArrow(_key_blobs(2 * parts), "bucket int, runs binary, keys binary")
+        .mapInArrow(_key_blobs(2 * parts, names), "bucket int, runs binary, keys binary")
         .repartition(parts, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(_shared_keys(2 * parts), "target int, runs binary, keys binary, counts binary")
         .repartition(parts, "target").sortWithinPartitions("target")
         .mapInArrow(_rarest_keys, "node long, view int, rarest array<long>, pivots array<long>")
     )
     shared = scratch.save(shared, "shared")
-    wanted = shared.select("node").distinct().join(classes, "node")
-    sets = scratch.save(docs.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets, "node long, n int, elements binary, sketch binary"), "sets")
+    wanted = shared.select("node").distinct().join(classes, "node").select("node", "first.doc_id", "first.version", "first.rows")
+    wanted = scratch.save(wanted, "wanted")
+    texts = docs.join(wanted.where("rows = 1"), ["doc_id", "version"]).select("node", "text")
+    repeated = wanted.where("rows > 1")
+    if not repeated.isEmpty():
+        # one of the rows that repeat a doc_id and a text
+        one = docs.join(repeated, ["doc_id", "version"]).groupBy("node").agg(F.min("text").alias("text"))
+        texts = texts.unionByName(one)
+    sets = scratch.save(texts.mapInArrow(_sets(names), "node long, n int, elements binary, sketch binary"), "sets")
 
     near = (
         shared.select("node", F.explode("pivots").alias("key")).groupBy("key", F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt"))
@@ -411,27 +473,43 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     roots = scratch.save(connected_components(links, scratch, "most"), "roots")
     rarest = shared.select("node", "view", F.explode("rarest").alias("key"))
     more = scratch.save(_verify(_candidates(rarest, roots, sets, 0, scratch, "all"), sets), "more")
-    scratch.drop("sets", "all-members", "all-mixed", "all-pairs", "near", "shared")
+    scratch.drop("sets", "all-members", "all-mixed", "all-pairs", "near", "shared", "wanted")
 
     roots = connected_components(links.unionByName(more), scratch, "last")
-    names = roots.join(classes, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    component = roots.join(names, "root").select("node", "component_id")
-    component = scratch.save(
-        classes.join(component, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "component"
-    )
-    return profile.join(component, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    own = classes.select("node", F.struct("first.doc_id", "first.version").alias("own"))
+    leaders = roots.join(own, "node").groupBy("root").agg(F.min("own").alias("leader"))
+    leader = roots.join(leaders, "root").select("node", "leader")
+    leader = scratch.save(own.join(leader, "node", "left").select("node", F.coalesce("leader", "own").alias("leader")), "leader")
+    return profile, leader
+
+
+def jaccard_components(docs: DataFrame, scratch: Scratch | None = None, fingerprint_bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text).
+
+    Null texts and texts without words have an empty set and link with
+    nothing.  Rows with one doc_id and different texts are vertices of their
+    own; a null doc_id gives a null component and is linked with nothing.
+    Repeated rows stay and share their component.  An empty table gives no
+    rows.  Other columns are ignored.
+    """
+    profile, leader = _linked_classes(docs, scratch or Scratch(docs.sparkSession, "jaccard"), fingerprint_bits)
+    return profile.join(leader, "node", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("leader.doc_id", "doc_id")).alias("component_id")
     )
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (with columns doc_id, text), one of each component: that with the smallest doc_id.
 
-    Rows without a doc_id all stay; of rows that repeat a doc_id and text one
-    stays.
+    Where that doc_id has several texts of the component, one of them stays.
+    Rows without a doc_id all stay, as do texts without words, which link with
+    nothing; of rows that repeat a doc_id and text one stays.  An empty table
+    gives no rows; other columns may have any names.
     """
-    found = jaccard_components(docs)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    both = docs.where("doc_id is not null").join(kept, "doc_id")
-    kept = both.where("_rows = 1").unionByName(both.where("_rows > 1").dropDuplicates(["doc_id", "text"]))
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    profile, leader = _linked_classes(docs, Scratch(docs.sparkSession, "jaccard"), 64)
+    both = profile.where("doc_id is not null").join(leader, "node", "left").where("leader is null or (leader.doc_id = doc_id and leader.version = version)")
+    one, version, rows = fresh_names(docs, "kept_doc", "kept_version", "kept_rows")
+    kept = both.groupBy(F.col("doc_id").alias(one), F.col("version").alias(version)).agg(F.count("*").alias(rows))
+    held = docs.join(kept, (F.col("doc_id").cast("long") == F.col(one)) & (F.xxhash64("text") == F.col(version)))
+    held = held.where(F.col(rows) == 1).unionByName(held.where(F.col(rows) > 1).dropDuplicates(["doc_id", "text"]))
+    return held.drop(one, version, rows).union(docs.where("doc_id is null"))

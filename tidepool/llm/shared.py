@@ -13,9 +13,11 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine if Spark runs on this machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -49,5 +51,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before those that clash with a column of `df`, upper and lower case being one."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
