@@ -1,30 +1,39 @@
 """WARC archives with Zstandard compression, written and read by Spark tasks.
 
 An archive starts with a skippable frame that holds the dictionary; then each
-record is one frame.  Archives are written to a shared folder under a name of
-their own, moved into place when complete, so a task that runs again after a
-lost executor replaces its own archives and leaves no others.  Readers take the
-dictionary from the leading frame, find each frame's end, and validate the
-version line, the header fields, all lengths and all digests.
+record is one frame.  Every attempt of a task writes archives under names of
+its own to a shared folder, and the rows that tell of them go to a manifest
+table, which takes one attempt of each task; readers open the manifest's
+archives only.  So a task that runs again after a lost executor, or twice at a
+time, may cut its rows elsewhere, and no record is read twice or lost.  Readers
+take the dictionary from the leading frame, find each frame's end, and validate
+the version line, the header fields, all lengths and all digests.
+
+Equal payloads are found by digest.  Payloads of so many rows that one task
+could not hold them (at most 1000 of them, as each has a thousandth of all
+rows) are looked up in a broadcast table and their rows dealt out; the others
+meet their group in a join.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import Scratch
+from tidepool.llm.shared import Scratch, shuffle_partitions
 
 #: Fixed values of the format.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -32,7 +41,8 @@ FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-SALTS = 16
+#: Payloads of more rows than this, and than a thousandth of all, do not meet in one task.
+CROWD = 1000
 _WINDOW = 1 << 16
 
 
@@ -116,42 +126,40 @@ def archive(records: list[bytes], dictionary: bytes, level: int = 3) -> bytes:
     return b"".join([struct.pack("<II", DICTIONARY_MAGIC, len(held)), held, *map(pressed.compress, records)])
 
 
-def read_archive(data: bytes) -> Iterator[bytes]:
-    """The bytes of each record of an archive."""
-    view = memoryview(data)
-    if len(view) < 8:
+def read_archive(data: bytes | BinaryIO) -> Iterator[bytes]:
+    """The bytes of each record of an archive, given whole or as an open file, of which a window is held at a time."""
+    source = io.BytesIO(data) if isinstance(data, bytes) else data
+    start = source.read(8)
+    magic, size = struct.unpack("<II", start) if len(start) == 8 else (0, 0)
+    dictionary = source.read(size) if magic == DICTIONARY_MAGIC else b""
+    if magic != DICTIONARY_MAGIC or len(dictionary) < size:
         raise ValueError("no dictionary frame")
-    magic, size = struct.unpack("<II", view[:8])
-    if magic != DICTIONARY_MAGIC or len(view) < 8 + size:
-        raise ValueError("no dictionary frame")
-    dictionary = bytes(view[8 : 8 + size])
     if dictionary[:4] == FRAME_MAGIC:
         dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
-    at = 8 + size
-    while at < len(view):
+    window = source.read(_WINDOW)
+    while window:
         one, parts = reader.decompressobj(), []
         while not one.eof:
-            if at >= len(view):
+            if not window:
                 raise ValueError("a frame is cut off")
-            window = view[at : at + _WINDOW]
             parts.append(one.decompress(window))
-            at += len(window) - len(one.unused_data)
+            window = one.unused_data if one.eof else b""
+            window = window or source.read(_WINDOW)
         yield b"".join(parts)
 
 
 def _writer(folder: str, archive_bytes: int, dictionary_bytes: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = fs.FileSystem.from_uri(folder)
-        part, records, size, done = TaskContext.get().partitionId(), [], 0, 0
+        context, attempt = TaskContext.get(), uuid.uuid4().hex
+        records, size, done = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            name = f"{path}/part-{part:06d}-{done:05d}.warc.zst"
-            held = f"{path}/.{uuid.uuid4().hex}.tmp"
-            with where.open_output_stream(held) as f:
+            name = f"part-{context.partitionId() if context else 0:06d}-{attempt}-{done:05d}.warc.zst"
+            with where.open_output_stream(f"{path}/{name}") as f:
                 f.write(archive(records, train(records[:500], dictionary_bytes)))
-            where.move(held, name)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(records)], pa.int64())], ["archive", "records"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(records)], pa.int64())], ["archive", "records"])
 
         for b in batches:
             for row in b.to_pylist():
@@ -168,7 +176,7 @@ def _writer(folder: str, archive_bytes: int, dictionary_bytes: int, date: str):
 
 
 def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, archive_bytes: int = 32_000_000, dictionary_bytes: int = 16_384, date: str = "2025-01-01T00:00:00Z") -> str:
-    """Write a record per row of `pages` (page_id, url, html); return the folder of the archives.
+    """Write a record per row of `pages` (page_id, url, html); return the path of the manifest (archive, records).
 
     Rows whose payloads are equal and have at least `least_bytes` bytes are one
     response, that with the largest page_id, and revisits of it.  A null html
@@ -177,23 +185,25 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, arc
     that share the largest page_id.
     """
     spark = pages.sparkSession
+    parts = shuffle_partitions(spark)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("sha"),
-        F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"), F.pmod(F.hash("page_id"), F.lit(SALTS)).alias("salt"),
-    )
-    latest = (
-        rows.groupBy("sha", "n").agg(F.max("page_id").alias("latest"), F.count("*").alias("many"))
-        .where(f"many > 1 and n >= {least_bytes}").select("sha", "latest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    named = rows.join(latest, ["sha", "salt"], "left").select(
-        "page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("latest")), F.col("latest")).alias("refers_to")
+        F.coalesce(F.octet_length("html"), F.lit(0)).alias("n"),
     )
+    groups = rows.groupBy("sha", "n").agg(F.max("page_id").alias("latest"), F.count("*").alias("many")).where(f"many > 1 and n >= {least_bytes}")
+    groups = scratch.save(groups.select("sha", "latest", "many"), "groups")
+    crowd = max(CROWD, pages.count() // 1000)
+    crowds = groups.where(F.col("many") > crowd).select("sha", F.col("latest").alias("top"), F.lit(True).alias("crowded"))
+    dealt = F.when(F.col("crowded"), F.concat(F.lit("~"), F.pmod(F.xxhash64("page_id", "url"), F.lit(4 * parts)).cast("string"))).otherwise(F.col("sha"))
+    spread = rows.join(F.broadcast(crowds), "sha", "left").withColumn("key", dealt)
+    named = spread.join(groups.where(F.col("many") <= crowd).select(F.col("sha").alias("key"), "latest"), "key", "left").withColumn("latest", F.coalesce("latest", "top"))
+    named = named.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("latest")), F.col("latest")).alias("refers_to"))
     folder = f"{scratch.root}/archives"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
     scratch.save(named.mapInArrow(_writer(folder, archive_bytes, dictionary_bytes, date), "archive string, records long"), "manifest")
-    return folder
+    return f"{scratch.root}/manifest"
 
 
 _FIELDS = pa.schema(
@@ -201,26 +211,43 @@ _FIELDS = pa.schema(
 )
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """One row per record of all archives in a folder; records that are not valid have a `problem`."""
+def read_archives(spark: SparkSession, manifest: str) -> DataFrame:
+    """One row per record of the archives of a manifest; records that are not valid have a `problem`.
+
+    An archive that is cut off or holds more or fewer records than the
+    manifest says gives a row with a problem after those that it has.
+    """
+    return records_of(spark.read.schema("archive string, records long").parquet(manifest))
+
+
+def records_of(archives: DataFrame, held_bytes: int = 8_000_000) -> DataFrame:
+    """As `read_archives`, of a table (archive, records) of paths or addresses; `records` may be null.
+
+    Archives are dealt out by name and read a record at a time; a batch holds
+    payloads of about `held_bytes`.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b["content"]:
-                held: list[dict] = []
-                try:
-                    for r in read_archive(content.as_py()):
+        for row in (r for b in batches for r in b.to_pylist()):
+            held: list[dict] = []
+            size = many = 0
+            try:
+                where, path = fs.FileSystem.from_uri(row["archive"])
+                with where.open_input_stream(path) as f:
+                    for r in read_archive(f):
                         held.append(parse_record(r))
-                        if len(held) == 1000:
+                        many, size = many + 1, size + len(r)
+                        if size >= held_bytes or len(held) == 1000:
                             yield pa.RecordBatch.from_pylist(held, schema=_FIELDS)
-                            held = []
-                except (ValueError, zstandard.ZstdError) as e:
-                    held.append({"problem": f"bad archive: {e}"})
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema=_FIELDS)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(
+                            held, size = [], 0
+                if row["records"] is not None and many != row["records"]:
+                    raise ValueError(f"{many} of {row['records']} records")
+            except (ValueError, zstandard.ZstdError) as e:
+                held.append({"problem": f"bad archive: {e}"})
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=_FIELDS)
+
+    return archives.select("archive", "records").repartition(shuffle_partitions(archives.sparkSession), "archive").mapInArrow(
         read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string"
     )
 
