@@ -2,11 +2,14 @@
 
 A rule is a host and the beginning of a path, and fits the host, all its
 subdomains and every path that starts so.  A url therefore has a bounded set of
-possible rules: each suffix of its host at a dot, with each beginning of its
-path that has the length of some listed path.  The listed rules are hashed
-into a blocked Bloom filter, whose one 512-bit block per rule costs a url one
-cache line per probe; the few combinations that pass go to an exact hash join
-with the list, which removes false positives, and the longest rule wins.
+possible rules: each suffix of its host at a dot, of no more labels than the
+listed host with the most, with each beginning of its path that has the length
+of some listed path.  The listed hosts and rules are hashed into a blocked
+Bloom filter, whose one 512-bit block per name costs a url one cache line per
+probe: suffixes go first, and beginnings of the path only with those that pass.
+The few combinations that pass, too, go to an exact hash join with the list,
+which removes false positives, and the longest rule wins.  Urls without any go
+round the join.
 
 The filter is built by a grouped OR over blocks.  Its size is checked against
 `max_filter_bytes`; a longer list gets a filter of that size with more false
@@ -23,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.shared import Scratch
+
 _WORDS = 8
 _PROBES = 6
 #: The list is broadcast for the exact join up to this many rules.
@@ -42,6 +47,16 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), tail[:end]
 
 
+def suffixes(host: str, labels: int) -> Iterator[str]:
+    """The last labels of a host, one to `labels` of them."""
+    at = len(host)
+    for _ in range(labels if host else 0):
+        at = host.rfind(".", 0, at)
+        yield host[at + 1 :]
+        if at < 0:
+            return
+
+
 def _hash_pair(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     a = pd.util.hash_array(np.array(names, dtype=object), hash_key="0123456789abcdef", categorize=False)
     b = pd.util.hash_array(np.array(names, dtype=object), hash_key="fedcba9876543210", categorize=False)
@@ -91,7 +106,7 @@ def build_filter(rules: DataFrame, count: int, bits_per_rule: int, max_filter_by
 
 
 def filter_urls(
-    pages: DataFrame, rules: DataFrame, otherwise: str = "allow", bits_per_rule: int = 16, max_filter_bytes: int = 64_000_000
+    pages: DataFrame, rules: DataFrame, otherwise: str = "allow", bits_per_rule: int = 16, max_filter_bytes: int = 64_000_000, scratch: Scratch | None = None
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of `pages` (page_id, url).
 
@@ -107,27 +122,26 @@ def filter_urls(
         F.concat(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("\n"), "path").alias("rule"), "verdict", F.length("path").alias("n")
     ).groupBy("rule").agg(F.min("verdict").alias("verdict"), F.first("n").alias("n"))
     lengths = [r["n"] for r in listed.select("n").distinct().orderBy("n").collect()]
-    count = listed.count()
-    bloom = spark.sparkContext.broadcast(build_filter(listed.select("rule"), count, bits_per_rule, max_filter_bytes))
+    host = F.substring_index("rule", "\n", 1)
+    count, labels = listed.agg(F.count("*"), F.max(F.size(F.split(host, "[.]")))).first()
+    names = listed.select("rule").unionByName(listed.select(host.alias("rule")).distinct())
+    bloom = spark.sparkContext.broadcast(build_filter(names, 2 * count, bits_per_rule, max_filter_bytes))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, paths, names, owner = [], [], [], []
+            hosts, paths, ends, owner = [], [], [], []
             for i, url in enumerate(b["url"].to_pylist()):
                 host, path = split_url(url)
                 hosts.append(host)
                 paths.append(path)
-                starts = [path[:n] for n in lengths if n <= len(path)] if host else []
-                at = 0
-                while starts:
-                    names += [f"{host[at:]}\n{p}" for p in starts]
-                    owner += [i] * len(starts)
-                    at = host.find(".", at) + 1
-                    if not at:
-                        break
+                found = list(suffixes(host, labels or 0)) if path else []
+                ends += found
+                owner += [i] * len(found)
+            listed_ends = np.flatnonzero(bloom.value.passes(ends)).tolist()
+            combined = [(owner[k], f"{ends[k]}\n{paths[owner[k]][:n]}") for k in listed_ends for n in lengths if n <= len(paths[owner[k]])]
             kept: list[list[str]] = [[] for _ in hosts]
-            for k in np.flatnonzero(bloom.value.passes(names)).tolist():
-                kept[owner[k]].append(names[k])
+            for k in np.flatnonzero(bloom.value.passes([name for _, name in combined])).tolist():
+                kept[combined[k][0]].append(combined[k][1])
             yield pa.RecordBatch.from_arrays(
                 [b["page_id"], pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kept, pa.list_(pa.string()))],
                 ["page_id", "host", "path", "possible"],
@@ -136,15 +150,15 @@ def filter_urls(
     found = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(
         hits, "page_id long, host string, path string, possible array<string>"
     ).withColumn("row", F.monotonically_increasing_id())
+    found = (scratch or Scratch(spark, "urls")).save(found, "found")
     table = listed.select("rule", "verdict")
     table = F.broadcast(table) if count <= BROADCAST_RULES else table
-    fits = (
-        found.select("row", F.struct("page_id", "host", "path").alias("page"), F.explode_outer("possible").alias("rule")).join(table, "rule", "left")
-        .groupBy("row").agg(
-            F.first("page").alias("page"),
-            F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("best"),
-        )
+    best = (
+        found.where("size(possible) > 0").select("row", F.explode("possible").alias("rule")).join(table, "rule")
+        .groupBy("row").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
     )
+    fits = found.where("size(possible) > 0").join(best, "row", "left").select(F.struct("page_id", "host", "path").alias("page"), "best")
+    fits = fits.unionByName(found.where("size(possible) = 0").select(F.struct("page_id", "host", "path").alias("page")), allowMissingColumns=True)
     return fits.select(
         "page.page_id", "page.host", "page.path", F.translate("best.rule", "\n", "").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict")
     )
