@@ -1,10 +1,11 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding lower-cases, strips accents, replaces look-alike letters of other
-scripts and digits or signs that stand for letters inside words, and makes
-everything else a space.  The lexicon's terms are whole words or beginnings of
-words with the log-odds of toxic documents as weights, learned from labelled
-rows by counting documents.  One pass of the automaton finds terms and
+scripts and digits or signs that stand for letters in words, and makes
+everything else a space.  The lexicon's terms are whole words, and beginnings
+of words of 4 to 12 letters, with the log-odds of toxic documents as weights,
+learned from labelled rows by counting documents; texts are always matched as
+a whole.  One pass of the automaton finds terms and
 exception phrases; a term within an exception phrase does not count.  The
 weights found, normalised by length, give a calibrated score.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -35,15 +37,21 @@ SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
 #: Phrases in which a term is meant otherwise.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown car", "idiot proof", "loser bracket", "pond scum", "clown school")
 
+#: Letters of a word's beginnings that may be terms.
 SHORTEST, LONGEST = 4, 12
-_SIGN = re.compile(r"(?<=[^\W\d_])[@$!|](?=[^\W\d_])")
-_DIGIT = re.compile(r"\d+")
+_LETTERS = DIGITS | str.maketrans(SIGNS)
+_NO_SIGNS = str.maketrans(dict.fromkeys(SIGNS, " "))
+#: A run of letters, digits and signs that holds a digit or sign; possessive, so that long runs are read once.
+_MIXED = re.compile(r"(?<!\S)[^\s\d@$!|]*+[\d@$!|]\S*+")
 
 
 class _Folding(dict):
     def __missing__(self, code: int) -> str:
         c = chr(code).lower()
         c = HOMOGLYPHS.get(c, c)
+        if c in SIGNS:
+            self[code] = c
+            return c
         c = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         c = "".join(HOMOGLYPHS.get(x, x) if x.isalnum() else "" for x in c) or ("" if unicodedata.combining(chr(code)) else " ")
         self[code] = c
@@ -54,18 +62,19 @@ _FOLDING = _Folding()
 
 
 def _letters(m: re.Match) -> str:
-    s, a, z = m.string, m.start(), m.end()
-    inside = (a > 0 and s[a - 1] != " ") or (z < len(s) and s[z] != " ")
-    return m[0].translate(DIGITS) if inside else m[0]
+    """Digits and signs of a run as letters, if it holds a letter; `!` and `|` at its end are punctuation."""
+    run = m[0]
+    if not any(c.isalpha() for c in run):
+        return run.translate(_NO_SIGNS)
+    word = run.rstrip("!|")
+    return word.translate(_LETTERS) + " " * (len(run) - len(word))
 
 
 def fold(text: str | None) -> str:
     """Words of folded letters, each with a space before and after."""
     if not text:
         return " "
-    if any(c in text for c in SIGNS):
-        text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    return f" {_DIGIT.sub(_letters, text.translate(_FOLDING))} "
+    return f" {_MIXED.sub(_letters, text.translate(_FOLDING))} "
 
 
 def terms_of(folded: str) -> set[str]:
@@ -113,15 +122,20 @@ def features(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, floa
     """Weight found, and weight found per square root of the number of words, both on a log scale."""
     if not len(automaton):
         return 0.0, 0.0
-    hits, spared = {}, []
+    hits: dict[int, float] = {}
+    spared: list[list[int]] = []
     for end, (n, w) in automaton.iter(folded):
         start = end - n + 1
         if w:
             hits[start] = max(w, hits.get(start, 0.0))
         else:
-            spared.append((start, end))
+            # ends only grow, so spans that this one meets are the last ones
+            while spared and spared[-1][1] >= start:
+                start = min(start, spared.pop()[0])
+            spared.append([start, end])
     if spared:
-        hits = {s: w for s, w in hits.items() if not any(a <= s < z for a, z in spared)}
+        starts = [a for a, _ in spared]
+        hits = {s: w for s, w in hits.items() if not (k := bisect_right(starts, s)) or s >= spared[k - 1][1]}
     total = sum(hits.values())
     words = folded.count(" ")
     return math.log1p(total), math.log1p(10 * total / math.sqrt(words + 20))
@@ -161,11 +175,12 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def fit_lexicon(sample: DataFrame, least_documents: int = 5, least_log_odds: float = 1.5, most_terms: int = 20_000) -> Lexicon:
+def fit_lexicon(sample: DataFrame, least_documents: int = 5, least_log_odds: float = 1.5) -> Lexicon:
     """A lexicon from a bounded sample (doc_id, text, toxic 0 or 1), none null.
 
     Three quarters, by a hash of doc_id, are for the terms and the rest to
-    calibrate the score.
+    calibrate the score.  All terms that are telling enough are taken; the
+    sample bounds how many there can be.
     """
     spark = sample.sparkSession
     held = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(4)) == 0
@@ -175,7 +190,7 @@ def fit_lexicon(sample: DataFrame, least_documents: int = 5, least_log_odds: flo
         sample.where(~held).select("text", "toxic").mapInArrow(_term_counts, "term string, toxic long, clean long")
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("toxic") >= least_documents) & (F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1)) >= least_log_odds))
-        .orderBy(F.desc("toxic"), "clean", "term").limit(most_terms).collect()
+        .collect()
     )
     lexicon = Lexicon(choose_terms([(r["term"], r["toxic"], r["clean"]) for r in counted], toxic, clean, least_log_odds))
     shared = spark.sparkContext.broadcast(lexicon)
@@ -216,7 +231,11 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, ex
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs` (with a column text) that score under `threshold`, with all their columns."""
+    """The rows of `docs` (with a column text) that score under `threshold`, with all their columns.
+
+    Null and empty texts score as one without any term.  Repeated rows stay;
+    an empty table gives no rows; other columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def test() -> Callable[[list], list[bool]]:
@@ -239,7 +258,9 @@ def labelled_lexicon(docs: DataFrame, labels: DataFrame, fit_rows: int = 16_000,
     share = min(1.0, fit_rows / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    return fit_lexicon(scratch.save(rows, "sample"))
+    lexicon = fit_lexicon(scratch.save(rows, "sample"))
+    scratch.drop("sample")
+    return lexicon
 
 
 def held_out() -> Column:
