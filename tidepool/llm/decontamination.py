@@ -9,6 +9,10 @@ n - ceil(t * n) of them, so with k one more than that, at least one sketch
 value must be in the document's set: no containing pair is missed.
 Candidates are verified by the exact count of common shingles.
 
+A partition is skipped where a document has fewer shingles than its smallest
+item needs.  In the others, the shorter of the two sorted lists, the document's
+shingles or the partition's sketch values, is looked up in the longer.
+
 The benchmark is a stated query set.  It is broadcast in blocks of at most
 `block_shingles` shingles, and every block is held against all documents.
 """
@@ -44,25 +48,39 @@ class ItemIndex:
             values, owners = [], []
             for k in members:
                 s = self.sets[k]
-                enough = s.size - -(-percent * s.size // 100) + 1
+                enough = s.size - self.needed(s.size) + 1
                 values.append(s[np.argsort(mix(s))[:enough]])
                 owners.append(np.full(enough, k))
             value, owner = np.concatenate(values), np.concatenate(owners)
             order = np.argsort(value, kind="stable")
-            self.partitions.append((value[order], owner[order]))
+            self.partitions.append((value[order], owner[order], min(self.needed(self.sets[k].size) for k in members)))
+
+    def needed(self, size: int) -> int:
+        """Shingles of an item of `size` that a document must have."""
+        return -(-self.percent * size // 100)
+
+    def _owners(self, s: np.ndarray) -> Iterator[int]:
+        for value, owner, least in self.partitions:
+            if s.size < least:
+                continue
+            if value.size < s.size:
+                at = np.minimum(np.searchsorted(s, value), s.size - 1)
+                hits = owner[s[at] == value]
+            else:
+                low, high = np.searchsorted(value, s), np.searchsorted(value, s, side="right")
+                hits = np.concatenate([owner[a:z] for a, z in zip(low[high > low], high[high > low])] or [owner[:0]])
+            yield from np.unique(hits).tolist()
 
     def found(self, s: np.ndarray) -> Iterator[tuple[int, int]]:
         """(item, common shingles) of the items that the sorted set `s` contains."""
         if not s.size:
             return
-        for value, owner in self.partitions:
-            at = np.minimum(np.searchsorted(s, value), s.size - 1)
-            for k in np.unique(owner[s[at] == value]).tolist():
-                whole = self.sets[k]
-                at_whole = np.minimum(np.searchsorted(s, whole), s.size - 1)
-                common = int(np.count_nonzero(s[at_whole] == whole))
-                if 100 * common >= self.percent * whole.size:
-                    yield k, common
+        for k in self._owners(s):
+            whole = self.sets[k]
+            at = np.minimum(np.searchsorted(s, whole), s.size - 1)
+            common = int(np.count_nonzero(s[at] == whole))
+            if common >= self.needed(whole.size):
+                yield k, common
 
 
 def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +138,11 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, block_
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = 75, block_shingles: int = 2_000_000) -> DataFrame:
-    """The rows of `docs` (with a column text) that contain no item, with all their columns."""
+    """The rows of `docs` (with a column text) that contain no item, with all their columns.
+
+    Null and wordless texts contain nothing and stay, as do repeated rows;
+    without items all rows stay; an empty table gives no rows.
+    """
     for index in _item_blocks(items, percent, block_shingles):
 
         def test(index=index) -> Callable[[list], list[bool]]:
