@@ -4,8 +4,9 @@ Features are hashed character n-grams (one to three code points, A-Z and other
 capitals lower-cased) with sublinear TF-IDF weights, unit length.  Document
 frequencies are counted over all training rows.  Weights are learned by
 follow-the-regularised-leader (FTRL-proximal) with an elastic-net penalty, on
-shards of a bounded sample (`fit_rows`) in parallel, and the shards' weights
-averaged; a part of the sample that no shard sees sets the temperature that
+shards of a bounded sample (`fit_rows`) in parallel; the shards' states are
+averaged and the penalty's threshold applied to the average, so that weights
+stay sparse.  A part of the sample that no shard sees sets the temperature that
 calibrates the scores.
 """
 
@@ -91,7 +92,7 @@ class Ftrl:
         self.z = np.zeros((SIZE + 1, classes))
         self.n = np.zeros((SIZE + 1, classes))
 
-    def weights(self, at: np.ndarray) -> np.ndarray:
+    def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
         step = (self.beta + np.sqrt(n)) / self.alpha + self.l2
         return np.where(np.abs(z) > self.l1, -(z - np.sign(z) * self.l1) / step, 0.0)
@@ -129,7 +130,8 @@ def fit_language_model(rows: DataFrame, fit_rows: int = 8000, shards: int = 8, e
     share = min(1.0, fit_rows / max(1, many))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
     sample = rows.where(draw < int(share * 1_000_000)).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)))
-    sample = Scratch(spark, "language").save(sample.select("doc_id", "text", "lang", "fold"), "sample")
+    scratch = Scratch(spark, "language")
+    sample = scratch.save(sample.select("doc_id", "text", "lang", "fold"), "sample")
     known = spark.sparkContext.broadcast((langs, idf))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,17 +143,19 @@ def fit_language_model(rows: DataFrame, fit_rows: int = 8000, shards: int = 8, e
             for _ in range(epochs):
                 for at, x, y in seen:
                     model.learn(at, x, y)
-            w = model.weights(np.arange(SIZE + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([len(seen)], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["rows", "weights"])
+            states = [pa.array([x.tobytes()], pa.binary()) for x in (model.z, model.n)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(seen)], pa.int64()), *states], ["rows", "z", "n"])
 
     learned = (
         sample.where("fold <> 0").repartition(shards, F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards))).sortWithinPartitions("doc_id", "text")
-        .select("text", "lang").mapInArrow(learn, "rows long, weights binary").collect()
+        .select("text", "lang").mapInArrow(learn, "rows long, z binary, n binary").collect()
     )
-    weights = np.zeros((SIZE + 1, len(langs)))
+    mean = Ftrl(len(langs))
     for r in learned:
-        weights += np.frombuffer(bytes(r["weights"])).reshape(weights.shape) * r["rows"] / sum(x["rows"] for x in learned)
-    model = LanguageModel(langs, idf, weights)
+        part = r["rows"] / sum(x["rows"] for x in learned)
+        mean.z += np.frombuffer(bytes(r["z"])).reshape(mean.z.shape) * part
+        mean.n += np.frombuffer(bytes(r["n"])).reshape(mean.n.shape) * part
+    model = LanguageModel(langs, idf, mean.weights())
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +170,7 @@ def fit_language_model(rows: DataFrame, fit_rows: int = 8000, shards: int = 8, e
         tries = np.exp(np.linspace(np.log(0.02), np.log(20), 200))
         loss = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in tries]
         model.temperature = float(tries[int(np.argmin(loss))])
+    scratch.drop("sample")
     return model
 
 
@@ -206,13 +211,22 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def identify_languages(docs: DataFrame, fit_rows: int = 8000) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of `docs` (doc_id, text, lang)."""
+    """(doc_id, held_out, lang_pred, score) for every row of `docs` (doc_id, text, lang).
+
+    Rows with a null lang or text teach nothing; a null text is `und`.
+    Repeated rows stay; a null doc_id stays null and is held out; an empty
+    table gives no rows; other columns are ignored.
+    """
     model = fit_language_model(training_rows(docs), fit_rows)
     return predict_language(docs, model, [held_out(F.col("doc_id")).alias("held_out")])
 
 
 def drop_unidentified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` (with a column text) in a known language with a score of `least`, with all their columns."""
+    """The rows of `docs` (with a column text) in a known language with a score of `least`, with all their columns.
+
+    Null texts and texts without a letter are in no language and go.  Repeated
+    rows stay; an empty table gives no rows; other columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def test() -> Callable[[list], list[bool]]:

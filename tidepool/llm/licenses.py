@@ -4,7 +4,8 @@ The canonical form lower-cases A-Z, drops copyright notices, maps equivalent
 spellings to one, and makes every run of anything but letters and digits one
 space.  Licence wording stays wherever its lines break.  Its SHA-256 is joined to the digests of known licence texts, which are
 made by the same expressions.  Everything is DataFrame functions; the known
-texts are a fixed list, so their side is broadcast.
+texts are a fixed list, so their side is broadcast, as is a table of up to
+BROADCAST_DIGESTS known texts that a caller passes.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ NOTICE = (
     rf"|(?<=\A[^\p{{L}}\p{{N}}]{{0,20}}|\n[ \t\r]{{0,20}}\n[^\p{{L}}\p{{N}}\n]{{0,20}})copyright[ \t]+(?!{_WORDING}){_HOLDER}"
     r"|all\s+rights\s+reserved(?![\p{L}\p{N}]))"
 )
+#: A caller's digests are broadcast only if there are no more than these.
+BROADCAST_DIGESTS = 100_000
 #: What every notice contains: other texts are not searched.
 _MARKS = ("copyright", "(c)", "©", "&copy;", "reserved")
 
@@ -81,9 +84,10 @@ def canonical(text: Column) -> Column:
     t = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     marked = reduce(or_, [t.contains(m) for m in _MARKS])
     t = F.when(marked, F.regexp_replace(t, NOTICE, " ")).otherwise(t)
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    # two spaces between words, so that a word that follows its like is replaced, too
+    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for one, other in SPELLINGS:
-        t = F.replace(t, F.lit(f" {one} "), F.lit(f" {other} "))
+        t = F.replace(t, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other} "))
     t = F.regexp_replace(t, " +", " ")
     return F.trim(_templates(t))
 
@@ -117,10 +121,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     match nothing and have a null digest.  Repeated rows stay; a null doc_id
     stays null; an empty table gives no rows; other columns are ignored.
     """
+    small = known is None or known.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
     known = known_licenses(docs.sparkSession) if known is None else known
     known = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    known = F.broadcast(known) if small else known
     form = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text")).alias("form"))
     digest = F.when(F.length("form") > 0, F.sha2("form", 256)).alias("digest")
     return form.select("doc_id", digest, F.length("form").cast("long").alias("n_canonical")).join(
-        F.broadcast(known), "digest", "left"
+        known, "digest", "left"
     ).select("doc_id", "digest", "n_canonical", "license_id")

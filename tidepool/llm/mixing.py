@@ -42,7 +42,8 @@ def source_targets(sizes: DataFrame, ratio: float, weights: Sequence[float], epo
     Sources in code point order (null last) take the weights in turn; what
     capped sources can't take is shared anew by weight.  With sources in the
     order of cap over weight, those that are capped come first, so one pass of
-    running sums finds the common level of all others.
+    running sums finds the common level of all others.  Sources are ranked in
+    one task: there are thousands of them at most, one row each.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -72,8 +73,9 @@ def mix_sources(
     `taken` is the number of a document's words in the mix, repeats counted;
     within a source they sum to the target, rounded down.  Null sizes count as
     0 and take nothing; weights that are null or not positive count as 1.  A
-    null source is a source of its own.  Equal keys are ordered by doc_id;
-    repeated rows are documents of their own.  Results depend on ids, sizes and
+    null source is a source of its own.  Equal keys are ordered by doc_id and
+    size; repeated rows are documents of their own.  Other columns are ignored;
+    an empty table gives no rows.  Results depend on ids, sizes and
     weights only.
     """
     spark = docs.sparkSession
@@ -106,7 +108,7 @@ def mix_sources(
         "k.doc_id", "k.source", "k.size", "p.source_size", "p.target", "key", "bin", "full", "rest", "cut", "before"
     )
     sides = rows.where("cut is null or bin <> cut").withColumn("part", F.when(F.col("bin") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_cut = rows.where("bin = cut").withColumn("start", F.col("before") + F.sum("size").over(order) - F.col("size")).withColumn(
         "part", F.least(F.col("size"), F.greatest(F.lit(0), F.col("rest") - F.col("start")))
     ).drop("start")
@@ -118,7 +120,9 @@ def mix_sources(
 def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` with a column `weight`: 1 for good, 0.25 for poor and 0.5 for unlabelled documents.
 
-    Where a doc_id has several labels, the best counts.
+    Where a doc_id has several labels, the best counts.  Null labels and a
+    null doc_id count as unlabelled; documents that repeat stay; an empty table
+    of either gives no rows or no labels.
     """
     best = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return docs.join(best, "doc_id", "left").withColumn(
