@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidepool.llm.decontamination import ItemIndex, contained_items, drop_contaminated
-from tidepool.llm.hamming import embedding_links
-from tidepool.llm.jaccard import block_keys, jaccard_components, keep_one_of_each, parity_sketch
+from tidepool.llm.hamming import embedding_links, pairs_at, plan_codes
+from tidepool.llm.jaccard import THIN_ROUNDS, block_keys, jaccard_components, keep_one_of_each, parity_sketch
+from tidepool.llm.shared import Scratch
 from tidepool.llm.shingles import shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,6 +123,46 @@ def test_jaccard_edge_rows(spark):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "None"]
 
 
+def test_sets_that_share_half_a_fingerprint_stay_apart(spark):
+    texts = corpus(4, 90) | {900: None, 901: " "}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(rows, fingerprint_bits=4).collect()}
+    assert got == brute(texts)
+
+
+def test_jaccard_repeats_are_one_vertex(spark):
+    base = [f"x{k}" for k in range(40)]
+    a, b = " ".join(base), " ".join(base[:-1] + ["y"])
+    scratch = Scratch(spark, "t")
+    df = spark.createDataFrame([(1, a), (1, b)] * 500 + [(2, a.upper()), (2, "other words that stand here")], "doc_id long, text string")
+    got = jaccard_components(df, scratch).collect()
+    assert len(got) == 1002 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (2, 2)}
+    links = spark.read.parquet(f"{scratch.root}/links{THIN_ROUNDS - 1}").unionByName(spark.read.parquet(f"{scratch.root}/more"))
+    assert links.count() <= 3
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = "a b c d e f g", "h i j k l m n"
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (5, b.upper(), 5), (6, "", 6), (6, None, 7), (6, None, 8), (None, a, 9), (7, b, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _rows int").withColumnsRenamed({"_rows": "KEPT_rows"}).selectExpr("*", "1 as _rows", "2 as `a.b`", "3 as node", "4 as kept_doc")
+    kept = keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, (r.text or "").lower()) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (6, ""), (6, ""), (None, a)], key=str)
+    assert keep_one_of_each(df.limit(0)).collect() == []
+
+
+def test_very_long_texts_in_joins(spark):
+    rng = random.Random(11)
+    long = [f"v{rng.randrange(3000)}" for _ in range(200_000)]
+    near = [w if rng.random() > 0.02 else "z" for w in long]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:150_000])), (4, "x" * 1_500_000), (5, " ".join(long[777:800]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()} == brute(dict(rows))
+    found = contained_items(df, df.where("doc_id = 5").withColumnRenamed("doc_id", "item_id"))
+    assert {1, 3, 5} <= {r.doc_id for r in found.collect()} <= {1, 2, 3, 5}
+
+
 def test_contained_items_match_brute_force(spark):
     rng = random.Random(9)
     texts = {i: t for i, t in corpus(3).items()}
@@ -168,6 +209,28 @@ def test_embedding_links_match_brute_force(spark):
     assert embedding_links(df.limit(0)).collect() == []
 
 
+def test_codes_are_balanced_beside_a_large_group_of_copies():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(2000, 32)) + 1.0, rng.normal(size=32) + 1.0 + rng.normal(size=(1000, 32)) * 0.02])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coder = plan_codes(x, 10_000_000, 0.98, 1e-3)
+    signs = coder.signs(x)
+    share = signs[:2000].mean(axis=0)
+    assert share.min() > 0.25 and share.max() < 0.75 and abs(share.mean() - 0.5) < 0.05
+    group = signs[2000:]
+    assert np.minimum(group.mean(axis=0), 1 - group.mean(axis=0)).mean() < 0.05  # the copies' codes agree
+    a, b = pairs_at(x, 0.98, seed=99)
+    one, two = coder.signs(a), coder.signs(b)
+    met = (coder.parts(one) == coder.parts(two)).any(axis=1) & ((one != two).sum(axis=1) <= coder.far)
+    assert met.mean() >= 0.995
+
+
+def test_embedding_edge_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [1.0, -0.0], 3), (2, [2.0, 0.01], 3), (None, [1.0, 0.0], 3)], "vec_id long, embedding array<double>, label int")
+    df = df.selectExpr("*", "1 as rep", "'x' as kind", "2 as n_links", "3 as code", "4 as V1")
+    assert sorted(map(str, map(tuple, embedding_links(df).collect()))) == ["(1, 2, 1, True)", "(2, 2, 1, False)", "(2, 2, 1, False)", "(None, 0, None, False)"]
+
+
 def test_embedding_copies_and_blocks(spark, monkeypatch):
     monkeypatch.setattr("tidepool.llm.hamming.BLOCK", 5)
     rng = np.random.default_rng(2)

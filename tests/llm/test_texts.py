@@ -1,21 +1,24 @@
 """Mixing, language, licences, tokens and toxicity."""
 
+import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tidepool.llm.language import drop_unidentified, fit_language_model, has_letter, identify_languages, predict_language, training_rows
+from tidepool.llm.language import drop_unidentified, fit_language_model, has_letter, identify_languages, ngram_counts, predict_language, training_rows
 from tidepool.llm.license_texts import TEXTS, long_texts
-from tidepool.llm.licenses import scan_licenses
+from tidepool.llm.licenses import canonical, license_digests, scan_licenses
 from tidepool.llm.mixing import mix_sources, quality_weights, word_count
 from tidepool.llm.tokens import SplicingTokenizer, count_tokens
-from tidepool.llm.toxicity import Lexicon, drop_toxic, features, fold, labelled_lexicon, score_toxicity
+from tidepool.llm.toxicity import Lexicon, drop_toxic, features, fit_lexicon, fold, labelled_lexicon, score_toxicity, terms_of
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -57,6 +60,12 @@ def test_mix_meets_targets(spark):
     assert mix_sources(df.limit(0)).collect() == []
 
 
+def test_rows_that_repeat_an_id_are_mixed_alike_in_any_order(spark):
+    df = spark.range(300).selectExpr("id % 7 as doc_id", "'s' as source", "id as size", "1.0D as weight", "id as part", "'b' as bin")
+    one, two = (sorted(map(tuple, mix_sources(df.repartition(n, "part"), ratio=0.7).collect())) for n in (1, 9))
+    assert one == two and abs(sum(r[-1] for r in one) - 0.7 * 300 * 299 / 2) <= 1
+
+
 def test_heavy_weights_come_first(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "if(id % 2 = 0, 'a', 'b') as source", "10L as size", "if(id % 4 < 2, 8.0D, 0.125D) as weight")
     got = mix_sources(df, ratio=0.3, weights=(1, 1)).collect()
@@ -94,6 +103,23 @@ def test_language_on_held_out_rows(spark):
     assert got[None].held_out and got[None].lang_pred == "aa" and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_weights_are_sparse_and_long_texts_whole(spark):
+    model = fit_language_model(training_rows(spark.createDataFrame(sentences(), "doc_id long, text string, lang string")))
+    seen = np.flatnonzero(sum(ngram_counts(t) for _, t, _ in sentences()))
+    assert np.count_nonzero(model.weights[:-1]) <= seen.size * len(LANGS) and not np.delete(model.weights[:-1], seen, axis=0).any()
+    text = ("der und mit " * 40_000) + "the and with " * 90_000
+    assert model.predict(text)[0] == "aa" and (ngram_counts(text) == sum(np.bincount(h, minlength=1 << 14) for h in plain_ngrams(text))).all()
+
+
+def plain_ngrams(text):
+    """Hashes of n-grams over the whole text at once."""
+    c = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32)
+    one = (c + np.uint32(1)) * np.uint32(0x9E3779B1)
+    two = (one[:-1] ^ (one[1:] >> np.uint32(15))) * np.uint32(0x85EBCA77) + one[1:]
+    three = (two[:-1] ^ (one[2:] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + one[2:]
+    return [(h * m) >> np.uint32(18) for h, m in ((one, np.uint32(0xC2B2AE3D)), (two, np.uint32(0x9E3779B1)), (three, np.uint32(0x85EBCA77)))]
+
+
 def test_language_filter_and_empty_table(spark):
     df = spark.createDataFrame(sentences() + [(1000, None, "aa"), (1001, "42", "bb")], "doc_id long, text string, lang string")
     model = fit_language_model(training_rows(df))
@@ -152,6 +178,15 @@ def test_long_licenses(spark):
     assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= texts.keys()
 
 
+def test_spellings_are_whole_words(spark):
+    rows = [(1, "Licence licence LICENCE relicence"), (2, "sub-licence, sub licence x"), (3, "licence " * 200_000)]
+    got = [r.form for r in spark.createDataFrame(rows, "doc_id long, text string").select(canonical(F.col("text")).alias("form")).collect()]
+    assert got == ["license license license relicence", "sublicense sublicense x", " ".join(["license"] * 200_000)]
+    known = spark.createDataFrame([("Mine", "Licence: licence licence")], "license_id string, text string")
+    docs = spark.createDataFrame([(7, "license license license", "x"), (8, "license", None)], "doc_id long, text string, license_id string")
+    assert {r.doc_id: r.license_id for r in scan_licenses(docs, license_digests(known)).collect()} == {7: "Mine", 8: None}
+
+
 def hard_texts():
     rng = random.Random(6)
     pieces = ["the", "house", " ", "  ", "\n", "été", "日本", "ﬁ", "😀", "x" * 30, " ", "<s>", "▁", "a▁b", "\t", "12345", "ß"]
@@ -179,7 +214,9 @@ def test_count_tokens_rows(spark):
 
 
 def test_folding():
-    assert fold("Ｉdiοt, 1d10t! $tupid st@pid p4thétic") == " idiot  idiot   tupid stapid pathetic "
+    assert fold("Ｉdiοt, 1d10t! $tupid st@pid p4thétic") == " idiot  idiot  stupid stapid pathetic "
+    assert fold("1d!0t a$$ @ss! 1d10t|") == " idiot ass ass  idiot  "
+    assert fold("hey! 2024! $5 @ 100%|x") == " hey  2024   5   100 lx "
     assert fold("abc 2024, a1") == " abc 2024  ai " and fold(None) == fold("") == " "
 
 
@@ -191,6 +228,52 @@ def test_exceptions_and_prefixes():
     assert features(fold("moron " + "x " * 500), a)[1] < features(fold("moron x"), a)[1]
 
 
+def plain_features(folded, lexicon):
+    """Every place of every phrase and term, looked for one at a time."""
+    def places(key):
+        return [k for k in range(len(folded)) if folded.startswith(key, k)]
+
+    spared = [(k, k + len(p) + 1) for p in lexicon.exceptions for k in places(f" {p} ")]
+    hits = {}
+    for t, w in lexicon.terms.items():
+        for k in places(t):
+            if not any(a <= k < z for a, z in spared):
+                hits[k] = max(w, hits.get(k, 0))
+    total = sum(hits.values())
+    return math.log1p(total), math.log1p(10 * total / math.sqrt(folded.count(" ") + 20))
+
+
+def test_matches_equal_a_plain_search():
+    rng = random.Random(4)
+    lexicon = Lexicon({" can ": 1.0, " trash": 2.0, " trashcan ": 3.0, " tra": 0.5, " car ": 1.5, " clow": 2.5}, ("trash can", "can trash", "clown car", "car can trash"))
+    a = lexicon.automaton()
+    for _ in range(200):
+        text = fold(" ".join(rng.choices(["can", "trash", "trashy", "trashcan", "clown", "car", "x", "tr4sh"], k=rng.randrange(0, 25))))
+        assert features(text, a) == pytest.approx(plain_features(text, lexicon))
+
+
+def test_very_long_texts_are_scored_in_linear_time():
+    a = Lexicon({" trash ": 2.0, " moron": 3.0}, ("trash can",)).automaton()
+    began = time.time()
+    found = features(fold("trash can moron trash " * 100_000), a)
+    assert found[0] == pytest.approx(math.log1p(5.0 * 100_000)) and fold("a1" * 500_000).strip() == "ai" * 500_000
+    assert fold("x" * 1_000_000 + "!") == f" {'x' * 1_000_000}  " and time.time() - began < 20
+
+
+def test_terms_are_counted_by_document(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "vile", "vilest", "rotten"], [9, 9, 9, 1 + 4 * (i % 2), 1, 1 + (i % 2)], k=6)), i % 2) for i in range(400)]
+    got = fit_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), least_log_odds=0.2)
+    xx = spark.createDataFrame([(i,) for i, *_ in rows], "doc_id long").withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(4)))
+    held = {r.doc_id for r in xx.where("h = 0").collect()}
+    seen = [(terms_of(fold(t)), y) for i, t, y in rows if i not in held]
+    toxic, clean = sum(y for _, y in seen), sum(1 - y for _, y in seen)
+    for t, w in got.terms.items():
+        a, b = (sum(t in terms for terms, y in seen if y == k) for k in (1, 0))
+        assert a >= 5 and w == pytest.approx(math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))) and w >= 0.2
+    assert any(" vile".startswith(t.rstrip()) for t in got.terms) and not any(t.startswith(" alph") for t in got.terms)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]

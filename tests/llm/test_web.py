@@ -1,7 +1,10 @@
 """URL filters and WARC archives."""
 
+import os
 import random
+import time
 
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -31,6 +34,14 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in none} == {"block"} and len(none) == len(urls)
 
 
+def test_very_long_hosts_and_paths(spark):
+    urls = ["http://" + "a." * 20_000 + "example.com/en/x", "http://" + "a." * 20_000 + "www.example.com/en/" + "/en" * 200_000, "http://" + "n" * 1_000_000 + ".net/es/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(df, spark.createDataFrame(RULES, "host string, path string, verdict string")).collect()}
+    assert got == {0: ("example.com/en/", "block"), 1: ("www.example.com/en/", "allow"), 2: ("net/es/", "block")} and time.time() - began < 60
+
+
 def test_bloom_has_no_false_negatives(spark):
     names = [f"host{i}.com\n/p" for i in range(3000)]
     bloom = build_filter(spark.createDataFrame([(n,) for n in names], "rule string"), len(names), 16, 64_000_000)
@@ -63,6 +74,32 @@ def test_small_payloads_are_not_revisits(spark):
     assert {r.page_id: r.refers_to for r in got.collect()} == {1: None, 2: None, 3: 4, 4: None}
 
 
+def test_attempts_do_not_mix(spark):
+    """A partition that is written twice in another order of rows: each record is read once."""
+    scratch = Scratch(spark, "t")
+    folder = f"{scratch.root}/archives"
+    os.makedirs(folder)
+    rows = [{"page_id": k, "url": "u", "html": str(k) * (50 if k % 2 else 400), "refers_to": None} for k in range(9)]
+    write = warc._writer(folder, 700, 500, "2025-01-01T00:00:00Z")
+    first, second = (pa.RecordBatch.from_pylist(x) for x in (rows, rows[::-1]))
+    lost = [r for b in write(iter([first])) for r in b.to_pylist()]
+    kept = [r for b in write(iter([second])) for r in b.to_pylist()]
+    assert len({r["archive"] for r in lost + kept}) == len(lost) + len(kept) == len(os.listdir(folder)) > 3
+    scratch.save(spark.createDataFrame(kept, "archive string, records long"), "manifest")
+    got = warc.read_archives(spark, f"{scratch.root}/manifest").collect()
+    assert sorted(r.page_id for r in got) == list(range(9)) and all(r.problem is None for r in got)
+    short = warc.records_of(spark.createDataFrame([(kept[0]["archive"], 77)], "archive string, records long")).where("problem is not null").collect()
+    assert [r.problem for r in short] == [f"bad archive: {kept[0]['records']} of 77 records"]
+
+
+def test_common_pages_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CROWD", 5)
+    pages = [(k, "u", "same") for k in range(40)] + [(100 + k, "u", f"p{k // 2}") for k in range(10)] + [(None, "u", "same"), (300, "u", "x" * 2_000_000)]
+    got = {r.page_id: r.refers_to for r in warc.archive_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {k: 39 for k in range(39)} | {39: None, None: 39, 300: None} | {100 + k: 101 + k if k % 2 == 0 else None for k in range(10)}
+    assert got == want
+
+
 def test_archives_are_validated():
     good = [warc.record(i, "u", b"payload %d" % i, None, "2025-01-01T00:00:00Z") for i in range(50)]
     data = warc.archive(good, warc.train(good, 1000))
