@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidepool.functions.series import moving_average, pct_change, series, with_ewm, with_rsi
-from tidepool.operators import allocation, calendar, diagnostics, performance, profile, returns
+from tidepool.operators import allocation, calendar, checks, diagnostics, performance, profile, returns
 from tidepool.sources.bars import load_bars, number, panel_from_wide
 
 START = dt.date(2024, 1, 1)  # a Monday
@@ -114,8 +114,12 @@ def test_covariance_and_shrinkage_match_numpy(spark):
     sd = np.sqrt(np.diag(s))
     target = rho[np.triu_indices(4, 1)].mean() * np.outer(sd, sd)
     np.fill_diagonal(target, np.diag(s))
-    phi = sum(((z[:, i] * z[:, j] - s[i, j]) ** 2).mean() for i in range(4) for j in range(4))
-    level = min(1, max(0, phi / ((s - target) ** 2).sum() / len(z)))
+    pi = np.array([[((z[:, i] * z[:, j] - s[i, j]) ** 2).mean() for j in range(4)] for i in range(4)])
+    theta = np.array([[((z[:, i] ** 2 - s[i, i]) * (z[:, i] * z[:, j] - s[i, j])).mean() for j in range(4)] for i in range(4)])
+    r = rho[np.triu_indices(4, 1)].mean()
+    pull = sum(r / 2 * (sd[j] / sd[i] * theta[i, j] + sd[i] / sd[j] * theta[j, i]) for i in range(4) for j in range(4) if i != j) + np.trace(pi)
+    level = min(1, max(0, (pi.sum() - pull) / ((s - target) ** 2).sum() / len(z)))
+    assert 0 < level < 1
     got = {(r.si, r.sj): r for r in returns.shrunk_covariance(pairs).collect()}
     assert all(got["abcd"[i], "abcd"[j]].cov == pytest.approx(level * target[i, j] + (1 - level) * s[i, j]) for i in range(4) for j in range(i, 4))
 
@@ -200,7 +204,7 @@ def test_selection_sizes_and_tilt(spark):
     prices = spark.createDataFrame([("a", 7.0), ("b", 0.0), ("c", 3.0), ("d", None)], "symbol string, price double")
     assert {(r.symbol, r.units) for r in allocation.size_positions(w, prices, 100.0).collect()} == {("a", 9), ("c", 11)}
     z = spark.createDataFrame([("k", "a", 2.0), ("k", "b", -4.0), ("k", "c", 0.0)], "book_id string, symbol string, z double")
-    assert {r.symbol: round(r.weight, 6) for r in allocation.momentum_tilt(w, z).collect()} == {"a": 0.8, "b": 0.0, "c": 0.2, "d": 0.0}
+    assert {r.symbol: round(r.weight, 6) for r in allocation.momentum_tilt(w, z).collect()} == {"a": 0.705882, "b": 0.117647, "c": 0.176471, "d": 0.0}
 
 
 def test_rank_scores(spark):
@@ -226,6 +230,114 @@ def test_performance_matches_numpy(spark):
     assert got["one"].volatility is None and got["one"].sharpe is None
 
 
+def test_a_total_loss_stays_one(spark):
+    r = [0.01, -1.0, 0.02, 0.03, -0.01, 0.02]
+    df = spark.createDataFrame([("k", d, x) for d, x in zip(days(6), r)], "book_id string, date date, r double")
+    bench = spark.createDataFrame([(d, x) for d, x in zip(days(6), [0.01, -0.02, 0.01, -0.01, 0.02, 0.0])], "date date, b double")
+    m = performance.performance_metrics(df, bench).collect()[0]
+    assert (m.total_return, m.max_drawdown, m.cagr, m.worst) == (-1.0, -1.0, -1.0, -1.0) and (m.win_days, m.lose_days) == (4, 2)
+    up, down = 1.01 * 1.02 * 0.99, 0.0
+    assert m.up_capture == pytest.approx(100 * (up ** (1 / 3) - 1) / ((1.01 * 1.01 * 1.02) ** (1 / 3) - 1))
+    assert m.down_capture == pytest.approx(100 * (down - 1) / ((0.98 * 0.99) ** 0.5 - 1))
+    few = performance.performance_metrics(df, bench, least_pairs=7).collect()[0]
+    assert few.n_paired == 6 and few.beta is None and few.up_capture is None and few.correlation is None and few.total_return == -1.0
+
+
+def test_names_without_variance_get_no_weight(spark):
+    x = np.column_stack([np.zeros(30), np.random.default_rng(9).normal(size=(30, 2))])
+    pairs = returns.pair_moments(returns_frame(spark, x))
+    flat = returns.pair_moments(returns_frame(spark, np.zeros((6, 2))))
+    for solve in (allocation.inverse_variance, allocation.equal_risk_contributions, allocation.hierarchical_risk_parity):
+        w = {r.symbol: r.weight for r in solve(pairs).collect()}
+        assert w["a"] == 0 and sum(w.values()) == pytest.approx(1) and w["b"] > 0
+        assert {r.weight for r in solve(flat).collect()} == {0.5}
+
+
+def plain_parity(names, cov, order):
+    """Halving written as a recursion on names."""
+    def risk(part):
+        w = {i: 1 / cov[i, i] for i in part}
+        return sum(w[i] * w[j] * cov[i, j] for i in part for j in part) / sum(w.values()) ** 2
+
+    def split(part):
+        if len(part) == 1:
+            return {part[0]: 1.0}
+        left, right = part[: len(part) // 2], part[len(part) // 2 :]
+        a, b = risk(left), risk(right)
+        return {i: v * b / (a + b) for i, v in split(left).items()} | {i: v * a / (a + b) for i, v in split(right).items()}
+
+    return {names[i]: v for i, v in split(order).items()}
+
+
+def plain_linkage(d):
+    """Merges of the two nearest groups, found by trying all pairs of groups."""
+    groups = [[i] for i in range(len(d))]
+    while len(groups) > 1:
+        _, a, b = min((min(d[i, j] for i in p for j in q), x, y) for x, p in enumerate(groups) for y, q in enumerate(groups) if x < y)
+        groups[a] += groups.pop(b)
+        groups.sort(key=min)
+    return groups[0]
+
+
+def test_hierarchical_weights_match_a_plain_recursion(spark):
+    x = np.random.default_rng(12).normal(size=(60, 8)) * np.arange(1, 9)
+    x[:, 3] += 2 * x[:, 6]
+    x[:, 1] -= x[:, 7]
+    cov, d = np.cov(x.T), np.sqrt(np.maximum(0, 0.5 * (1 - np.corrcoef(x.T))))
+    np.fill_diagonal(d, 0)
+    order = plain_linkage(d)
+    assert allocation.single_linkage_order(d) == order
+    pairs = returns.pair_moments(returns_frame(spark, x))
+    got = {r.symbol: r.weight for r in allocation.hierarchical_risk_parity(pairs).collect()}
+    assert got == pytest.approx(plain_parity("abcdefgh", cov, order))
+    places = sorted((r.pos, r.symbol) for r in allocation.leaf_order(returns.correlation_distance(pairs)).collect())
+    assert [s for _, s in places] == ["abcdefgh"[k] for k in order]
+
+
+def test_ward_matches_distances_taken_one_by_one():
+    d = np.random.default_rng(13).random((30, 30))
+    d = (d + d.T) / 2
+    np.fill_diagonal(d, 0)
+    groups, found = [[i] for i in range(30)], {}
+    while len(groups) > 1:
+        if len(groups) <= 5:
+            found[len(groups)] = sorted(map(sorted, groups))
+        cost = lambda p, q: len(p) * len(q) / (len(p) + len(q)) * ((d[p].mean(axis=0) - d[q].mean(axis=0)) ** 2).sum()
+        _, a, b = min((cost(p, q), x, y) for x, p in enumerate(groups) for y, q in enumerate(groups) if x < y)
+        groups[a] += groups.pop(b)
+    labels = allocation.ward_labels(d, 5)
+    assert {k: sorted([np.flatnonzero(v == c).tolist() for c in range(k)]) for k, v in labels.items()} == found
+    big = np.random.default_rng(14).random((700, 700))
+    assert set(allocation.ward_labels(big + big.T, 3)) == {2, 3}
+
+
+def test_holes_are_filled_and_never_overwritten(spark):
+    batch = close_frame(spark, a=[1, None, 3], b=[None, 5, 6])
+    second = close_frame(spark, a=[9, 8, 7, 6], c=[1, None, 2, 4])
+    got = {(r.symbol, (r.date - START).days): r.close for r in calendar.fill_holes(batch, second, ["close"]).collect()}
+    assert got == {("a", 0): 1, ("a", 1): 8, ("a", 2): 3, ("b", 0): None, ("b", 1): 5, ("b", 2): 6, ("c", 0): 1, ("c", 1): None, ("c", 2): 2}
+
+
+def test_checks_of_a_panel(spark):
+    bars, names = close_frame(spark, a=[1, 2], b=[None, 0]), spark.createDataFrame([("a",), ("b",), ("z",)], "symbol string")
+    one = checks.panel_checks(bars, names, "2024-01-01", "2024-01-02").collect()[0]
+    assert tuple(one) == (3, 2, False, False, False, False)
+    assert tuple(checks.panel_checks(bars, names.limit(0), "2024-01-02", "2024-01-01").collect()[0]) == (0, 0, True, True, True, False)
+    assert tuple(checks.failed_share(bars, names).collect()[0]) == (3, 1, pytest.approx(1 / 3), False)
+    assert tuple(checks.failed_share(bars, names.limit(0)).collect()[0]) == (0, 0, None, False)
+    values = spark.createDataFrame([("k", START), ("m", START)], "book_id string, date date")
+    anchors = spark.createDataFrame([("k", START), ("m", days(2)[1])], "book_id string, anchor date")
+    assert [r.book_id for r in checks.since(values, anchors).collect()] == ["k"] and [r.book_id for r in checks.empty_since(values, anchors).collect()] == ["m"]
+    x = np.random.default_rng(1).normal(size=(25, 3))
+    assert [r.estimable for r in checks.estimable(returns_frame(spark, x)).collect()] == [True] and not checks.estimable(returns_frame(spark, x[:3])).collect()[0].estimable
+    assert checks.date_back(bars, "2024-01-02", 1).collect()[0].start == START and checks.date_back(bars, "2020-01-01", 1).collect()[0].start is None
+
+
+def test_best_of_a_row(spark):
+    rows = spark.createDataFrame([("x", "a", 1.0, True), ("x", "b", 2.0, True), ("y", "a", 1.0, False), ("y", "b", 1.0, False), ("z", "a", 1.0, True), ("z", "b", float("nan"), True), ("w", "a", None, True)], "k string, n string, v double, high boolean")
+    assert {r.k: r.best for r in performance.best_in_row(rows, "k", "n", "v", F.col("high")).collect()} == {"x": "b", "y": "a", "z": None, "w": None}
+
+
 def test_a_book_starts_when_all_it_holds_is_priced(spark):
     prices = close_frame(spark, a=[1, 2, 3, 4], b=[None, None, 10, 10])
     held = spark.createDataFrame([("k", "a", 2.0), ("k", "b", 1.0), ("k", "zz", 0.0)], "book_id string, symbol string, units double")
@@ -260,5 +372,7 @@ def test_volume_profile_matches_a_plain_loop(spark):
     assert len(got) == 21
     for k in range(89, 110):
         assert got[rows[k][1]] == pytest.approx(plain_profile([r[2:] for r in rows[k - 89 : k + 1]]))
+    sliced = {r.date: (r.poc, r["val"], r.vah) for r in profile.volume_profile(bars, slice_bars=93).collect()}
+    assert sliced == got
     flat = bars.withColumn("high", F.lit(1.0)).withColumn("low", F.lit(1.0))
     assert {r.poc for r in profile.volume_profile(flat).collect()} == {None}

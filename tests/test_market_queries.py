@@ -7,6 +7,12 @@ import __spark_entry__ as driver
 from tidepool import queries
 
 DATA = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
+#: Queries that find nothing in the smallest tables: too few weeks have all names, or none is priced.
+THIN = {
+    "holding_diagnostics", "returns_matrix", "covariance", "ledoit_wolf", "correlation_distance", "inverse_variance", "risk_contributions", "cap_weights", "erc_shares",
+    "value_book", "book_risk", "silhouettes_by_brand", "shadow_value",
+}
 
 
 def plain(rows, names):
@@ -18,13 +24,15 @@ def plain(rows, names):
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query(spark, name):
-    got = driver.queries()[name](spark, DATA)
+    data = LARGER if name in THIN else DATA
+    got = driver.queries()[name](spark, data)
     rows = got.collect()
+    assert rows
     if name not in queries.ORACLE_SQL:
         return
     con = duckdb.connect()
     for t in ("lineitem", "part", "supplier", "nation", "events"):
-        con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
+        con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
     want = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)

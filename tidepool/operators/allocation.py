@@ -25,12 +25,10 @@ def equal_weights(names: DataFrame) -> DataFrame:
 
 
 def inverse_variance(pairs: DataFrame) -> DataFrame:
-    """Weights by one over variance; variances of nothing count as the median of the others, and if all are, weights are equal."""
-    own = pairs.where("si = sj").select("book_id", F.col("si").alias("symbol"), F.col("cov").alias("v"))
-    good = F.when(F.col("v") > 1e-16, F.col("v"))
-    middle = own.groupBy("book_id").agg(F.median(good).alias("_m"))
-    v = own.join(middle, "book_id").withColumn("_i", 1 / F.coalesce(good, F.col("_m"), F.lit(1.0)))
-    return v.select("book_id", "symbol", (F.col("_i") / F.sum("_i").over(_book())).alias("weight"))
+    """Weights by one over variance; names without variance get none, and if all are such, weights are equal."""
+    own = pairs.where("si = sj").select("book_id", F.col("si").alias("symbol"), F.when(F.col("cov") > 0, 1 / F.col("cov")).otherwise(F.lit(0.0)).alias("_i"))
+    total = F.sum("_i").over(_book())
+    return own.select("book_id", "symbol", F.when(total > 0, F.col("_i") / total).otherwise(1 / F.count("*").over(_book())).alias("weight"))
 
 
 def risk_contributions(pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -40,13 +38,14 @@ def risk_contributions(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     rows = full.join(w.withColumnsRenamed({"symbol": "sj", "weight": "wj"}), ["book_id", "sj"]).groupBy("book_id", "si").agg(F.sum(F.col("cov") * F.col("wj")).alias("_g"))
     rows = rows.withColumnRenamed("si", "symbol").join(w, ["book_id", "symbol"]).withColumn("_c", F.col("weight") * F.col("_g"))
     total = F.sum("_c").over(_book())
-    return rows.select("book_id", "symbol", F.when(total > 1e-18, F.col("_c") / total).otherwise(1 / F.count("*").over(_book())).alias("share"))
+    return rows.select("book_id", "symbol", F.when(total > 0, F.col("_c") / total).otherwise(1 / F.count("*").over(_book())).alias("share"))
 
 
 def momentum_tilt(weights: DataFrame, scores: DataFrame, strength: float = 0.5) -> DataFrame:
-    """Weights times max(0, 1 + strength * z), made to sum to one; kept where that leaves nothing."""
+    """Weights times a score of z, made to sum to one: 1 + s for s = strength * z from 0 up, else 1 / (1 - s), as tilted indices do."""
     z = scores.select("book_id", "symbol", "z")
-    t = weights.join(z, ["book_id", "symbol"], "left").withColumn("_t", F.col("weight") * F.greatest(F.lit(0.0), 1 + strength * F.coalesce("z", F.lit(0.0))))
+    s = strength * F.coalesce("z", F.lit(0.0))
+    t = weights.join(z, ["book_id", "symbol"], "left").withColumn("_t", F.col("weight") * F.when(s >= 0, 1 + s).otherwise(1 / (1 - s)))
     total = F.sum("_t").over(_book())
     return t.select("book_id", "symbol", F.when(total > 0, F.col("_t") / total).otherwise(F.col("weight")).alias("weight"))
 
@@ -88,59 +87,78 @@ def _matrix(pdf: pd.DataFrame, value: str) -> tuple[list[str], np.ndarray]:
     return names, m
 
 
+def _spread(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Weights x of some of n names, made to sum to one; equal weights if there are none."""
+    w = np.zeros(n)
+    w[at] = x
+    return w / w.sum() if at.size else np.full(n, 1 / max(n, 1))
+
+
 def equal_risk_contributions(pairs: DataFrame, sweeps: int = 1000, tolerance: float = 1e-12) -> DataFrame:
     """Weights whose parts of the variance are equal, by cyclic coordinate descent.
 
     Each coordinate is the positive root of a quadratic, so weights stay
-    positive; started from one over volatility, normalised at the end.
+    positive; started from one over volatility, normalised at the end.  `pairs`
+    may be a sample or a shrunk covariance.  Names without variance get no
+    weight, and if all are such, weights are equal.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, s = _matrix(pdf, "cov")
-        n = len(names)
-        a = np.maximum(np.diag(s), 1e-16)
+        names, whole = _matrix(pdf, "cov")
+        moving = np.flatnonzero(np.diag(whole) > 0)
+        s, n = whole[np.ix_(moving, moving)], moving.size
+        a = np.diag(s)
         x = 1 / np.sqrt(a)
         for _ in range(sweeps):
             old = x.copy()
             for i in range(n):
                 b = s[i] @ x - s[i, i] * x[i]
                 x[i] = (-b + np.sqrt(b * b + 4 * a[i] / n)) / (2 * a[i])
-            if np.max(np.abs(x - old) / np.abs(x)) < tolerance:
+            if not n or np.max(np.abs(x - old) / np.abs(x)) < tolerance:
                 break
-        return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "symbol": names, "weight": x / x.sum()})
+        return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "symbol": names, "weight": _spread(x, moving, len(names))})
 
     return pairs.select("book_id", "si", "sj", "cov").groupBy("book_id").applyInPandas(solve, "book_id string, symbol string, weight double")
 
 
 def single_linkage_order(d: np.ndarray) -> list[int]:
-    """The leaves of the single-linkage tree, left to right; of equal distances the first names merge first."""
+    """The leaves of the single-linkage tree, left to right: at each merge the group with the first name goes first.
+
+    The tree's merges are the edges of a minimum spanning tree by length, so n
+    names take n * n steps; of equal edges those of the first names come first.
+    """
     n = len(d)
-    groups: dict[int, list[int]] = {i: [i] for i in range(n)}
-    far = d.astype(float).copy()
-    np.fill_diagonal(far, np.inf)
-    while len(groups) > 1:
-        i, j = divmod(int(np.argmin(far)), n)
-        i, j = min(i, j), max(i, j)
-        groups[i] += groups.pop(j)
-        far[i] = np.minimum(far[i], far[j])
-        far[:, i] = far[i]
-        far[i, i] = np.inf
-        far[j, :] = far[:, j] = np.inf
-    return next(iter(groups.values())) if groups else []
+    near, source, out = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
+    edges, at = [], 0
+    for _ in range(n - 1):
+        out[at] = False
+        closer = out & (d[at] < near)
+        near[closer], source[closer] = d[at][closer], at
+        at = int(np.argmin(np.where(out, near, np.inf)))
+        edges.append((near[at], min(at, source[at]), max(at, source[at])))
+    group = list(range(n))
+    leaves: dict[int, list[int]] = {i: [i] for i in range(n)}
+    for _, i, j in sorted(edges):
+        a, b = sorted((group[i], group[j]))
+        for k in leaves[b]:
+            group[k] = a
+        leaves[a] += leaves.pop(b)
+    return leaves.get(0, [])
 
 
 def hierarchical_risk_parity(pairs: DataFrame) -> DataFrame:
     """Weights by recursive halving of the single-linkage order of correlation distances.
 
     The halves share their parent's weight by the variance of the other's
-    inverse-variance portfolio.
+    inverse-variance portfolio.  Names without variance get no weight, and if
+    all are such, weights are equal.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, s = _matrix(pdf, "cov")
-        _, d = _matrix(pdf, "dist")
-        w = np.ones(len(names))
-        v = np.maximum(np.diag(s), 1e-16)
+        names, whole = _matrix(pdf, "cov")
+        moving = np.flatnonzero(np.diag(whole) > 0)
+        s, d = (m[np.ix_(moving, moving)] for m in (whole, _matrix(pdf, "dist")[1]))
+        w, v = np.ones(moving.size), np.diag(s)
 
         def variance(at: list[int]) -> float:
             p = (1 / v[at]) / (1 / v[at]).sum()
@@ -153,20 +171,42 @@ def hierarchical_risk_parity(pairs: DataFrame) -> DataFrame:
                 continue
             left, right = part[: len(part) // 2], part[len(part) // 2 :]
             a, b = variance(left), variance(right)
-            share = 1 - a / (a + b) if a + b > 1e-18 else 0.5
+            share = 1 - a / (a + b) if a + b > 0 else 0.5
             w[left] *= share
             w[right] *= 1 - share
             todo += [left, right]
-        return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "symbol": names, "weight": w / w.sum()})
+        return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "symbol": names, "weight": _spread(w, moving, len(names))})
 
     d = F.when(F.col("si") == F.col("sj"), F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), 0.5 * (1 - F.col("corr")))))
     return pairs.select("book_id", "si", "sj", "cov", d.alias("dist")).groupBy("book_id").applyInPandas(solve, "book_id string, symbol string, weight double")
 
 
+def leaf_order(distances: DataFrame) -> DataFrame:
+    """(book_id, symbol, pos): the place of each name in its book's single-linkage tree, from 0."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, d = _matrix(pdf, "dist")
+        order = single_linkage_order(d)
+        return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "symbol": [names[k] for k in order], "pos": np.arange(len(order), dtype=np.int32)})
+
+    return distances.select("book_id", "si", "sj", "dist").groupBy("book_id").applyInPandas(solve, "book_id string, symbol string, pos int")
+
+
+def order_book(weights: DataFrame, labels: DataFrame | None = None, most: int = 40) -> DataFrame:
+    """(book_id, symbol, weight, pos): the first `most` names of each book by weight, or by cluster (labels) and then weight."""
+    rows, by = weights.select("book_id", "symbol", "weight"), [F.desc("weight"), F.col("symbol")]
+    if labels is not None:
+        rows, by = rows.join(labels.select("book_id", "symbol", "cluster"), ["book_id", "symbol"], "left"), [F.asc_nulls_last("cluster"), *by]
+    return rows.withColumn("pos", F.row_number().over(_book().orderBy(*by))).where(F.col("pos") <= most).select("book_id", "symbol", "weight", "pos")
+
+
 def ward_labels(d: np.ndarray, most: int) -> dict[int, np.ndarray]:
     """For 2 to `most` clusters, labels by Ward's linkage on rows of distances, numbered by first member."""
     n = len(d)
-    sq = ((d[:, None, :] - d[None, :, :]) ** 2).sum(axis=2)
+    own = (d * d).sum(axis=1)
+    sq = np.maximum(0.0, own[:, None] + own[None, :] - 2 * (d @ d.T))
+    # equal rows are at distance 0 whatever the rounding
+    sq[sq <= 1e-13 * np.maximum(own[:, None], own[None, :])] = 0.0
     np.fill_diagonal(sq, np.inf)
     size, label, out = np.ones(n), np.arange(n), {}
     alive = np.ones(n, bool)

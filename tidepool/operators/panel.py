@@ -37,7 +37,10 @@ def unpriced_holdings(holdings: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def compose_index(*lists: DataFrame) -> DataFrame:
-    """(pos, symbol) of several lists (pos, symbol) one after the other; a symbol keeps its first place."""
+    """(pos, symbol) of several lists (pos, symbol) one after the other; a symbol keeps its first place.
+
+    The distinct symbols are numbered in one task: an index has thousands.
+    """
     all_ = None
     for k, one in enumerate(lists):
         part = one.select(F.struct(F.lit(k).alias("list"), F.col("pos")).alias("_at"), "symbol")

@@ -6,57 +6,85 @@ high.  The point of control is the centre of the fullest bin; the value area
 grows from it to the heavier neighbour, upwards where equal, until it holds
 the share `area` of all volume.
 
-A bar's part is two edges of a step function, so a histogram is a grouped sum
-of two rows per bar in the window and a running total over bins: the work is
-spread over symbols and dates, and no task holds a symbol's whole series.
-Histograms are rounded, relative to the volume, so that sums of floats taken
-in different orders find the same fullest bin.
+A symbol's bars are cut into slices of consecutive bars, each with the bars
+before it that its first windows reach back to, so the work of one symbol is
+spread, too, and a bar is moved once or twice.  In a slice, a bar's part of a
+histogram is two edges of a step function, added up for all windows at once.
+Parts are whole numbers of 1e-12 of the volume, so that sums taken in
+different orders find the same fullest bin.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.series import last_rows, series
+from tidepool.functions.series import series
 
+UNIT = 1e12
 
-def volume_profile(bars: DataFrame, window: int = 90, bins: int = 60, area: float = 0.7) -> DataFrame:
+
+def profile_windows(low: np.ndarray, high: np.ndarray, volume: np.ndarray, bins: int, area: float) -> np.ndarray:
+    """(poc, val, vah) of each window, a row of bars; NaN without a range or volume."""
+    rows = len(low)
+    seen = ~(np.isnan(low) & np.isnan(high)).all(axis=1)
+    lo = np.where(np.isnan(low), np.inf, low).min(axis=1)
+    hi = np.where(np.isnan(high), -np.inf, high).max(axis=1)
+    total = np.nansum(volume, axis=1)
+    good = seen & (hi > lo) & np.isfinite(hi - lo) & (total > 0)
+    step = np.where(good, hi - lo, 1.0) / bins
+    low_edge = np.where(good, lo, 0.0)
+
+    def bin_of(x: np.ndarray) -> np.ndarray:
+        at = np.floor((x - low_edge[:, None]) / step[:, None])
+        return np.clip(np.nan_to_num(at), 0, bins - 1).astype(np.int64)
+
+    a, z = bin_of(low), bin_of(high)
+    part = np.rint(volume / np.where(good, total, 1.0)[:, None] / (z - a + 1) * UNIT)
+    counted = good[:, None] & ~np.isnan(low) & ~np.isnan(high) & ~np.isnan(volume)
+    row = np.broadcast_to(np.arange(rows)[:, None], low.shape)[counted] * (bins + 1)
+    # sums stay far below 2 ** 53, so they are exact
+    edges = np.bincount(row + a[counted], part[counted], rows * (bins + 1)) - np.bincount(row + z[counted] + 1, part[counted], rows * (bins + 1))
+    hist = np.cumsum(edges.reshape(rows, bins + 1), axis=1)[:, :bins]
+    every = np.arange(rows)
+    p = hist.argmax(axis=1)
+    first, last, got = p.copy(), p.copy(), hist[every, p]
+    for _ in range(bins - 1):
+        grow = (got < area * UNIT) & ((first > 0) | (last < bins - 1))
+        if not grow.any():
+            break
+        above, below = hist[every, np.minimum(last + 1, bins - 1)], hist[every, np.maximum(first - 1, 0)]
+        up = (first == 0) | ((last < bins - 1) & (above >= below))
+        got = got + np.where(grow, np.where(up, above, below), 0)
+        last, first = last + (grow & up), first - (grow & ~up)
+    out = np.stack((lo + (p + 0.5) * step, lo + first * step, lo + (last + 1) * step), axis=1)
+    out[~good] = np.nan
+    return out
+
+
+def volume_profile(bars: DataFrame, window: int = 90, bins: int = 60, area: float = 0.7, slice_bars: int = 1000) -> DataFrame:
     """(symbol, date, poc, val, vah) for every bar with a full window; null without a range or volume.
 
     Bars without high or low are in no bin, but count in the volume.
     """
-    w = last_rows(series("symbol"), window)
-    bar = F.struct("low", "high", "volume")
-    rolled = bars.select(
-        "symbol", "date", F.count("*").over(w).alias("_n"), F.min("low").over(w).alias("_lo"), F.max("high").over(w).alias("_hi"),
-        F.sum("volume").over(w).alias("_total"), F.collect_list(bar).over(w).alias("_bars"),
-    ).where(F.col("_n") == window)
-    good = (F.col("_hi") > F.col("_lo")) & (F.col("_total") > 0)
-    step = (F.col("_hi") - F.col("_lo")) / bins
-    ranged = rolled.select("symbol", "date", "_lo", "_total", F.when(good, step).alias("_step"), "_bars")
-    at = lambda x: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((x - F.col("_lo")) / F.col("_step")))).cast("int")
-    one = ranged.where("_step is not null").select("symbol", "date", "_lo", "_step", "_total", F.explode("_bars").alias("b")).where("b.low is not null and b.high is not null and b.volume is not null")
-    one = one.select("symbol", "date", "_total", at(F.col("b.low")).alias("_a"), at(F.col("b.high")).alias("_z"), F.col("b.volume").alias("_v"))
-    share = F.round(F.col("_v") / F.col("_total") / (F.col("_z") - F.col("_a") + 1), 12).cast("decimal(20,12)")
-    edges = one.select("symbol", "date", F.explode(F.array(F.struct(F.col("_a").alias("bin"), share.alias("d")), F.struct((F.col("_z") + 1).alias("bin"), (-share).alias("d")))).alias("e"))
-    sums = edges.groupBy("symbol", "date", "e.bin").agg(F.sum("e.d").alias("d"))
-    hist = sums.groupBy("symbol", "date").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.col("d").cast("decimal(20,12)")))).alias("_m"))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0).cast("decimal(20,12)")))
-    start = F.struct(F.array().cast("array<decimal(20,12)>").alias("h"), F.lit(0).cast("decimal(20,12)").alias("s"))
-    run = F.aggregate(steps, start, lambda acc, d: F.struct(F.concat(acc["h"], F.array((acc["s"] + d).cast("decimal(20,12)"))).alias("h"), (acc["s"] + d).cast("decimal(20,12)").alias("s")), lambda acc: acc["h"])
-    hist = hist.select("symbol", "date", run.alias("_h")).withColumn("_p", F.array_position("_h", F.array_max("_h")).cast("int") - 1)
-    grown = F.expr(
-        f"""aggregate(sequence(1, {bins - 1}), struct(_p as lo, _p as hi, _h[_p] as got), (a, k) ->
-          if(a.got >= {area}BD, a,
-            if(a.lo = 0 and a.hi = {bins - 1}, a,
-              if(a.lo = 0 or (a.hi < {bins - 1} and _h[a.hi + 1] >= _h[a.lo - 1]),
-                struct(a.lo as lo, a.hi + 1 as hi, cast(a.got + _h[a.hi + 1] as decimal(20,12)) as got),
-                struct(a.lo - 1 as lo, a.hi as hi, cast(a.got + _h[a.lo - 1] as decimal(20,12)) as got)))))"""
-    )
-    hist = hist.withColumn("_g", grown)
-    out = ranged.select("symbol", "date", "_lo", "_step").join(hist, ["symbol", "date"], "left")
-    return out.select(
-        "symbol", "date", (F.col("_lo") + (F.col("_p") + 0.5) * F.col("_step")).alias("poc"),
-        (F.col("_lo") + F.col("_g.lo") * F.col("_step")).alias("val"), (F.col("_lo") + (F.col("_g.hi") + 1) * F.col("_step")).alias("vah"),
-    )
+    size = max(slice_bars, window)
+    k = F.row_number().over(series("symbol")) - 1
+    rows = bars.select("symbol", "date", *[F.col(c).cast("double").alias(c) for c in ("low", "high", "volume")], k.alias("k"))
+    own = F.floor(F.col("k") / size)
+    reached = F.when(F.pmod(F.col("k"), F.lit(size)) > size - window, F.array(own, own + 1)).otherwise(F.array(own))
+    sliced = rows.withColumn("slice", F.explode(reached))
+
+    def profiles(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        low, high, volume = (pdf[c].to_numpy(dtype=float) for c in ("low", "high", "volume"))
+        ends = np.flatnonzero((pdf["k"].to_numpy() // size == pdf["slice"].to_numpy()) & (np.arange(len(pdf)) >= window - 1))
+        out = pdf.iloc[ends][["symbol", "date"]].reset_index(drop=True)
+        found = np.empty((0, 3))
+        if ends.size:
+            found = profile_windows(*(np.lib.stride_tricks.sliding_window_view(x, window)[ends - window + 1] for x in (low, high, volume)), bins, area)
+        return out.assign(poc=found[:, 0], val=found[:, 1], vah=found[:, 2])
+
+    kinds = dict(rows.dtypes)
+    return sliced.groupBy("symbol", "slice").applyInPandas(profiles, f"symbol {kinds['symbol']}, date {kinds['date']}, poc double, val double, vah double")

@@ -45,9 +45,10 @@ def returns_matrix(prices: DataFrame, lookback: int = 252, least: float = 0.8) -
 
 
 def pair_moments(returns: DataFrame) -> DataFrame:
-    """(book_id, si, sj, n, cov, corr, sq) for si <= sj of complete returns.
+    """(book_id, si, sj, n, cov, corr, sq, iij, ijj) for si <= sj of complete returns.
 
-    `sq` is the sum of squared products of centred returns.  The self-join is
+    Of centred returns x and y, `sq` is the sum of (x * y) ** 2, `iij` of
+    x ** 3 * y, and `ijj` of x * y ** 3.  The self-join is
     an equi-join on book and date, so each date's names meet in one place, and
     sums are partial before the shuffle by pair.
     """
@@ -56,10 +57,11 @@ def pair_moments(returns: DataFrame) -> DataFrame:
     a, b = (x.select("book_id", "date", F.col("symbol").alias(s), F.col("x").alias(v)) for s, v in (("si", "xi"), ("sj", "xj")))
     p = F.col("xi") * F.col("xj")
     sums = a.join(b, ["book_id", "date"]).where("si <= sj").groupBy("book_id", "si", "sj").agg(
-        F.count("*").alias("n"), F.sum(p).alias("_p"), F.sum(F.col("xi") * F.col("xi")).alias("_i"), F.sum(F.col("xj") * F.col("xj")).alias("_j"), F.sum(p * p).alias("sq")
+        F.count("*").alias("n"), F.sum(p).alias("_p"), F.sum(F.col("xi") * F.col("xi")).alias("_i"), F.sum(F.col("xj") * F.col("xj")).alias("_j"), F.sum(p * p).alias("sq"),
+        F.sum(F.col("xi") * F.col("xi") * p).alias("iij"), F.sum(F.col("xj") * F.col("xj") * p).alias("ijj"),
     )
     corr = F.when((F.col("_i") > 0) & (F.col("_j") > 0), F.col("_p") / F.sqrt(F.col("_i") * F.col("_j"))).otherwise(F.lit(0.0))
-    return sums.select("book_id", "si", "sj", "n", (F.col("_p") / (F.col("n") - 1)).alias("cov"), corr.alias("corr"), "sq")
+    return sums.select("book_id", "si", "sj", "n", (F.col("_p") / (F.col("n") - 1)).alias("cov"), corr.alias("corr"), "sq", "iij", "ijj")
 
 
 def both_triangles(pairs: DataFrame) -> DataFrame:
@@ -70,9 +72,11 @@ def both_triangles(pairs: DataFrame) -> DataFrame:
 def shrunk_covariance(pairs: DataFrame) -> DataFrame:
     """(book_id, si, sj, shrinkage, cov) shrunk towards constant correlation.
 
+    Ledoit and Wolf, "Honey, I shrunk the sample covariance matrix" (2004).
     Target: own variances, and the mean correlation for all pairs.  Intensity:
-    the summed sampling variance of the entries over their squared distance
-    from the target, by the number of rows, between 0 and 1.
+    the summed sampling variance of the entries, less their summed covariance
+    with the target's, over the squared distance of both, by the number of
+    rows, between 0 and 1.
     """
     s = pairs.withColumn("s", F.col("cov") * (F.col("n") - 1) / F.col("n"))
     own = s.where("si = sj").select("book_id", F.col("si").alias("name"), F.col("s").alias("v"))
@@ -81,8 +85,12 @@ def shrunk_covariance(pairs: DataFrame) -> DataFrame:
     s = s.join(mean, "book_id", "left").withColumn("target", F.when(F.col("si") == F.col("sj"), F.col("s")).otherwise(F.col("_rho") * F.sqrt(F.col("vi") * F.col("vj"))))
     twice = F.when(F.col("si") == F.col("sj"), 1.0).otherwise(2.0)
     phi = F.sum(twice * (F.col("sq") / F.col("n") - F.col("s") * F.col("s")))
+    own_part = F.col("sq") / F.col("n") - F.col("s") * F.col("s")
+    ratio = F.when((F.col("vi") > 0) & (F.col("vj") > 0), F.sqrt(F.col("vj") / F.col("vi")))
+    moved = ratio * (F.col("iij") / F.col("n") - F.col("vi") * F.col("s")) + (F.col("ijj") / F.col("n") - F.col("vj") * F.col("s")) / ratio
+    rho = F.sum(F.when(F.col("si") == F.col("sj"), own_part).otherwise(F.coalesce(F.col("_rho") * moved, F.lit(0.0))))
     gamma = F.sum(twice * (F.col("s") - F.col("target")) * (F.col("s") - F.col("target")))
-    level = s.groupBy("book_id").agg(phi.alias("_phi"), gamma.alias("_gamma"), F.max("n").alias("_t"))
+    level = s.groupBy("book_id").agg((phi - rho).alias("_phi"), gamma.alias("_gamma"), F.max("n").alias("_t"))
     level = level.select("book_id", F.when(F.col("_gamma") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_phi") / (F.col("_gamma") * F.col("_t"))))).otherwise(F.lit(0.0)).alias("shrinkage"))
     return s.join(level, "book_id").select("book_id", "si", "sj", "shrinkage", (F.col("shrinkage") * F.col("target") + (1 - F.col("shrinkage")) * F.col("s")).alias("cov"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators.allocation import cap_weights, equal_risk_contributions, hierarchical_risk_parity, inverse_variance, select_top, size_positions
@@ -11,12 +11,12 @@ from tidepool.operators.returns import pair_moments, returns_matrix
 from tidepool.sources.scratch import materialise
 
 
-def book_prices(bars: DataFrame, book: str = "all", fill: bool = False) -> DataFrame:
-    """(book_id, symbol, date, close) of weekly bars, all symbols in one book; with `fill`, on all weeks, gaps carried over."""
+def book_prices(bars: DataFrame, book: str | Column = "all", fill: bool = False) -> DataFrame:
+    """(book_id, symbol, date, close) of weekly bars, all symbols in one book or in books by a column; with `fill`, on all weeks, gaps carried over."""
     weekly = resample_weekly(bars).select("symbol", F.col("week").alias("date"), "close")
     if fill:
         weekly = align_to(weekly, weekly, ["close"])
-    return weekly.select(F.lit(book).alias("book_id"), "symbol", "date", "close")
+    return weekly.select((F.lit(book) if isinstance(book, str) else book).alias("book_id"), "symbol", "date", "close")
 
 
 def last_prices(prices: DataFrame) -> DataFrame:

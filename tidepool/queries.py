@@ -15,15 +15,24 @@ from pyspark.sql import functions as F
 from tidepool.functions.series import (
     drawdown, ffill, moving_average, moving_std, pct_change, rebase, rolling_slope, rolling_zscore, series, with_ewm, with_rsi,
 )
-from tidepool.operators import allocation, calendar, diagnostics, panel, performance, profile, returns
+from tidepool.operators import allocation, calendar, checks, diagnostics, panel, performance, profile, returns
 from tidepool.plans.books import book_prices, books_by_method, inverse_variance_book, last_prices
-from tidepool.sources.bars import daily_bars, load_bars
+from tidepool.sources.bars import benchmark_series, load_bars, panel_from_wide
+from tidepool.sources.bars import daily_bars as build_bars
 from tidepool.sources.scratch import materialise, shared_folder
 from tidepool.sources.snapshots import read_snapshots, write_snapshots
 from tidepool.streaming.bars import event_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Tables of bars that were saved before, by folder and by_nation; without one, bars are built from the line items.
+SAVED_BARS: dict[tuple[str, bool], str] = {}
+
+
+def daily_bars(spark: SparkSession, sf_dir: str, by_nation: bool = False) -> DataFrame:
+    saved = SAVED_BARS.get((sf_dir, by_nation))
+    return spark.read.parquet(saved) if saved else build_bars(spark, sf_dir, by_nation)
+
 
 def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
@@ -47,11 +56,14 @@ def flagship_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(daily_bars(spark, sf_dir, by_nation=True), "open", "high", "low", "close")
+    return _round(build_bars(spark, sf_dir, by_nation=True), "open", "high", "low", "close")
 
 
 def q_load_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load_bars(daily_bars(spark, sf_dir), ["Brand#11", "Brand#23", "Brand#55"], "1994-01-01", "1996-12-31")
+    bars = daily_bars(spark, sf_dir)
+    # every fifth volume is no number, so that its row goes
+    volume = F.when(F.pmod(F.col("volume"), F.lit(5)) == 0, F.lit("n/a")).otherwise(F.col("volume").cast("string"))
+    rows = load_bars(bars.withColumn("volume", volume))
     return _round(rows, "open", "high", "low", "close")
 
 
@@ -102,6 +114,15 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(returns.pair_moments(materialise(returns.returns_matrix(_weekly_book(spark, sf_dir), least=0.3))))
 
 
+def _nation_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One book for each supplier's nation, gaps carried over."""
+    return book_prices(daily_bars(spark, sf_dir, by_nation=True), F.split("symbol", "[|]")[1], fill=True)
+
+
+def _nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(returns.pair_moments(materialise(returns.returns_matrix(materialise(_nation_prices(spark, sf_dir)), least=0.3))))
+
+
 def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = book_prices(daily_bars(spark, sf_dir, by_nation=True))
     return _round(returns.coverage(returns.tail_dates(returns.returns_of(prices, pad=False), 252)), "coverage")
@@ -112,7 +133,7 @@ def q_returns_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_pairs(spark, sf_dir).drop("sq"), "cov", "corr", places=9)
+    return _round(_pairs(spark, sf_dir).drop("sq", "iij", "ijj"), "cov", "corr", places=9)
 
 
 def q_shrunk_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +173,8 @@ def q_cap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_erc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(allocation.equal_risk_contributions(_pairs(spark, sf_dir)), "weight")
+    """On the shrunk covariances of one book a nation."""
+    return _round(allocation.equal_risk_contributions(returns.shrunk_covariance(_nation_pairs(spark, sf_dir))), "weight")
 
 
 def q_erc_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,15 +184,15 @@ def q_erc_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_hrp_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(allocation.hierarchical_risk_parity(_pairs(spark, sf_dir)), "weight")
+    return _round(allocation.hierarchical_risk_parity(_nation_pairs(spark, sf_dir)), "weight")
 
 
 def q_ward_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return allocation.ward_clusters(returns.correlation_distance(_pairs(spark, sf_dir)))
+    return allocation.ward_clusters(returns.correlation_distance(_nation_pairs(spark, sf_dir)))
 
 
 def q_silhouettes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = returns.correlation_distance(_pairs(spark, sf_dir))
+    d = returns.correlation_distance(_nation_pairs(spark, sf_dir))
     return _round(allocation.silhouettes(d, materialise(allocation.ward_clusters(d))), "silhouette")
 
 
@@ -187,7 +209,8 @@ def _benchmark(weekly: DataFrame) -> DataFrame:
 
 METRICS = (
     "total_return", "cagr", "volatility", "max_drawdown", "sharpe", "sortino", "calmar", "var_95", "var_99", "cvar_95", "win_rate", "best", "worst", "skewness",
-    "kurtosis", "profit_factor", "beta", "benchmark_return", "alpha", "correlation", "r_squared", "tracking_error", "info_ratio", "treynor",
+    "kurtosis", "profit_factor", "beta", "benchmark_return", "alpha", "correlation", "r_squared", "tracking_error", "info_ratio", "treynor", "daily_volatility",
+    "up_capture", "down_capture",
 )
 
 
@@ -222,8 +245,8 @@ def q_panel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All brands by all nations: more names than have bars."""
-    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct()
+    """All brands, and one that nobody sells, by all nations: more names than have bars."""
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct().unionByName(spark.range(1).select(F.lit("Brand#00").alias("p_brand")))
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
     return brands.crossJoin(F.broadcast(nations)).select(F.concat_ws("|", "p_brand", F.col("n_nationkey").cast("string")).alias("symbol"), F.col("n_nationkey").alias("pos"))
 
@@ -238,7 +261,7 @@ def q_symbols_with_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_unpriced_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _universe(spark, sf_dir).select(F.lit("all").alias("book_id"), "symbol", F.col("pos").cast("double").alias("units"))
-    return panel.unpriced_holdings(held, daily_bars(spark, sf_dir, by_nation=True).where("date < date'1993-01-01'"))
+    return panel.unpriced_holdings(held, daily_bars(spark, sf_dir, by_nation=True))
 
 
 def q_compose_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +303,7 @@ def q_book_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_cluster_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations ordered by the Ward clusters of the best silhouette."""
-    pairs = _pairs(spark, sf_dir)
+    pairs = _nation_pairs(spark, sf_dir)
     d = returns.correlation_distance(pairs)
     labels = materialise(allocation.best_clusters(d, materialise(allocation.ward_clusters(d))))
     return _round(diagnostics.cluster_matrix(pairs, labels), "corr")
@@ -292,7 +315,7 @@ def q_equal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_books_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(books_by_method(book_prices(daily_bars(spark, sf_dir), fill=True), least=0.3), "price", "weight", "value")
+    return _round(books_by_method(_nation_prices(spark, sf_dir), least=0.3), "price", "weight", "value")
 
 
 def q_write_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +326,138 @@ def q_write_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_snapshots(bars, folder)
 
 
+def q_panel_from_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long bars from a wide table of closes and volumes by brand."""
+    bars = daily_bars(spark, sf_dir)
+    wide = bars.groupBy("date").pivot("symbol").agg(F.first("close").alias("close"), F.first("volume").alias("volume"))
+    wide = wide.toDF(*["date" if c == "date" else "|".join(reversed(c.rsplit("_", 1))) for c in wide.columns])
+    rows = panel_from_wide(wide).where("close is not null").select("symbol", "date", "close", "volume")
+    return _round(rows, "close")
+
+
+def q_benchmark_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(benchmark_series(daily_bars(spark, sf_dir), "Brand#11"), "close")
+
+
+def q_align_to_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = daily_bars(spark, sf_dir, by_nation=True).select("symbol", "date", "close")
+    return _round(calendar.align_to(bars, benchmark_series(daily_bars(spark, sf_dir), "Brand#11"), ["close"]), "close")
+
+
+def q_fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars whose close is missing where the volume is odd, on days of odd numbers, from all bars."""
+    bars = daily_bars(spark, sf_dir, by_nation=True).select("symbol", "date", "close", "volume")
+    batch = bars.where("day(date) % 2 = 1").withColumn("close", F.when(F.col("volume") % 2 == 0, F.col("close")))
+    second = bars.select("symbol", "date", (F.col("close") + 1).alias("close"), F.lit(-1.0).alias("volume"))
+    return _round(calendar.fill_holes(batch.where("volume % 3 <> 0"), second, ["close", "volume"]), "close")
+
+
+def q_leaf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return allocation.leaf_order(returns.correlation_distance(_nation_pairs(spark, sf_dir)))
+
+
+def _volume_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = daily_bars(spark, sf_dir, by_nation=True).groupBy(F.split("symbol", "[|]")[1].alias("book_id"), "symbol").agg(F.sum("volume").alias("v"))
+    return bars.select("book_id", "symbol", (F.col("v") / F.sum("v").over(Window.partitionBy("book_id"))).alias("weight"))
+
+
+def q_select_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(allocation.select_top(_volume_weights(spark, sf_dir), 7), "weight")
+
+
+def q_size_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = last_prices(_nation_prices(spark, sf_dir)).where("symbol not like 'Brand#1%'")
+    return _round(allocation.size_positions(_volume_weights(spark, sf_dir), prices, 100_000.0), "price", "weight", "value")
+
+
+def q_rank_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = daily_bars(spark, sf_dir, by_nation=True).groupBy(F.split("symbol", "[|]")[1].alias("book_id"), "symbol").agg(F.count("*").alias("c"))
+    return _round(returns.rank_z(rows.withColumn("c", F.when(F.col("c") % 7 != 0, F.col("c"))), "c"), "z")
+
+
+def q_order_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = _volume_weights(spark, sf_dir)
+    labels = weights.select("book_id", "symbol", F.substring("symbol", 7, 1).cast("int").alias("cluster")).where("cluster < 5")
+    return _round(allocation.order_book(weights, labels, 12), "weight")
+
+
+def _held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Weekly closes, a book of all brands, and equal units of the same brands."""
+    weekly = calendar.resample_weekly(daily_bars(spark, sf_dir)).withColumnRenamed("week", "date").select("symbol", "date", "close")
+    held = weekly.groupBy("symbol").agg(F.min_by("close", "date").alias("c"))
+    held = held.select(F.lit("all").alias("book_id"), "symbol", F.floor(F.lit(4000.0) / F.col("c")).alias("units"))
+    return weekly, held, held.withColumn("units", F.lit(3.0))
+
+
+def q_shadow_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weekly, held, other = _held(spark, sf_dir)
+    return _round(performance.value_on(weekly, other, performance.value_book(weekly, held)), "value", places=4)
+
+
+def q_best_in_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brand with the highest close of each date, or with the lowest on even days."""
+    rows = daily_bars(spark, sf_dir).select("date", "symbol", F.when(F.col("volume") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("close")).alias("x"))
+    return performance.best_in_row(rows, "date", "symbol", "x", F.day("date") % 2 == 1)
+
+
+def q_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = daily_bars(spark, sf_dir, by_nation=True).select(F.split("symbol", "[|]")[1].alias("book_id"), "symbol", "date", "volume")
+    anchors = bars.select("book_id").distinct().withColumn("anchor", F.make_date(F.lit(1992) + F.col("book_id").cast("int") % 8, F.lit(7), F.lit(1)))
+    return checks.since(bars, anchors)
+
+
+def q_estimable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = book_prices(daily_bars(spark, sf_dir, by_nation=True), F.split("symbol", "[|]")[1])
+    return checks.estimable(returns.returns_of(prices, pad=False).where("r is not null"), 260)
+
+
+def q_enough_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.enough_history(daily_bars(spark, sf_dir, by_nation=True), 60)
+
+
+def q_panel_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, names = daily_bars(spark, sf_dir, by_nation=True), _universe(spark, sf_dir)
+    return checks.panel_checks(bars, names, "1994-01-01", "1994-01-31").unionByName(checks.panel_checks(bars, names, "1994-01-31", "1994-01-01"))
+
+
+def q_failed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(checks.failed_share(daily_bars(spark, sf_dir, by_nation=True), _universe(spark, sf_dir), 0.03), "share")
+
+
+def q_date_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.date_back(daily_bars(spark, sf_dir), "1996-12-31", 252)
+
+
+def q_silhouettes_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the first digits of brands would do as clusters."""
+    d = returns.correlation_distance(_pairs(spark, sf_dir))
+    names = d.where("si = sj").select("book_id", F.col("si").alias("symbol"))
+    digit = F.substring("symbol", 7, 1).cast("int")
+    labels = names.select("book_id", F.lit(5).alias("k"), "symbol", digit.alias("cluster")).unionByName(
+        names.select("book_id", F.lit(2).alias("k"), "symbol", F.when(digit < 3, 0).otherwise(1).alias("cluster"))
+    )
+    return _round(allocation.silhouettes(d, labels), "silhouette")
+
+
 QUERIES: dict[str, Query] = {
+    "panel_from_wide": q_panel_from_wide,
+    "benchmark_series": q_benchmark_series,
+    "align_to_benchmark": q_align_to_benchmark,
+    "fill_holes": q_fill_holes,
+    "leaf_order": q_leaf_order,
+    "select_top": q_select_top,
+    "size_positions": q_size_positions,
+    "rank_z": q_rank_z,
+    "order_book": q_order_book,
+    "shadow_value": q_shadow_value,
+    "best_in_row": q_best_in_row,
+    "since": q_since,
+    "estimable": q_estimable,
+    "enough_history": q_enough_history,
+    "panel_checks": q_panel_checks,
+    "failed_share": q_failed_share,
+    "date_back": q_date_back,
+    "silhouettes_by_brand": q_silhouettes_by_brand,
     "books_by_method": q_books_by_method,
     "write_snapshots": q_write_snapshots,
     "holding_diagnostics": q_holding_diagnostics,
@@ -384,7 +538,8 @@ _PAIRS = f"""{_RETURNS},
 x as (select symbol, date, r - avg(r) over (partition by symbol) as x from m),
 p as (
   select a.symbol as si, b.symbol as sj, count(*) as n, sum(a.x * b.x) / (count(*) - 1) as cov,
-    case when sum(a.x * a.x) > 0 and sum(b.x * b.x) > 0 then sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) else 0 end as corr, sum(a.x * a.x * b.x * b.x) as sq
+    case when sum(a.x * a.x) > 0 and sum(b.x * b.x) > 0 then sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) else 0 end as corr, sum(a.x * a.x * b.x * b.x) as sq,
+    sum(a.x * a.x * a.x * b.x) as iij, sum(a.x * b.x * b.x * b.x) as ijj
   from x a join x b using (date) where a.symbol <= b.symbol group by 1, 2)"""
 _IVP = f"""{_PAIRS}, v as (select si as symbol, 1 / cov as i from p where si = sj), ivp as (select symbol, i / sum(i) over () as weight from v)"""
 
@@ -422,9 +577,65 @@ z as (
     else ((rank() over (order by momentum asc nulls last) + (count(*) over (partition by momentum) - 1) / 2.0 - 0.5) / count(momentum) over () - 0.5) * sqrt(12.0) end as z
   from mo)"""
 
-_UNIVERSE = "u as (select distinct p_brand || '|' || n_nationkey as symbol, n_nationkey as pos from part, nation)"
+_UNIVERSE = "u as (select distinct p_brand || '|' || n_nationkey as symbol, n_nationkey as pos from (select p_brand from part union select 'Brand#00'), nation)"
+
+_VOLUMES = f"""with {_MANY},
+vw as (select split_part(symbol, '|', 2) as book_id, symbol, sum(volume) / sum(sum(volume)) over (partition by split_part(symbol, '|', 2)) as weight from bars group by 1, 2)"""
 
 ORACLE_SQL: dict[str, str] = {
+    "panel_from_wide": f"with {_BARS} select symbol, date, round(close, 6) as close, volume from bars",
+    "benchmark_series": f"with {_BARS} select date, round(close, 6) as close from bars where symbol = 'Brand#11'",
+    "align_to_benchmark": f"""with {_PRINTS.format(symbol="p_brand").replace("prints", "prints1").replace("bars", "bars1")}, {_MANY},
+grid as (select * from (select distinct date from bars1 where symbol = 'Brand#11'), (select distinct symbol from bars))
+select symbol, date, round(last_value(close ignore nulls) over (partition by symbol order by date rows between unbounded preceding and current row), 6) as close
+from grid left join bars using (symbol, date)""",
+    "fill_holes": f"""with {_MANY},
+batch as (select symbol, date, case when volume % 2 = 0 then close end as close, volume from bars where day(date) % 2 = 1 and volume % 3 <> 0)
+select coalesce(b.symbol, r.symbol) as symbol, coalesce(b.date, r.date) as date, round(coalesce(b.close, r.close + 1), 6) as close, coalesce(b.volume, -1.0::double) as volume
+from batch b full join (select * from bars where date in (select date from batch)) r on b.symbol = r.symbol and b.date = r.date""",
+    "select_top": f"""{_VOLUMES}, t as (select *, row_number() over (partition by book_id order by weight desc, symbol) as k from vw)
+select book_id, symbol, round(weight / sum(weight) over (partition by book_id), 6) as weight from t where k <= 7""",
+    "size_positions": f"""{_VOLUMES}, {_WEEKLY},
+l as (select symbol, arg_max(close, week) as price from weekly where symbol not like 'Brand#1%' group by symbol),
+w as (select book_id, symbol, price, weight / sum(weight) over (partition by book_id) as weight from vw join l using (symbol))
+select book_id, symbol, round(price, 6) as price, round(weight, 6) as weight, cast(floor(100000.0::double * weight / price) as bigint) as units,
+  round(floor(100000.0::double * weight / price) * price, 6) as value from w""",
+    "rank_z": f"""with {_MANY}, c0 as (select split_part(symbol, '|', 2) as book_id, symbol, count(*) as n from bars group by 1, 2),
+c as (select book_id, symbol, case when n % 7 <> 0 then n end as c from c0)
+select book_id, symbol, c, round(case when c is null or count(c) over b < 2 then 0
+  else ((rank() over (partition by book_id order by c asc nulls last) + (count(*) over (partition by book_id, c) - 1) / 2.0 - 0.5) / count(c) over b - 0.5) * sqrt(12.0) end, 6) as z
+from c window b as (partition by book_id)""",
+    "order_book": f"""{_VOLUMES}, l as (select *, substr(symbol, 7, 1)::int as d from vw),
+o as (select book_id, symbol, weight, row_number() over (partition by book_id order by case when d < 5 then d end asc nulls last, weight desc, symbol) as pos from l)
+select book_id, symbol, round(weight, 6) as weight, cast(pos as integer) as pos from o where pos <= 12""",
+    "shadow_value": f"""with {_BARS}, {_WEEKLY},
+h as (select symbol, floor(4000.0::double / arg_min(close, week)) as units from weekly group by symbol),
+v as (select week as date, count(case when units > 0 then 1 end) as have, sum(close * 3) as value from weekly join h using (symbol) group by week),
+st as (select min(date) as s from v where have = (select count(*) from h where units > 0))
+select 'all' as book_id, date, round(value, 4) as value from v, st where date >= s and have > 0""",
+    "best_in_row": f"""with {_BARS}, s as (select date, symbol, close from bars where volume % 5 <> 0),
+b as (select date, case when count(*) < 2 then null when day(date) % 2 = 1 then arg_min(symbol, row(-close, symbol)) else arg_min(symbol, row(close, symbol)) end as best from s group by date)
+select date, best from (select distinct date from bars) left join b using (date)""",
+    "since": f"""with {_MANY} select split_part(symbol, '|', 2) as book_id, symbol, date, volume from bars where date >= make_date(1992 + split_part(symbol, '|', 2)::int % 8, 7, 1)""",
+    "estimable": f"""with {_MANY}, {_WEEKLY},
+r as (select split_part(symbol, '|', 2) as book_id, symbol, week, close / lag(close) over (partition by symbol order by week) - 1 as r from weekly),
+c as (select book_id, count(distinct symbol) as names, count(distinct week) as dates from r where r is not null group by book_id)
+select book_id, names, dates, names >= 2 and dates > names and dates >= 260 as estimable from c""",
+    "enough_history": f"with {_MANY} select symbol, count(distinct date) as dates, count(distinct date) >= 60 as enough from bars group by symbol",
+    "panel_checks": f"""with {_MANY}, {_UNIVERSE}, r(a, z) as (values (date '1994-01-01', date '1994-01-31'), (date '1994-01-31', date '1994-01-01')),
+c as (select a, z, count(distinct u.symbol) as names, count(distinct bars.symbol) as priced from r cross join u left join bars on bars.symbol = u.symbol and date between a and z group by a, z)
+select names, names - priced as failed, names = 0 as no_names, a > z as reversed_range, priced = 0 as no_prices, names > 0 and priced = 0 as all_failed from c""",
+    "failed_share": f"""with {_MANY}, {_UNIVERSE}, c as (select count(*) as names, count(case when symbol not in (select symbol from bars) then 1 end) as failed from u)
+select names, failed, round(failed / names::double, 6) as share, failed / names::double > 0.03 as too_many from c""",
+    "date_back": f"""with {_BARS}, d as (select date, row_number() over (order by date desc) - 1 as back from (select distinct date from bars where date <= '1996-12-31'))
+select min(date) as start from d where back <= 252""",
+    "silhouettes_by_brand": f"""{_PAIRS},
+d as (select si, sj, case when si = sj then 0 else sqrt(greatest(0, 0.5 * (1 - corr))) end as dist from p),
+f as (select si, sj, dist from d where si <> sj union all select sj, si, dist from d where si <> sj),
+l as (select si as symbol, 5 as k, substr(si, 7, 1)::int as c from p where si = sj union all select si, 2, case when substr(si, 7, 1)::int < 3 then 0 else 1 end from p where si = sj),
+mm as (select a.k, f.si, a.c as ci, b.c as cj, avg(dist) as m from f join l a on a.symbol = f.si join l b on b.symbol = f.sj and b.k = a.k group by 1, 2, 3, 4),
+s as (select k, si, max(case when ci = cj then m end) as own, min(case when ci <> cj then m end) as other from mm group by 1, 2)
+select 'all' as book_id, k, round(avg(case when own is null or greatest(own, other) = 0 then 0 else (other - own) / greatest(own, other) end), 6) as silhouette from s group by k""",
     "write_snapshots": f"""with {_BARS}, {_WEEKLY} select symbol, week as date, round(round(open, 6), 2) as open, round(round(high, 6), 2) as high, round(round(low, 6), 2) as low,
   round(round(close, 6), 2) as close, volume from weekly""",
     "holding_diagnostics": f"""{_IVP},
@@ -435,7 +646,7 @@ from m join b using (date) join ivp using (symbol) group by symbol""",
 f as (select si, sj, cov from p union all select sj, si, cov from p where si < sj),
 c as (select si, sum(a.weight * b.weight * cov) as c from f join ivp a on a.symbol = si join ivp b on b.symbol = sj group by si),
 s as (select c, c / sum(c) over () as share from c)
-select 'all' as book_id, count(*) as names, round(sqrt(sum(c) * 252), 6) as volatility, round(max(share) * count(*), 6) as concentration, round(stddev_pop(share) / avg(share), 6) as dispersion from s""",
+select 'all' as book_id, count(*) as names, round(sqrt(sum(c) * 252), 6) as volatility, round(max(share) * count(*), 6) as concentration, round(stddev_pop(share) / avg(share), 6) as dispersion from s having count(*) > 0""",
     "equal_units": f"""with {_BARS}, {_WEEKLY}, l as (select symbol, arg_max(close, week) as price from weekly group by symbol)
 select 'all' as book_id, symbol, cast(floor(100000.0::double / (select count(*) from l) / price) as bigint) as units from l""",
     "panel_summary": f"""with {_MANY} select count(distinct date) as days, min(date) as first_date, max(date) as last_date, count(distinct symbol) as symbols,
@@ -445,7 +656,7 @@ d as (select date, row_number() over (order by date desc) - 1 as back from (sele
 l as (select symbol, min(back) as age from bars join d using (date) group by symbol)
 select symbol, case when age is null then 'absent' else 'stale' end as reason from u left join l using (symbol) where age is null or age > 5""",
     "symbols_with_prices": f"with {_MANY}, {_UNIVERSE} select pos, symbol, symbol in (select symbol from bars) as priced from u",
-    "unpriced_holdings": f"with {_MANY}, {_UNIVERSE} select 'all' as book_id, symbol from u where pos > 0 and symbol not in (select symbol from bars where date < '1993-01-01')",
+    "unpriced_holdings": f"with {_MANY}, {_UNIVERSE} select 'all' as book_id, symbol from u where pos > 0 and symbol not in (select symbol from bars)",
     "compose_index": """with one as (select p_brand as symbol, min(p_partkey) as pos from part where p_size <= 10 group by 1),
 two as (select p_type as symbol, min(p_partkey) as pos from part group by 1),
 a as (select symbol, 0 as l, pos from one union all select symbol, 1, pos from two),
@@ -495,7 +706,7 @@ select 'all' as book_id, symbol, round(price, 6) as price, round(weight, 6) as w
   round(floor(100000.0::double * weight / price) * price, 6) as value
 from w""",
     "daily_bars": f"with {_MANY} select symbol, date, {_OHLC} from bars",
-    "load_bars": f"with {_BARS} select symbol, date, {_OHLC} from bars where symbol in ('Brand#11', 'Brand#23', 'Brand#55') and date between '1994-01-01' and '1996-12-31'",
+    "load_bars": f"with {_BARS} select symbol, date, {_OHLC} from bars where volume % 5 <> 0",
     "resample_weekly": f"with {_MANY}, {_WEEKLY} select symbol, week, {_OHLC} from weekly",
     "pct_change": f"with {_BARS} select symbol, date, round(close / lag(close) over (partition by symbol order by date) - 1, 6) as r from bars",
     "moving_average": f"with {_BARS} select symbol, date, {', '.join(f'round({_rows("avg(close)", n)}, 6) as ma{n}' for n in (20, 90, 200))} from bars",
@@ -545,12 +756,14 @@ from t group by symbol""",
     "returns_matrix": f"{_RETURNS} select 'all' as book_id, symbol, date, round(r, 9) as r from m",
     "covariance": f"{_PAIRS} select 'all' as book_id, si, sj, n, round(cov, 9) as cov, round(corr, 9) as corr from p",
     "ledoit_wolf": f"""{_PAIRS},
-s as (select si, sj, n, corr, sq, cov * (n - 1) / n as s from p),
+s as (select si, sj, n, corr, sq, iij, ijj, cov * (n - 1) / n as s from p),
 o as (select si as name, s as v from s where si = sj),
 t as (
-  select s.*, case when si = sj then s else (select avg(corr) from s where si < sj) * sqrt(a.v * b.v) end as target, case when si = sj then 1.0 else 2.0 end as k
+  select s.*, case when si = sj then s else (select avg(corr) from s where si < sj) * sqrt(a.v * b.v) end as target, case when si = sj then 1.0 else 2.0 end as k,
+    case when si = sj then sq / n - s * s
+      else (select avg(corr) from s where si < sj) * (sqrt(b.v / a.v) * (iij / n - a.v * s) + sqrt(a.v / b.v) * (ijj / n - b.v * s)) end as rho
   from s join o a on a.name = si join o b on b.name = sj),
-l as (select least(1, greatest(0, sum(k * (sq / n - s * s)) / (sum(k * (s - target) * (s - target)) * max(n)))) as shrinkage from t)
+l as (select least(1, greatest(0, (sum(k * (sq / n - s * s)) - sum(rho)) / (sum(k * (s - target) * (s - target)) * max(n)))) as shrinkage from t)
 select 'all' as book_id, si, sj, round(shrinkage, 8) as shrinkage, round(shrinkage * target + (1 - shrinkage) * s, 8) as cov from t, l""",
     "correlation_distance": f"{_PAIRS} select 'all' as book_id, si, sj, round(case when si = sj then 0 else sqrt(greatest(0, 0.5 * (1 - corr))) end, 6) as dist from p",
     "inverse_variance": f"{_IVP} select 'all' as book_id, symbol, round(weight, 6) as weight from ivp",
@@ -559,7 +772,7 @@ select 'all' as book_id, si, sj, round(shrinkage, 8) as shrinkage, round(shrinka
 f as (select si, sj, cov from p union all select sj, si, cov from p where si < sj)
 select 'all' as book_id, si as symbol, round(sum(cov) / (select sum(cov) from f), 6) as share from f group by si""",
     "momentum_12_1": f"{_MOMENTUM} select 'all' as book_id, symbol, round(momentum, 6) as momentum, round(z, 6) as z from z",
-    "momentum_tilt": f"""{_MOMENTUM}, t as (select symbol, greatest(0, 1 + 0.5 * z) as t from z)
+    "momentum_tilt": f"""{_MOMENTUM}, t as (select symbol, case when z >= 0 then 1 + 0.5 * z else 1 / (1 - 0.5 * z) end as t from z)
 select 'all' as book_id, symbol, round(t / sum(t) over (), 6) as weight from t""",
     "cap_weights": f"{_IVP} select 'all' as book_id, symbol, round(weight, 6) as weight from {_capped('ivp', 0.041)}",
     "erc_shares": f"{_PAIRS} select 'all' as book_id, si as symbol, round(1.0::double / count(*) over (), 6) as share from p where si = sj",
@@ -574,14 +787,16 @@ r0 as (select symbol as book_id, week as date, close / lag(close) over (partitio
 c0 as (select week as date, avg(close) as c from weekly group by week),
 b0 as (select date, c / lag(c) over (order by date) - 1 as b from c0),
 j as (select r0.*, b from r0 left join b0 using (date) where r is not null),
-g as (select *, exp(sum(ln(1 + r)) over (partition by book_id order by date rows between unbounded preceding and current row)) as gr from j),
+g as (select *, product(1 + r) over (partition by book_id order by date rows between unbounded preceding and current row) as gr from j),
 d as (select *, gr / greatest(1, max(gr) over (partition by book_id order by date rows between unbounded preceding and current row)) - 1 as dd from g),
 q as (select *, quantile_cont(r, 0.05) over (partition by book_id) as v95 from d),
 a as (
-  select book_id, count(*) as n, exp(sum(ln(1 + r))) - 1 as total, avg(r) as mean, stddev_samp(r) as std, stddev_samp(case when r < 0 then r end) as down, min(dd) as mdd,
+  select book_id, count(*) as n, product(1 + r) - 1 as total, avg(r) as mean, stddev_samp(r) as std, stddev_samp(case when r < 0 then r end) as down, min(dd) as mdd,
     any_value(v95) as v95, quantile_cont(r, 0.01) as v99, avg(case when r <= v95 then r end) as c95, avg(case when r > 0 then 1.0 else 0.0 end) as win, max(r) as best, min(r) as worst,
     skewness(r) as sk, kurtosis(r) as ku, sum(case when r > 0 then r end) as gains, sum(case when r < 0 then -r end) as losses,
-    covar_samp(case when b is not null then r end, b) / var_samp(b) as beta, corr(r, b) as co, count(b) as np, stddev_samp(r - b) as te, avg(r - b) as act, exp(sum(ln(1 + b))) - 1 as bt,
+    covar_samp(case when b is not null then r end, b) / var_samp(b) as beta, corr(r, b) as co, count(b) as np, stddev_samp(r - b) as te, avg(r - b) as act, product(1 + b) - 1 as bt,
+    count(case when r > 0 then 1 end) as wins, count(case when r < 0 then 1 end) as losses_n, count(case when b > 0 then 1 end) as un, count(case when b < 0 then 1 end) as dn,
+    product(case when b > 0 then 1 + r end) as ur, product(case when b > 0 then 1 + b end) as ub, product(case when b < 0 then 1 + r end) as dr, product(case when b < 0 then 1 + b end) as db,
     avg(case when b is not null then r end) as mp, avg(b) as mb
   from q group by book_id),
 e as (select *, pow(1 + total, 252.0::double / n) - 1 as cagr, sqrt(252.0::double) as root, 0.045::double / 252 as daily from a)
@@ -591,6 +806,9 @@ select book_id, n, round(total, 6) as total_return, round(cagr, 6) as cagr, roun
   round(best, 6) as best, round(worst, 6) as worst, round(sk, 6) as skewness, round(ku, 6) as kurtosis,
   round(case when losses > 0 then coalesce(gains, 0) / losses end, 6) as profit_factor, np as n_paired, round(beta, 6) as beta, round(bt, 6) as benchmark_return,
   round(252 * (mp - daily - beta * (mb - daily)), 6) as alpha, round(co, 6) as correlation, round(co * co, 6) as r_squared, round(te * root, 6) as tracking_error,
-  round(case when te > 0 then act / te * root end, 6) as info_ratio, round(case when abs(beta) > 0 then (mp - daily) * 252 / beta end, 6) as treynor
+  round(case when te > 0 then act / te * root end, 6) as info_ratio, round(case when abs(beta) > 0 then (mp - daily) * 252 / beta end, 6) as treynor,
+  round(std, 6) as daily_volatility, wins as win_days, losses_n as lose_days,
+  round(case when un > 0 then 100 * (pow(ur, 1.0::double / un) - 1) / (pow(ub, 1.0::double / un) - 1) end, 6) as up_capture,
+  round(case when dn > 0 then 100 * (pow(dr, 1.0::double / dn) - 1) / (pow(db, 1.0::double / dn) - 1) end, 6) as down_capture
 from e""",
 }

@@ -30,6 +30,11 @@ def load_bars(bars: DataFrame, symbols: Sequence[str] | None = None, start: str
     return bars.select("symbol", "date", *[number(F.col(c)).alias(c) for c in FIELDS]).dropna(subset=["close", "volume"])
 
 
+def benchmark_series(bars: DataFrame, symbol: str) -> DataFrame:
+    """(date, close) of one symbol, where it has a close: the calendar that books are valued on."""
+    return bars.where(F.col("symbol") == symbol).select("date", number(F.col("close")).alias("close")).dropna(subset=["close"])
+
+
 def panel_from_wide(wide: DataFrame, separator: str = "|") -> DataFrame:
     """Long bars from a table with a column `date` and one column `field|symbol` for each series."""
     values = [c for c in wide.columns if c != "date"]

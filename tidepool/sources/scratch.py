@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine if Spark runs on this machine alone."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
 
