@@ -26,6 +26,14 @@ def _with_minimum(edges: DataFrame) -> DataFrame:
     return salted.join(least, ["u", "s"]).select("u", "v", "m")
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every vertex has one edge to a smaller one, or is itself the smaller end of all its edges."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(node, root) for every vertex of `edges` (src, dst): root is the smallest reachable vertex.
 
@@ -34,8 +42,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     """
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = scratch.save(e, f"{name}-0")
-    k, before = 0, None
-    while not e.isEmpty():
+    k = 0
+    while not _is_star_forest(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.save(large, f"{name}-{k + 1}")
@@ -44,13 +52,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
             with_m.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(with_m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        small = scratch.save(small, f"{name}-{k + 2}")
+        e = scratch.save(small, f"{name}-{k + 2}")
         scratch.drop(f"{name}-{k}", f"{name}-{k + 1}")
-        k, e = k + 2, small
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        k += 2
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.arrow import by_key, slices, whole_groups
 from tidepool.llm.components import connected_components
-from tidepool.llm.shared import Scratch, fresh_names, shuffle_partitions
+from tidepool.llm.shared import Scratch, fresh_names, near, shuffle_partitions
 from tidepool.llm.shingles import mix, shingles
 
 #: Two sets link when LEAST * |A | B| <= 100 * |A & B|.
@@ -54,8 +54,8 @@ PIVOT_KEYS = 3
 THIN_ROUNDS, BEST = 2, 3
 #: Salts of a pivot's group.
 SALTS = 64
-#: Groups of more than BLOCK members of a key are compared in blocks: 8 of them, or more of 8 * BLOCK members each.
-BLOCK = 250
+#: Groups of more than 2 * BLOCK members of a key are compared in blocks: up to 5 of about BLOCK members, or more of 5 * BLOCK.
+BLOCK = 400
 FLUSH_KEYS = 500_000
 
 _U = np.uint64
@@ -112,7 +112,7 @@ def parity_sketch(s: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sketch_bytes(band: int) -> int:
-    return max(1, (4 << band) // 8)
+    return max(1, (2 << band) // 8)
 
 
 class Names:
@@ -308,10 +308,14 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose whole sets reach the similarity."""
-    with_b = pairs.join(sets.select(F.col("node").alias("dst"), F.col("elements").alias("b")), "dst")
-    with_both = with_b.join(sets.select(F.col("node").alias("src"), F.col("elements").alias("a")), "src")
-    return with_both.mapInArrow(_verified, "src long, dst long")
+    """The saved pairs (src, dst) whose whole sets reach the similarity.
+
+    Pairs are few beside the sets, so they go to the sets; the sets of `src`,
+    often pivots of many pairs, are then moved once each.
+    """
+    with_b = sets.select(F.col("node").alias("dst"), F.col("elements").alias("b")).join(near(pairs), "dst")
+    a = sets.select(F.col("node").alias("src"), F.col("elements").alias("a")).join(near(pairs.select("src").distinct()), "src", "left_semi")
+    return with_b.join(a, "src").mapInArrow(_verified, "src long, dst long")
 
 
 def _folded(column: pa.Array, size: int) -> np.ndarray:
@@ -378,14 +382,14 @@ def _across(best: int):
 def _candidates(members: DataFrame, roots: DataFrame, sets: DataFrame, best: int, scratch: Scratch, name: str) -> DataFrame:
     """Pairs to verify (src, dst) among the members (key, view, node) of keys that join several components."""
     parts = shuffle_partitions(members.sparkSession)
-    members = members.join(roots, "node", "left").select("key", "view", "node", F.coalesce("root", "node").alias("root"))
+    members = members.join(near(roots), "node", "left").select("key", "view", "node", F.coalesce("root", "node").alias("root"))
     members = scratch.save(members, f"{name}-members")
     # of keys with the same members one is enough: long texts can share as many keys as they have words
     same = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (0, 1)]
     mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo < hi")
     mixed = mixed.groupBy("m", "x0", "x1").agg(F.min("key").alias("key"))
-    mixed = scratch.save(mixed.select("key", F.ceil(F.col("m") / F.least(F.greatest(F.col("m") / 8, F.lit(BLOCK)), F.lit(8 * BLOCK))).cast("int").alias("parts")), f"{name}-mixed")
-    own = members.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    mixed = scratch.save(mixed.select("key", F.when(F.col("m") > 2 * BLOCK, F.ceil(F.col("m") / F.least(F.greatest(F.col("m") / 5, F.lit(BLOCK)), F.lit(5 * BLOCK)))).otherwise(1).cast("int").alias("parts")), f"{name}-mixed")
+    own = members.join(near(mixed), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1) if not best else F.array("part")
     low, high = F.least("part", "other"), F.greatest("part", "other")
     dealt = (
@@ -448,7 +452,7 @@ def _linked_classes(docs: DataFrame, scratch: Scratch, fingerprint_bits: int) ->
     shared = scratch.save(shared, "shared")
     wanted = shared.select("node").distinct().join(classes, "node").select("node", "first.doc_id", "first.version", "first.rows")
     wanted = scratch.save(wanted, "wanted")
-    texts = docs.join(wanted.where("rows = 1"), ["doc_id", "version"]).select("node", "text")
+    texts = docs.join(near(wanted.where("rows = 1")), ["doc_id", "version"]).select("node", "text")
     repeated = wanted.where("rows > 1")
     if not repeated.isEmpty():
         # one of the rows that repeat a doc_id and a text
@@ -456,15 +460,16 @@ def _linked_classes(docs: DataFrame, scratch: Scratch, fingerprint_bits: int) ->
         texts = texts.unionByName(one)
     sets = scratch.save(texts.mapInArrow(_sets(names), "node long, n int, elements binary, sketch binary"), "sets")
 
-    near = (
+    pivots = (
         shared.select("node", F.explode("pivots").alias("key")).groupBy("key", F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt"))
         .agg(F.collect_set("node").alias("nodes"), F.min("node").alias("pivot"))
     )
-    near = scratch.save(near, "near")
-    stars = near.select(F.col("pivot").alias("src"), F.explode("nodes").alias("dst")).unionByName(
-        near.groupBy("key").agg(F.min("pivot").alias("src"), F.collect_set("pivot").alias("all")).select("src", F.explode("all").alias("dst"))
+    pivots = scratch.save(pivots, "pivots")
+    stars = pivots.select(F.col("pivot").alias("src"), F.explode("nodes").alias("dst")).unionByName(
+        pivots.groupBy("key").agg(F.min("pivot").alias("src"), F.collect_set("pivot").alias("all")).select("src", F.explode("all").alias("dst"))
     )
-    links = scratch.save(_verify(stars.where("src <> dst").distinct(), sets), "links")
+    stars = scratch.save(stars.where("src <> dst").distinct(), "stars")
+    links = scratch.save(_verify(stars, sets), "links")
     cheap = shared.select("node", "view", F.explode("pivots").alias("key"))
     for k in range(THIN_ROUNDS):
         roots = scratch.save(connected_components(links, scratch, f"thin{k}"), f"roots{k}")
@@ -473,7 +478,7 @@ def _linked_classes(docs: DataFrame, scratch: Scratch, fingerprint_bits: int) ->
     roots = scratch.save(connected_components(links, scratch, "most"), "roots")
     rarest = shared.select("node", "view", F.explode("rarest").alias("key"))
     more = scratch.save(_verify(_candidates(rarest, roots, sets, 0, scratch, "all"), sets), "more")
-    scratch.drop("sets", "all-members", "all-mixed", "all-pairs", "near", "shared", "wanted")
+    scratch.drop("sets", "all-members", "all-mixed", "all-pairs", "pivots", "shared", "wanted")
 
     roots = connected_components(links.unionByName(more), scratch, "last")
     own = classes.select("node", F.struct("first.doc_id", "first.version").alias("own"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch while a scratch table is written: rows hold whole texts or sets.
 BATCH_ROWS = 1000
@@ -62,5 +63,14 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: A table of a few numbers a row is broadcast only if it has no more rows than this.
+BROADCAST_ROWS = 500_000
+
+
+def near(saved: DataFrame) -> DataFrame:
+    """A saved table of narrow rows, to be broadcast if it is small; else a join moves it like any other."""
+    return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
