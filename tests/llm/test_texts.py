@@ -18,7 +18,7 @@ from tidepool.llm.license_texts import TEXTS, long_texts
 from tidepool.llm.licenses import canonical, license_digests, scan_licenses
 from tidepool.llm.mixing import mix_sources, quality_weights, word_count
 from tidepool.llm.tokens import SplicingTokenizer, count_tokens
-from tidepool.llm.toxicity import Lexicon, drop_toxic, features, fit_lexicon, fold, labelled_lexicon, score_toxicity, terms_of
+from tidepool.llm.toxicity import DOUBT, Lexicon, drop_toxic, features, fit_lexicon, fold, labelled_lexicon, score_toxicity, terms_of
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -270,7 +270,8 @@ def test_terms_are_counted_by_document(spark):
     toxic, clean = sum(y for _, y in seen), sum(1 - y for _, y in seen)
     for t, w in got.terms.items():
         a, b = (sum(t in terms for terms, y in seen if y == k) for k in (1, 0))
-        assert a >= 5 and w == pytest.approx(math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))) and w >= 0.2
+        doubt = DOUBT * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        assert a >= 5 and w == pytest.approx(math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)) - doubt) and w >= 0.2
     assert any(" vile".startswith(t.rstrip()) for t in got.terms) and not any(t.startswith(" alph") for t in got.terms)
 
 
