@@ -57,6 +57,8 @@ SALTS = 64
 #: Groups of more than 2 * BLOCK members of a key are compared in blocks: up to 5 of about BLOCK members, or more of 5 * BLOCK.
 BLOCK = 400
 FLUSH_KEYS = 500_000
+#: Bytes of a key that travel beside the number of its bucket.  Equal short keys of different blocks only add candidates.
+KEY_BYTES = 5
 
 _U = np.uint64
 _RUN = np.dtype([("node", "<u8"), ("count", "<u4"), ("need", "<i4"), ("view", "<i2")])
@@ -155,13 +157,26 @@ def _profiles(names: Names):
     return profiles
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """The lowest KEY_BYTES bytes of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _whole_keys(b: pa.RecordBatch, bucket: int, buckets: int) -> np.ndarray:
+    """The packed keys of a bucket, with its number put back, so that keys of different buckets differ."""
+    short = np.frombuffer(b"".join(b["keys"].to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, :KEY_BYTES] = short
+    return wide.view("<u8").ravel() * _U(buckets) + _U(bucket)
+
+
 def _key_blobs(buckets: int, names: Names):
     def flush(heads: list, keys: list) -> pa.RecordBatch:
         k = np.concatenate(keys)
         run = np.repeat(np.arange(len(heads)), [h[1] for h in heads])
         bucket = (k % _U(buckets)).astype(np.int64)
         order = np.lexsort((run, bucket))
-        k, run, bucket = k[order], run[order], bucket[order]
+        k, run, bucket = k[order] // _U(buckets), run[order], bucket[order]
         head = np.array(heads, dtype=_RUN)
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         filled, runs, values = [], [], []
@@ -173,7 +188,7 @@ def _key_blobs(buckets: int, names: Names):
                 h["count"] = c
                 filled.append(i)
                 runs.append(h.tobytes())
-                values.append(k[a:z].tobytes())
+                values.append(_packed(k[a:z]))
         return pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(runs, pa.binary()), pa.array(values, pa.binary())], ["bucket", "runs", "keys"])
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +211,12 @@ def _key_blobs(buckets: int, names: Names):
     return blobs
 
 
-def _shared_keys(targets: int):
+def _shared_keys(targets: int, buckets: int):
     """From all keys of a bucket, those of two sets or more, in packed rows by a hash of the set that they go back to."""
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, b in by_key(batches, "bucket"):
-            head, keys = _unpacked(b, "runs", _RUN), _unpacked(b, "keys", _U)
+        for bucket, b in by_key(batches, "bucket"):
+            head, keys = _unpacked(b, "runs", _RUN), _whole_keys(b, int(bucket), buckets)
             run = np.repeat(np.arange(head.size), head["count"])
             # copies of one set give the same keys: the first is enough
             _, first = np.unique(_name(head), return_index=True)
@@ -386,15 +401,15 @@ def _candidates(members: DataFrame, roots: DataFrame, sets: DataFrame, best: int
     members = scratch.save(members, f"{name}-members")
     # of keys with the same members one is enough: long texts can share as many keys as they have words
     same = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (0, 1)]
-    mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo < hi")
-    mixed = mixed.groupBy("m", "x0", "x1").agg(F.min("key").alias("key"))
-    mixed = scratch.save(mixed.select("key", F.when(F.col("m") > 2 * BLOCK, F.ceil(F.col("m") / F.least(F.greatest(F.col("m") / 5, F.lit(BLOCK)), F.lit(5 * BLOCK)))).otherwise(1).cast("int").alias("parts")), f"{name}-mixed")
-    own = members.join(near(mixed), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    mixed = members.groupBy("key", "view").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), *same).where("lo < hi")
+    mixed = mixed.groupBy("view", "m", "x0", "x1").agg(F.min("key").alias("key"))
+    mixed = scratch.save(mixed.select("key", "view", F.when(F.col("m") > 2 * BLOCK, F.ceil(F.col("m") / F.least(F.greatest(F.col("m") / 5, F.lit(BLOCK)), F.lit(5 * BLOCK)))).otherwise(1).cast("int").alias("parts")), f"{name}-mixed")
+    own = members.join(near(mixed), ["key", "view"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1) if not best else F.array("part")
     low, high = F.least("part", "other"), F.greatest("part", "other")
     dealt = (
         own.withColumn("other", F.explode(others))
-        .select("view", "node", "root", "part", low.alias("low"), high.alias("high"), F.xxhash64("key", low, high).alias("group"))
+        .select("view", "node", "root", "part", low.alias("low"), high.alias("high"), F.xxhash64("key", "view", low, high).alias("group"))
         .join(sets.select("node", "n", "sketch"), "node")
     )
     pairs = dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_across(best), "src long, dst long").distinct()
@@ -445,7 +460,7 @@ def _linked_classes(docs: DataFrame, scratch: Scratch, fingerprint_bits: int) ->
         docs.where("doc_id is not null and text is not null")
         .mapInArrow(_key_blobs(2 * parts, names), "bucket int, runs binary, keys binary")
         .repartition(parts, "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_shared_keys(2 * parts), "target int, runs binary, keys binary, counts binary")
+        .mapInArrow(_shared_keys(2 * parts, 2 * parts), "target int, runs binary, keys binary, counts binary")
         .repartition(parts, "target").sortWithinPartitions("target")
         .mapInArrow(_rarest_keys, "node long, view int, rarest array<long>, pivots array<long>")
     )
@@ -461,7 +476,7 @@ def _linked_classes(docs: DataFrame, scratch: Scratch, fingerprint_bits: int) ->
     sets = scratch.save(texts.mapInArrow(_sets(names), "node long, n int, elements binary, sketch binary"), "sets")
 
     pivots = (
-        shared.select("node", F.explode("pivots").alias("key")).groupBy("key", F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt"))
+        shared.select("node", F.explode(F.array_distinct("pivots")).alias("key")).groupBy("key", F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt"))
         .agg(F.collect_set("node").alias("nodes"), F.min("node").alias("pivot"))
     )
     pivots = scratch.save(pivots, "pivots")
@@ -470,13 +485,13 @@ def _linked_classes(docs: DataFrame, scratch: Scratch, fingerprint_bits: int) ->
     )
     stars = scratch.save(stars.where("src <> dst").distinct(), "stars")
     links = scratch.save(_verify(stars, sets), "links")
-    cheap = shared.select("node", "view", F.explode("pivots").alias("key"))
+    cheap = shared.select("node", "view", F.explode(F.array_distinct("pivots")).alias("key"))
     for k in range(THIN_ROUNDS):
         roots = scratch.save(connected_components(links, scratch, f"thin{k}"), f"roots{k}")
         more = _verify(_candidates(cheap, roots, sets, BEST, scratch, f"thin{k}"), sets)
         links = scratch.save(links.unionByName(more), f"links{k}")
     roots = scratch.save(connected_components(links, scratch, "most"), "roots")
-    rarest = shared.select("node", "view", F.explode("rarest").alias("key"))
+    rarest = shared.select("node", "view", F.explode(F.array_distinct("rarest")).alias("key"))
     more = scratch.save(_verify(_candidates(rarest, roots, sets, 0, scratch, "all"), sets), "more")
     scratch.drop("sets", "all-members", "all-mixed", "all-pairs", "pivots", "shared", "wanted")
 
