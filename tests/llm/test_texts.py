@@ -10,12 +10,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 from pyspark.sql import functions as F
 
 from tidepool.llm.language import drop_unidentified, fit_language_model, has_letter, identify_languages, ngram_counts, predict_language, training_rows
 from tidepool.llm.license_texts import TEXTS, long_texts
-from tidepool.llm.licenses import canonical, license_digests, scan_licenses
+from tidepool.llm.license_texts import variants
+from tidepool.llm.licenses import _MARKS, NOTICE, SPELLINGS, TEMPLATES, canonical, license_digests, scan_licenses
 from tidepool.llm.mixing import mix_sources, quality_weights, word_count
 from tidepool.llm.tokens import SplicingTokenizer, count_tokens
 from tidepool.llm.toxicity import DOUBT, Lexicon, drop_toxic, features, fit_lexicon, fold, labelled_lexicon, score_toxicity, terms_of
@@ -178,6 +180,63 @@ def test_long_licenses(spark):
     assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= texts.keys()
 
 
+def plain_canonical(text):
+    """The rule of `canonical` in plain Python, by another engine of regular expressions."""
+    t = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    if any(m in t for m in _MARKS):
+        t = regex.sub(NOTICE.replace(r"\z", r"\Z"), " ", t)
+    words = regex.sub(r"[^\p{L}\p{N}]+", " ", t).split(" ")
+    t = "  ".join(["", *filter(None, words), ""])
+    for one, other in SPELLINGS:
+        t = t.replace(f" {one.replace(' ', '  ')} ", f" {other} ")
+    t = regex.sub(" +", " ", f" {t} ")
+    for phrase in dict.fromkeys(p for p, _, _ in TEMPLATES):
+        u = t
+        for p, one, other in TEMPLATES:
+            u = regex.sub(one, other, u) if p == phrase else u
+        t = u if phrase in t else t
+    return t.strip(" ")
+
+
+def test_every_known_text_is_found_by_the_rule(spark):
+    """Each known text as it is, on lines of other widths, on one line, with spellings and with a holder's notice before it."""
+    known = {}
+    for name, text in variants():
+        known[plain_canonical(text)] = min(name, known.get(plain_canonical(text), name))
+    rows, want = [], []
+    for name, text in variants():
+        paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text)]
+        for form in (
+            text, "\n\n".join(textwrap.fill(p, 50) for p in paragraphs), "Copyright (c) 2021 Some Holder Ltd.\n\n" + text, text.replace("license", "licence"),
+            text.replace("\n", "\r\n"), text + " and one thing more",
+        ):
+            rows.append((len(rows), form))
+            want.append((plain_canonical(form), known.get(plain_canonical(form))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    forms = {r.doc_id: r.f for r in docs.select("doc_id", canonical(F.col("text")).alias("f")).collect()}
+    assert [forms[k] for k in range(len(rows))] == [f for f, _ in want]
+    got = {r.doc_id: r.license_id for r in scan_licenses(docs).collect()}
+    assert [got[k] for k in range(len(rows))] == [x for _, x in want]
+    hits = {x for _, x in want if x}
+    assert hits == {n for n, _ in variants()} and sum(x is not None for _, x in want) > 0.7 * len(want)
+
+
+def test_license_patterns_on_long_runs(spark):
+    """Runs of 100 000 of whatever a group of the patterns may repeat, and 10 MB of text, end neither the task nor the JVM."""
+    n, bsd = 100_000, "Redistributions of source code must retain. "
+    runs = [
+        "Copyright (c) " + "1999, " * n + "Some Holder", "Copyright (c) " + "1999, " * n + "Free Software Foundation, Inc. x", "Copyright (c) " + "1999 - " * n,
+        bsd + "Neither the name of X nor the names of " + "its " * n + "contributors may", bsd + "nor the names of " + "any other " * n, "(c) 2020 " + "the mit license " * n,
+        "copyright " + "_" * n, "copyright (c)" + " _" * n, "copyright" + " ," * n, "(c)" * n, "all rights reserved " * n, "free software foundation 59 temple " * n, bsd + "in no event shall " * n,
+        bsd + "o " * n, "Copyright " + "Some Holder " * n, "\n \n" * n + "copyright x", "word " * (2 * 10**6), "copyright (c) 2001 x.\n" * n, "©" * n,
+    ]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").repartition(8)
+    began = time.time()
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert sorted(got) == list(range(len(runs))) and all(r.license_id is None for r in got.values()) and time.time() - began < 120
+    assert got[10].n_canonical == 0
+
+
 def test_spellings_are_whole_words(spark):
     rows = [(1, "Licence licence LICENCE relicence"), (2, "sub-licence, sub licence x"), (3, "licence " * 200_000)]
     got = [r.form for r in spark.createDataFrame(rows, "doc_id long, text string").select(canonical(F.col("text")).alias("form")).collect()]

@@ -3,7 +3,11 @@
 The canonical form lower-cases A-Z, drops copyright notices, maps equivalent
 spellings to one, and makes every run of anything but letters and digits one
 space.  Licence wording stays wherever its lines break.  Its SHA-256 is joined to the digests of known licence texts, which are
-made by the same expressions.  Everything is DataFrame functions; the known
+made by the same expressions.  Groups repeat possessively, as Java's regular
+expressions go one call deeper with each repetition of any other group.  A
+holder of over 200 characters on a line, one of over 150 within a clause, or an
+address of over 80 is not taken for one, so such a copy of a licence has
+another digest.  Everything is DataFrame functions; the known
 texts are a fixed list, so their side is broadcast, as is a table of up to
 BROADCAST_DIGESTS known texts that a caller passes.
 """
@@ -31,7 +35,7 @@ _OPENING = (
 )
 #: Notices that licence texts themselves contain, wherever their lines break.
 _INNER = (
-    rf"copyright\s+{_SIGN}\s+(?:(?:19|20)\d\d[,\s-]*)+free\s+software\s+foundation,?\s+inc\.?(?:\s*<https?://(?:www\.)?fsf\.org/>)?"
+    rf"copyright\s+{_SIGN}\s+(?:(?:19|20)\d\d[,\s-]*+)++free\s+software\s+foundation,?\s+inc\.?(?:\s*<https?://(?:www\.)?fsf\.org/>)?"
     r"(?:[,\s]*(?:51\s+franklin|59\s+temple|675\s+mass)[^<;]{0,80}?\busa\b)?"
     rf"|copyright\s+(?:{_SIGN}\s+)?(?:{_YEAR}|year\b|19xx\b)[\s,]*[<\[{{]?\s*(?:name\s+of\s+(?:the\s+)?(?:author|copyright\s+owner)|your\s+name)\s*[>\]}}]?"
     rf"|copyright\s+{_SIGN}[\s_]*_[\s_]*"
@@ -71,7 +75,7 @@ SPELLINGS = (
 #: the canonical form, and a phrase of the texts it holds for.
 TEMPLATES = (
     (" redistributions of source code must ", r" (?:[1-4]|[abcd]|i{1,3}|iv|o) (?=(?:redistributions (?:of|in) |neither the name|all advertising materials ))", " "),
-    (" redistributions of source code must ", r" neither the names? of .{1,150}? nor the names? of (?:its |their |his |her |any |other )*contributors ", " neither the name of the holder nor the names of its contributors "),
+    (" redistributions of source code must ", r" neither the names? of .{1,150}? nor the names? of (?:its |their |his |her |any |other )*+contributors ", " neither the name of the holder nor the names of its contributors "),
     (" redistributions of source code must ", r" this software is provided by .{1,150}? as is and any ", " this software is provided by the holder as is and any "),
     (" redistributions of source code must ", r" in no event shall .{1,150}? be liable for any direct ", " in no event shall the holder be liable for any direct "),
     (" redistributions of source code must ", r" includes software developed by .{1,150}? neither the name", " includes software developed by the holder neither the name"),
