@@ -14,6 +14,7 @@ from tidepool.llm.language import identify_languages
 from tidepool.llm.licenses import COPYRIGHT_LINE, SPELLINGS, scan_licenses
 from tidepool.llm.license_texts import TEXTS
 from tidepool.llm.mixing import mix_sources, quality_weights, word_count
+from tidepool.llm.phrases import collocations
 from tidepool.llm.tokens import count_tokens
 from tidepool.llm.toxicity import held_out, labelled_lexicon, score_toxicity
 from tidepool.llm.urls import filter_urls
@@ -81,6 +82,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, labelled_lexicon(docs, _table(spark, sf_dir, "labels")), extra=[held_out()])
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_tokens": op8_tokens,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op13_phrases": op13_phrases,
 }
 
 
@@ -215,4 +221,27 @@ select page_id, strlen(h)::bigint as payload_bytes,
     + 4 * bits[5 * k + 3]::int + 2 * bits[5 * k + 4]::int + bits[5 * k + 5]::int]), lambda a, b: a || b) as payload_digest,
   case when page_id = latest then 'response' else 'revisit' end as record_type, case when page_id < latest then latest end as refers_to, null::varchar as problem
 from d""",
+    "op13_phrases": r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) as v from w, (values (1), (2), (3), (4)) s(k) where len(w) >= k),
+f as (select lang, k, v, count(*) as f from g group by all),
+n as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as (select * from f where k >= 2 and f >= 30),
+cuts as (select lang, v, k, f, unnest(range(1, k)) as j from c),
+scored as (
+  select cuts.lang, cuts.v, cuts.f, j, l.f as l, r.f as r, (2000000::hugeint * cuts.f) // (l.f::hugeint + r.f) as score
+  from cuts join f l on l.lang = cuts.lang and l.v = cuts.v[1:j] join f r on r.lang = cuts.lang and r.v = cuts.v[j + 1:]),
+best as (select * from scored qualify row_number() over (partition by lang, v order by score, j) = 1),
+inner_ as (
+  select lang, v[i:i + m - 1] as v, max(f) as longer
+  from (select lang, v, k, f, m, unnest(range(1, k - m + 2)) as i from c, (values (2), (3)) s(m) where k > m) group by all),
+kept as (
+  select b.*, array_to_string(b.v, ' ') as phrase from best b left join inner_ i on i.lang = b.lang and i.v = b.v
+  where longer is null or 100::hugeint * longer < 80::hugeint * b.f)
+select kept.lang, row_number() over (partition by kept.lang order by score desc, f desc, phrase) as rank, phrase, f::bigint as a, l::bigint as l, r::bigint as r,
+  n::bigint as n, score::bigint as score
+from kept join n using (lang) qualify rank <= 2000""",
 }
