@@ -221,17 +221,17 @@ def _tries(phrases: DataFrame, many: int, first: int, scratch: Scratch, name: st
     """The tries of phrases (no, w1, ...) numbered from `first`, shard by shard; each is built in a task and has at most `shard` phrases."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, b in by_key(batches, "shard"):
+        for at, b in by_key(batches, "shard"):
             words = np.stack([b[w].to_numpy() for w in _W], axis=1)
-            row = build_trie(words, b["no"].to_numpy()).to_row()
-            yield pa.RecordBatch.from_pylist([row], pa.schema([*((n, pa.binary()) for n in ("root", "base", "check", "value")), ("digits", pa.int32())]))
+            row = {"shard": int(at)} | build_trie(words, b["no"].to_numpy()).to_row()
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), *((n, pa.binary()) for n in ("root", "base", "check", "value")), ("digits", pa.int32())]))
 
     count = -(-many // shard)
     dealt = phrases.withColumn("shard", F.floor((F.col("no") - first) / shard)).select("shard", F.col("no").cast("int"), *[F.col(w).cast("int") for w in _W])
-    built = dealt.repartition(max(1, count), "shard").sortWithinPartitions("shard").mapInArrow(build, "root binary, base binary, check binary, value binary, digits int")
-    built = scratch.save(built.withColumn("k", F.monotonically_increasing_id()), name)
-    for k in [r["k"] for r in built.select("k").collect()]:
-        yield phrases.sparkSession.sparkContext.broadcast(Trie.from_row(built.where(F.col("k") == k).first()))
+    built = dealt.repartition(max(1, count), "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, root binary, base binary, check binary, value binary, digits int")
+    built = scratch.save(built, name)
+    for k in range(count):
+        yield phrases.sparkSession.sparkContext.broadcast(Trie.from_row(built.where(F.col("shard") == k).first()))
 
 
 def _candidates(ids: DataFrame, shorter: DataFrame | None, many: int, first: int, k: int, least: int, scratch: Scratch, shard: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.llm.alignment import align_tokenizers
 from tidepool.llm.decontamination import contained_items
 from tidepool.llm.hamming import embedding_links
 from tidepool.llm.jaccard import jaccard_components
@@ -82,6 +83,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, labelled_lexicon(docs, _table(spark, sf_dir, "labels")), extra=[held_out()])
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokenizers(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
@@ -97,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_tokens": op8_tokens,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op12_alignment": op12_alignment,
     "op13_phrases": op13_phrases,
 }
 
