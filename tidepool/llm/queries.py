@@ -16,6 +16,7 @@ from tidepool.llm.licenses import COPYRIGHT_LINE, SPELLINGS, scan_licenses
 from tidepool.llm.license_texts import TEXTS
 from tidepool.llm.mixing import mix_sources, quality_weights, word_count
 from tidepool.llm.phrases import collocations
+from tidepool.llm.secret_spans import scan_secrets, train_field
 from tidepool.llm.tokens import count_tokens
 from tidepool.llm.toxicity import held_out, labelled_lexicon, score_toxicity
 from tidepool.llm.urls import filter_urls
@@ -83,6 +84,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, labelled_lexicon(docs, _table(spark, sf_dir, "labels")), extra=[held_out()])
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return scan_secrets(docs, train_field(docs))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -104,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_tokens": op8_tokens,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_secrets": op11_secrets,
     "op12_alignment": op12_alignment,
     "op13_phrases": op13_phrases,
 }
