@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidepool.functions.series import moving_average, pct_change, series, with_ewm, with_rsi
-from tidepool.operators import allocation, calendar, checks, diagnostics, performance, profile, returns
+from tidepool.operators import allocation, asof, calendar, checks, diagnostics, performance, profile, returns
 from tidepool.sources.bars import load_bars, number, panel_from_wide
 
 START = dt.date(2024, 1, 1)  # a Monday
@@ -376,3 +376,83 @@ def test_volume_profile_matches_a_plain_loop(spark):
     assert sliced == got
     flat = bars.withColumn("high", F.lit(1.0)).withColumn("low", F.lit(1.0))
     assert {r.poc for r in profile.volume_profile(flat).collect()} == {None}
+
+
+def gappy_prices(spark, seed=4):
+    """Two books of six names: one starts late, one ends early, some have gaps, one never moves."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for book in ("x", "y"):
+        for k, name in enumerate("abcdef"):
+            p = 100 * np.cumprod(1 + rng.normal(0.001, 0.03, 90))
+            for n, d in enumerate(days(90)):
+                if (k == 1 and n < 40) or (k == 2 and n > 70) or (k in (3, 4) and rng.random() < 0.06) or (book == "y" and n % 5 == 4):
+                    continue
+                rows.append((book, name, d, 50.0 if k == 5 else float(p[n])))
+    return spark.createDataFrame(rows, "book_id string, symbol string, date date, close double")
+
+
+@pytest.mark.parametrize("lookback,least", [(30, 0.8), (50, 0.3)])
+def test_moments_by_date_are_those_of_each_date(spark, lookback, least):
+    prices = gappy_prices(spark).cache()
+    dates = [START - dt.timedelta(days=5), *(START + dt.timedelta(days=k) for k in (1, 25, 44, 45, 63, 78, 89, 400))]
+    as_of = spark.createDataFrame([(b, d) for b in "xy" for d in dates] + [("x", dates[3])], "book_id string, as_of date")
+    pairs, covered = asof.pair_moments_by_date(prices, as_of, lookback, least)
+    each = as_of.distinct().join(prices, "book_id").where("date <= as_of").select(asof.book_at().alias("book_id"), "symbol", "date", "close")
+    recent = returns.tail_dates(returns.returns_of(each), lookback)
+    want_covered = {(r.book_id, r.symbol): (r.obs, r.window, r.kept) for r in returns.coverage(recent, least).collect()}
+    got_covered = {(r.b, r.symbol): (r.obs, r.window, r.kept) for r in covered.withColumn("b", asof.book_at()).collect()}
+    assert {k: v for k, v in got_covered.items() if v[0] or k in want_covered} == want_covered
+    want = {(r.book_id, r.si, r.sj): r for r in returns.pair_moments(returns.returns_matrix(each, lookback, least)).collect()}
+    got = {(r.b, r.si, r.sj): r for r in pairs.withColumn("b", asof.book_at()).collect()}
+    # a single complete date has no covariance
+    assert {k for k, r in want.items() if r.n > 1} == {k for k, r in got.items() if r.n > 1} and len(want) > 100
+    for k, r in want.items():
+        if r.n > 1:
+            assert got[k].n == r.n
+            for c in ("cov", "corr", "sq", "iij", "ijj"):
+                assert getattr(got[k], c) == pytest.approx(getattr(r, c), rel=1e-7, abs=1e-12), (k, c)
+    last = {(r.book_id, r.as_of, r.symbol): r.price for r in asof.prices_at(prices, as_of).collect()}
+    plain = {}
+    for r in sorted(prices.collect(), key=lambda r: r.date):
+        for d in dates:
+            if r.date <= d:
+                plain[r.book_id, d, r.symbol] = r.close
+    assert last == plain
+
+
+def test_the_last_price_of_a_date_counts(spark):
+    rows = [("b", "a", 0, 10.0, 1), ("b", "a", 0, 11.0, 0), ("b", "a", 1, 12.0, 5), ("b", "a", 1, 9.0, 6), ("b", "a", 2, 18.0, 1)]
+    prices = spark.createDataFrame([(b, s, days(3)[d], c, k) for b, s, d, c, k in rows], "book_id string, symbol string, date date, close double, seq int")
+    assert [r.r for r in returns.returns_of(prices, order="seq").orderBy("date").collect()] == [None, pytest.approx(-0.1), pytest.approx(1.0)]
+    assert [r.r for r in returns.returns_of(prices).orderBy("date").collect()] == [None, pytest.approx(12 / 11 - 1), pytest.approx(0.5)]
+    assert [(r.obs, r.window) for r in returns.coverage(returns.returns_of(prices)).collect()] == [(2, 3)]
+
+
+def test_a_benchmark_date_counts_once(spark):
+    r = spark.createDataFrame([("x", d, v) for d, v in zip(days(4), (0.1, -0.05, 0.02, 0.03))], "book_id string, date date, r double")
+    b = spark.createDataFrame([(days(4)[k], v) for k, v in ((0, 0.05), (1, -0.02), (1, -0.04), (2, 0.01))], "date date, b double")
+    m = performance.performance_metrics(r, b, periods=52).collect()[0]
+    assert (m.n, m.n_paired) == (4, 3) and m.total_return == pytest.approx(1.1 * 0.95 * 1.02 * 1.03 - 1)
+    x, y = np.array([0.1, -0.05, 0.02]), np.array([0.05, -0.02, 0.01])
+    beta = np.cov(x, y)[0, 1] / np.var(y, ddof=1)
+    free = 0.045 / 52 * 3
+    assert m.volatility == pytest.approx(np.std([0.1, -0.05, 0.02, 0.03], ddof=1) * np.sqrt(52))
+    assert m.alpha_period == pytest.approx(np.prod(1 + x) - 1 - free - beta * (np.prod(1 + y) - 1 - free))
+
+
+def test_short_books_say_why(spark):
+    from tidepool.plans.books import audited_book
+
+    prices = gappy_prices(spark)
+    _, stats = audited_book(prices, names=3, lookback=30, least=0.8, capital=10_000.0)
+    got = {r.book_id: r for r in stats.collect()}
+    x = got["x"]
+    assert (x.names, x.covered, x.uncovered, x.cause, x.short) == (6, 6 - len(x.left_out), len(x.left_out), "none", 0) and "c" in x.left_out
+    assert x.deployed + x.cash == pytest.approx(10_000.0) and x.dates <= x.least_obs <= x.window == 30
+    for requested, cause in ((6, "universe"), (5, "weights")):
+        _, stats = audited_book(prices, names=requested, lookback=30, least=0.8)
+        r = [r for r in stats.collect() if r.book_id == "x"][0]
+        assert r.covered == 5 and r.cause == cause and r.short == requested - r.positions
+    _, poor = audited_book(prices, names=3, lookback=30, least=0.8, capital=1.0)
+    assert {(r.positions, r.cause, r.deployed) for r in poor.collect()} == {(0, "prices", 0.0)}

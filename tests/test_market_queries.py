@@ -11,7 +11,7 @@ LARGER = "/root/testdata/sf0.01"
 #: Queries that find nothing in the smallest tables: too few weeks have all names, or none is priced.
 THIN = {
     "holding_diagnostics", "returns_matrix", "covariance", "ledoit_wolf", "correlation_distance", "inverse_variance", "risk_contributions", "cap_weights", "erc_shares",
-    "value_book", "book_risk", "silhouettes_by_brand", "shadow_value",
+    "value_book", "book_risk", "silhouettes_by_brand", "shadow_value", "books_by_date", "hrp_in_order", "book_stats", "cluster_matrix_by_brand",
 }
 
 

@@ -1,18 +1,19 @@
 """Long-only weights of many books at once, from pairs (book_id, si, sj, ...).
 
-Each book's work is a few grouped sums; only the two tree-shaped or iterative
-solutions hold one book's matrix in a task, so they grow with the number of
-books and are meant for up to about two thousand names a book.
+Each book's work is a few grouped sums; only linkage and the iterative solution
+hold one book's matrix in a task, so they grow with the number of books and are
+meant for up to about two thousand names a book.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidepool.operators.returns import both_triangles
+from tidepool.operators.returns import both_triangles, correlation_distance
+from tidepool.sources.scratch import materialise
 
 
 def _book() -> WindowSpec:
@@ -71,8 +72,9 @@ def cap_weights(weights: DataFrame, cap: float) -> DataFrame:
 
 
 def size_positions(weights: DataFrame, prices: DataFrame, capital: float) -> DataFrame:
-    """(book_id, symbol, price, weight, units, value): whole units of the names with a price over 0."""
-    priced = weights.join(prices.where((F.col("price") > 0) & (F.col("price") < float("inf"))).select("symbol", "price"), "symbol")
+    """(book_id, symbol, price, weight, units, value): whole units of the names with a price over 0; prices may be by book, too."""
+    on = [c for c in ("book_id", "symbol") if c in prices.columns]
+    priced = weights.join(prices.where((F.col("price") > 0) & (F.col("price") < float("inf"))).select(*on, "price"), on)
     w = priced.withColumn("weight", F.col("weight") / F.sum("weight").over(_book()))
     units = F.floor(F.lit(float(capital)) * F.col("weight") / F.col("price"))
     return w.select("book_id", "symbol", "price", "weight", units.cast("long").alias("units"), (units * F.col("price")).alias("value"))
@@ -146,39 +148,61 @@ def single_linkage_order(d: np.ndarray) -> list[int]:
     return leaves.get(0, [])
 
 
-def hierarchical_risk_parity(pairs: DataFrame) -> DataFrame:
-    """Weights by recursive halving of the single-linkage order of correlation distances.
+def _halves(pos: str, names: str) -> Column:
+    """The parts of recursive halving that hold place `pos` (from 0) of `names`, below the whole, with their sibling.
+
+    Halving goes by place alone, so that all levels are known at once.
+    """
+    start = "named_struct('at', cast(0 as int), 'size', cast({n} as int), 'path', cast(array() as array<struct<at:int,size:int,other:int,others:int>>))"
+    step = (
+        "if(s.size < 2, s, if({p} - s.at < s.size div 2,"
+        " named_struct('at', s.at, 'size', cast(s.size div 2 as int), 'path', concat(s.path, array(named_struct('at', s.at, 'size', cast(s.size div 2 as int),"
+        " 'other', cast(s.at + s.size div 2 as int), 'others', cast(s.size - s.size div 2 as int))))),"
+        " named_struct('at', cast(s.at + s.size div 2 as int), 'size', cast(s.size - s.size div 2 as int), 'path', concat(s.path, array(named_struct("
+        " 'at', cast(s.at + s.size div 2 as int), 'size', cast(s.size - s.size div 2 as int), 'other', s.at, 'others', cast(s.size div 2 as int)))))))"
+    )
+    levels = f"sequence(1, 1 + cast(ceil(log2(greatest({names}, 2))) as int))"
+    return F.expr(f"aggregate({levels}, {start.format(n=names)}, (s, k) -> {step.format(p=pos)}).path")
+
+
+def hierarchical_risk_parity(pairs: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """Weights by recursive halving of the single-linkage order of correlation distances, or of `order` (book_id, symbol, pos).
 
     The halves share their parent's weight by the variance of the other's
     inverse-variance portfolio.  Names without variance get no weight, and if
-    all are such, weights are equal.
+    all are such, weights are equal.  All books and all levels go in one plan:
+    a part's variance is a grouped sum over the pairs that lie in it (a pair
+    lies in about one part below the whole), and a name's weight the product
+    of its parts' shares.  Only the linkage holds a book's distances in a task.
     """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, whole = _matrix(pdf, "cov")
-        moving = np.flatnonzero(np.diag(whole) > 0)
-        s, d = (m[np.ix_(moving, moving)] for m in (whole, _matrix(pdf, "dist")[1]))
-        w, v = np.ones(moving.size), np.diag(s)
-
-        def variance(at: list[int]) -> float:
-            p = (1 / v[at]) / (1 / v[at]).sum()
-            return float(p @ s[np.ix_(at, at)] @ p)
-
-        todo = [single_linkage_order(d)]
-        while todo:
-            part = todo.pop()
-            if len(part) < 2:
-                continue
-            left, right = part[: len(part) // 2], part[len(part) // 2 :]
-            a, b = variance(left), variance(right)
-            share = 1 - a / (a + b) if a + b > 0 else 0.5
-            w[left] *= share
-            w[right] *= 1 - share
-            todo += [left, right]
-        return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "symbol": names, "weight": _spread(w, moving, len(names))})
-
-    d = F.when(F.col("si") == F.col("sj"), F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.lit(0.0), 0.5 * (1 - F.col("corr")))))
-    return pairs.select("book_id", "si", "sj", "cov", d.alias("dist")).groupBy("book_id").applyInPandas(solve, "book_id string, symbol string, weight double")
+    pairs = materialise(pairs.select("book_id", "si", "sj", "cov", "corr"))
+    own = pairs.where("si = sj").select("book_id", F.col("si").alias("symbol"), F.when(F.col("cov") > 0, F.col("cov")).alias("v"))
+    moving = own.where("v is not null")
+    if order is None:
+        a, b = (moving.select("book_id", F.col("symbol").alias(s)) for s in ("si", "sj"))
+        order = leaf_order(correlation_distance(pairs.join(a, ["book_id", "si"], "left_semi").join(b, ["book_id", "sj"], "left_semi")))
+    placed = moving.join(order.select("book_id", "symbol", "pos"), ["book_id", "symbol"])
+    by_place = Window.partitionBy("book_id").orderBy("pos", "symbol")
+    placed = placed.withColumn("_at", F.row_number().over(by_place) - 1).withColumn("_n", F.count("*").over(_book()))
+    placed = materialise(placed.select("book_id", "symbol", "v", _halves("_at", "_n").alias("path")))
+
+    i, j = (placed.select("book_id", F.col("symbol").alias(s), F.col("v").alias(f"v{s}"), F.col("path").alias(f"path{s}")) for s in ("si", "sj"))
+    inner = pairs.join(i, ["book_id", "si"]).join(j, ["book_id", "sj"])
+    part = F.when(F.col("si") == F.col("sj"), 1.0).otherwise(2.0) * F.col("cov") / (F.col("vsi") * F.col("vsj"))
+    inner = inner.select("book_id", part.alias("m"), F.explode(F.array_intersect("pathsi", "pathsj")).alias("part"))
+    among = inner.groupBy("book_id", "part.at", "part.size").agg(F.sum("m").alias("m"))
+    steps = placed.select("book_id", "symbol", "v", F.explode("path").alias("part"))
+    total = steps.groupBy("book_id", "part.at", "part.size").agg(F.sum(1 / F.col("v")).alias("i"))
+    variance = materialise(among.join(total, ["book_id", "at", "size"]).select("book_id", "at", "size", (F.col("m") / (F.col("i") * F.col("i"))).alias("variance")))
+    mine = steps.select("book_id", "symbol", "part.*").join(variance, ["book_id", "at", "size"])
+    other = variance.select("book_id", F.col("at").alias("other"), F.col("size").alias("others"), F.col("variance").alias("its"))
+    both = F.col("variance") + F.col("its")
+    share = F.when(both > 0, F.col("its") / both).otherwise(F.lit(0.5))
+    solved = mine.join(other, ["book_id", "other", "others"]).groupBy("book_id", "symbol").agg(F.product(share).alias("_w"))
+    # a book's only name that moves has no parts
+    rows = own.join(solved, ["book_id", "symbol"], "left").withColumn("_w", F.when(F.col("v").isNull(), 0.0).otherwise(F.coalesce("_w", F.lit(1.0))))
+    sum_ = F.sum("_w").over(_book())
+    return rows.select("book_id", "symbol", F.when(sum_ > 0, F.col("_w") / sum_).otherwise(1 / F.count("*").over(_book())).alias("weight"))
 
 
 def leaf_order(distances: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.series import pct_change, series
+from tidepool.functions.series import pct_change
 
 
 def tail_dates(rows: DataFrame, n: int, key: str = "book_id", order: str = "date") -> DataFrame:
@@ -15,10 +15,15 @@ def tail_dates(rows: DataFrame, n: int, key: str = "book_id", order: str = "date
     return rows.join(last.select(key, order), [key, order], "left_semi")
 
 
-def returns_of(prices: DataFrame, pad: bool = True) -> DataFrame:
-    """(book_id, symbol, date, r) from (book_id, symbol, date, close)."""
-    w = series("book_id", "symbol")
-    return prices.select("book_id", "symbol", "date", pct_change(F.col("close"), w, pad).alias("r"))
+def returns_of(prices: DataFrame, pad: bool = True, order: str | None = None) -> DataFrame:
+    """(book_id, symbol, date, r) from (book_id, symbol, date, close).
+
+    Of several prices of a symbol on a date the last by column `order` counts,
+    without one the highest; both steps share one sort.
+    """
+    w = Window.partitionBy("book_id", "symbol").orderBy("date", *([order] if order else []), "close")
+    single = prices.withColumn("_next", F.lead("date").over(w)).where("_next is null or _next <> date")
+    return single.select("book_id", "symbol", "date", pct_change(F.col("close"), w, pad).alias("r"))
 
 
 def coverage(returns: DataFrame, least: float = 0.8) -> DataFrame:
@@ -38,14 +43,14 @@ def complete_cases(returns: DataFrame, covered: DataFrame) -> DataFrame:
     return rows.join(dates, ["book_id", "date"], "left_semi")
 
 
-def returns_matrix(prices: DataFrame, lookback: int = 252, least: float = 0.8) -> DataFrame:
-    """Complete-case returns of each book's last `lookback` dates."""
-    recent = tail_dates(returns_of(prices), lookback)
+def returns_matrix(prices: DataFrame, lookback: int = 252, least: float = 0.8, order: str | None = None) -> DataFrame:
+    """Complete-case returns of each book's last `lookback` dates; of several prices of a date the last by `order` counts."""
+    recent = tail_dates(returns_of(prices, order=order), lookback)
     return complete_cases(recent, coverage(recent, least))
 
 
 def pair_moments(returns: DataFrame) -> DataFrame:
-    """(book_id, si, sj, n, cov, corr, sq, iij, ijj) for si <= sj of complete returns.
+    """(book_id, si, sj, n, cov, corr, sq, iij, ijj) for si <= sj of complete returns; one date alone has no covariance.
 
     Of centred returns x and y, `sq` is the sum of (x * y) ** 2, `iij` of
     x ** 3 * y, and `ijj` of x * y ** 3.  The self-join is
@@ -61,7 +66,7 @@ def pair_moments(returns: DataFrame) -> DataFrame:
         F.sum(F.col("xi") * F.col("xi") * p).alias("iij"), F.sum(F.col("xj") * F.col("xj") * p).alias("ijj"),
     )
     corr = F.when((F.col("_i") > 0) & (F.col("_j") > 0), F.col("_p") / F.sqrt(F.col("_i") * F.col("_j"))).otherwise(F.lit(0.0))
-    return sums.select("book_id", "si", "sj", "n", (F.col("_p") / (F.col("n") - 1)).alias("cov"), corr.alias("corr"), "sq", "iij", "ijj")
+    return sums.select("book_id", "si", "sj", "n", F.when(F.col("n") > 1, F.col("_p") / (F.col("n") - 1)).alias("cov"), corr.alias("corr"), "sq", "iij", "ijj")
 
 
 def both_triangles(pairs: DataFrame) -> DataFrame:

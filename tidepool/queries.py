@@ -16,7 +16,7 @@ from tidepool.functions.series import (
     drawdown, ffill, moving_average, moving_std, pct_change, rebase, rolling_slope, rolling_zscore, series, with_ewm, with_rsi,
 )
 from tidepool.operators import allocation, calendar, checks, diagnostics, panel, performance, profile, returns
-from tidepool.plans.books import book_prices, books_by_method, inverse_variance_book, last_prices
+from tidepool.plans.books import audited_book, book_prices, books_by_date, books_by_method, inverse_variance_book, last_prices
 from tidepool.sources.bars import benchmark_series, load_bars, panel_from_wide
 from tidepool.sources.bars import daily_bars as build_bars
 from tidepool.sources.scratch import materialise, shared_folder
@@ -209,14 +209,14 @@ def _benchmark(weekly: DataFrame) -> DataFrame:
 
 METRICS = (
     "total_return", "cagr", "volatility", "max_drawdown", "sharpe", "sortino", "calmar", "var_95", "var_99", "cvar_95", "win_rate", "best", "worst", "skewness",
-    "kurtosis", "profit_factor", "beta", "benchmark_return", "alpha", "correlation", "r_squared", "tracking_error", "info_ratio", "treynor", "daily_volatility",
+    "kurtosis", "profit_factor", "beta", "benchmark_return", "alpha", "alpha_period", "correlation", "r_squared", "tracking_error", "info_ratio", "treynor", "daily_volatility",
     "up_capture", "down_capture",
 )
 
 
 def q_performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, b = _book_returns(spark, sf_dir)
-    return _round(performance.performance_metrics(r, b), *METRICS)
+    return _round(performance.performance_metrics(r, b, periods=52), *METRICS)
 
 
 def q_value_book(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,12 +293,12 @@ def q_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_holding_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = materialise(returns.returns_matrix(_weekly_book(spark, sf_dir), least=0.3))
     weights = materialise(allocation.inverse_variance(materialise(returns.pair_moments(r))))
-    return _round(diagnostics.holding_diagnostics(r, weights), "weight", "volatility", "corr_to_book")
+    return _round(diagnostics.holding_diagnostics(r, weights, 52), "weight", "volatility", "corr_to_book")
 
 
 def q_book_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
-    return _round(diagnostics.book_risk(pairs, materialise(allocation.inverse_variance(pairs))), "volatility", "concentration", "dispersion")
+    return _round(diagnostics.book_risk(pairs, materialise(allocation.inverse_variance(pairs)), 52), "volatility", "concentration", "dispersion")
 
 
 def q_cluster_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,6 +318,42 @@ def q_books_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(books_by_method(_nation_prices(spark, sf_dir), least=0.3), "price", "weight", "value")
 
 
+def _rebalances(prices: DataFrame) -> DataFrame:
+    """Every seventh Friday of each book's calendar, and the last one."""
+    dates = prices.select("book_id", "date").distinct().withColumn("back", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("date"))) - 1)
+    return dates.where("back % 7 = 0").select("book_id", F.col("date").alias("as_of"))
+
+
+def q_books_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse-variance books of the brands every seven weeks, each from the 104 weeks before it."""
+    prices = _weekly_book(spark, sf_dir)
+    return _round(books_by_date(prices, _rebalances(prices), lookback=104, least=0.3), "price", "weight", "value")
+
+
+def q_hrp_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive halving of the names' own order in place of the tree's."""
+    pairs = _pairs(spark, sf_dir)
+    names = pairs.where("si = sj").select("book_id", F.col("si").alias("symbol"))
+    order = names.withColumn("pos", F.row_number().over(Window.partitionBy("book_id").orderBy("symbol")))
+    return _round(allocation.hierarchical_risk_parity(pairs, order), "weight")
+
+
+def q_book_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a book of the brands, of which every fifth has no prices from 1997 on; its map as text."""
+    prices = _weekly_book(spark, sf_dir).where("not (symbol like '%5' and date >= '1997-01-01')")
+    _, stats = audited_book(prices, names=22, cap=0.05, least=0.3, periods=52)
+    text = F.array_join(F.transform(F.map_entries("left_out"), lambda e: F.concat_ws("=", e["key"], F.format_number(e["value"], 4))), ",")
+    figures = ("effective_cap", "max_weight", "deployed", "cash", "volatility", "concentration_solved", "dispersion_solved", "concentration_held", "dispersion_held")
+    return _round(stats.withColumn("left_out", text), *figures)
+
+
+def q_cluster_matrix_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations with the first digits of brands as clusters."""
+    pairs = _pairs(spark, sf_dir)
+    labels = pairs.where("si = sj").select("book_id", F.col("si").alias("symbol"), (-F.substring("si", 7, 1).cast("int")).alias("cluster"))
+    return _round(diagnostics.cluster_matrix(pairs, labels), "corr")
+
+
 def q_write_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = calendar.resample_weekly(daily_bars(spark, sf_dir)).withColumnRenamed("week", "date")
     bars = _round(bars, "open", "high", "low", "close")
@@ -459,6 +495,10 @@ QUERIES: dict[str, Query] = {
     "date_back": q_date_back,
     "silhouettes_by_brand": q_silhouettes_by_brand,
     "books_by_method": q_books_by_method,
+    "books_by_date": q_books_by_date,
+    "hrp_in_order": q_hrp_in_order,
+    "book_stats": q_book_stats,
+    "cluster_matrix_by_brand": q_cluster_matrix_by_brand,
     "write_snapshots": q_write_snapshots,
     "holding_diagnostics": q_holding_diagnostics,
     "book_risk": q_book_risk,
@@ -582,7 +622,77 @@ _UNIVERSE = "u as (select distinct p_brand || '|' || n_nationkey as symbol, n_na
 _VOLUMES = f"""with {_MANY},
 vw as (select split_part(symbol, '|', 2) as book_id, symbol, sum(volume) / sum(sum(volume)) over (partition by split_part(symbol, '|', 2)) as weight from bars group by 1, 2)"""
 
+_LEFT_OUT = _IVP.replace(_WEEKLY, _WEEKLY.replace("weekly as", "weekly0 as") + ", weekly as (select * from weekly0 where not (symbol like '%5' and week >= date '1997-01-01'))")
+
 ORACLE_SQL: dict[str, str] = {
+    "books_by_date": f"""with {_BARS}, {_WEEKLY},
+r0 as (select symbol, week as date, close / lag(close) over (partition by symbol order by week) - 1 as r from weekly),
+cal as (select week as date, row_number() over (order by week) as place, row_number() over (order by week desc) - 1 as back from (select distinct week from weekly)),
+rb as (select date as as_of, place as last_, greatest(1, place - 103) as first_ from cal where back % 7 = 0),
+rows_ as (select as_of, last_ - first_ + 1 as win, symbol, r0.date, r from rb join cal on place between first_ and last_ join r0 on r0.date = cal.date),
+kept as (select as_of, symbol from rows_ group by as_of, symbol having count(r) >= 0.3 * any_value(win) and count(r) > 0),
+many as (select as_of, count(*) as n from kept group by as_of),
+good as (select rows_.* from rows_ join kept using (as_of, symbol) where r is not null),
+full_ as (select as_of, date from good join many using (as_of) group by as_of, date having count(*) = any_value(many.n)),
+m as (select good.* from good join full_ using (as_of, date)),
+v as (select as_of, symbol, case when var_samp(r) > 0 then 1 / var_samp(r) else 0 end as i from m group by 1, 2),
+w0 as (select as_of, symbol, case when sum(i) over (partition by as_of) > 0 then i / sum(i) over (partition by as_of) else 1.0::double / count(*) over (partition by as_of) end as weight from v),
+w1 as (select *, row_number() over (partition by as_of order by weight desc, symbol) as k from w0 where weight > 1e-9),
+w2 as (select as_of, symbol, weight / sum(weight) over (partition by as_of) as weight from w1 where k <= 10),
+w3 as (select *, greatest(0.12, 1.0::double / count(*) over (partition by as_of)) as top from w2),
+w4 as (select *, least(weight, top) as wm from w3),
+w5 as (
+  select as_of, symbol, wm + case when sum(top - wm) over b > 0 then (1 - sum(wm) over b) * (top - wm) / sum(top - wm) over b else 0 end as weight
+  from w4 window b as (partition by as_of)),
+px as (select as_of, symbol, arg_max(close, week) as price from rb join weekly on week <= as_of group by 1, 2),
+w6 as (select as_of, symbol, price, weight / sum(weight) over (partition by as_of) as weight from w5 join px using (as_of, symbol))
+select 'all' as book_id, as_of, symbol, round(price, 6) as price, round(weight, 6) as weight, cast(floor(100000.0::double * weight / price) as bigint) as units,
+  round(floor(100000.0::double * weight / price) * price, 6) as value from w6""",
+    "hrp_in_order": f"""with recursive {_PAIRS[5:]},
+nm as (select si as name, row_number() over (order by si) - 1 as k, cov as v from p where si = sj),
+f as (select si, sj, cov from p union all select sj, si, cov from p where si < sj),
+mm as (select a.k as i, b.k as j, cov / (a.v * b.v) as m from f join nm a on a.name = si join nm b on b.name = sj),
+iv as (select a.k as lo, b.k - a.k + 1 as size from nm a join nm b on b.k >= a.k),
+va as (
+  select lo, size, (select sum(m) from mm where i between lo and lo + size - 1 and j between lo and lo + size - 1)
+    / pow((select sum(1 / v) from nm where k between lo and lo + size - 1), 2) as x
+  from iv),
+tree as (
+  select 0::bigint as lo, count(*)::bigint as size, 1.0::double as w from nm having count(*) > 0
+  union all
+  select case when s.left_ then t.lo else t.lo + t.size // 2 end, case when s.left_ then t.size // 2 else t.size - t.size // 2 end,
+    t.w * case when s.left_ then r.x / (l.x + r.x) else l.x / (l.x + r.x) end
+  from tree t join va l on l.lo = t.lo and l.size = t.size // 2 join va r on r.lo = t.lo + t.size // 2 and r.size = t.size - t.size // 2, (values (true), (false)) s(left_)
+  where t.size > 1)
+select 'all' as book_id, name as symbol, round(w / sum(w) over (), 6) as weight from tree join nm on nm.k = lo where size = 1""",
+    "book_stats": f"""{_LEFT_OUT},
+cov_ as (select symbol, count(r) as obs, count(r) / (select count(distinct date) from recent)::double as coverage from recent group by symbol),
+top0 as (select symbol, weight from ivp where weight > 1e-9 order by weight desc, symbol limit 22),
+top1 as (select symbol, weight / sum(weight) over () as weight from top0),
+capped as {_capped("top1", 0.05)},
+last_ as (select symbol, arg_max(close, week) as price from weekly group by symbol),
+w as (select symbol, price, weight / sum(weight) over () as weight from capped join last_ using (symbol)),
+book as (select *, floor(100000.0::double * weight / price) as units from w),
+held as (select *, units * price as value from book where units > 0),
+f as (select si, sj, cov from p union all select sj, si, cov from p where si < sj),
+rs as (select si, sum(a.weight * b.weight * cov) as c from f join ivp a on a.symbol = si join ivp b on b.symbol = sj group by si),
+rh as (select si, sum(a.weight * b.weight * cov) as c from f join held a on a.symbol = si join held b on b.symbol = sj group by si),
+k as (select (select count(*) from held) as positions, (select count(*) from cov_ where coverage >= 0.3) as covered, (select count(*) from ivp where weight > 1e-9) as weighted, (select count(distinct symbol) from weekly) as names)
+select 'all' as book_id, names, covered, names - covered as uncovered,
+  (select coalesce(string_agg(symbol || '=' || printf('%.4f', coverage), ',' order by symbol), '') from cov_ where coverage < 0.3) as left_out,
+  (select count(distinct date) from recent) as "window", (select min(obs) from cov_ where coverage >= 0.3) as least_obs, (select max(n) from p) as dates, (select count(*) from p where si = sj and cov > 0) as moving,
+  weighted, (select count(*) from book) as sized, positions, 22::bigint as requested, greatest(0, 22 - positions)::bigint as short,
+  case when positions >= 22 then 'none' when covered < 22 then 'universe' when weighted < 22 then 'weights' else 'prices' end as cause,
+  round(greatest(0.05::double, 1.0::double / (select count(*) from book)), 6) as effective_cap, round((select max(weight) from held), 6) as max_weight, (select arg_max(symbol, row(weight, symbol)) from held) as largest,
+  round((select sum(value) from held), 6) as deployed, round(100000.0::double - (select sum(value) from held), 6) as cash, round((select sqrt(sum(c) * 52) from rh), 6) as volatility,
+  round((select max(c) * count(*) / sum(c) from rs), 6) as concentration_solved, round((select stddev_pop(c) / avg(c) from rs), 6) as dispersion_solved,
+  round((select max(c) * count(*) / sum(c) from rh), 6) as concentration_held, round((select stddev_pop(c) / avg(c) from rh), 6) as dispersion_held
+from k""",
+    "cluster_matrix_by_brand": f"""{_PAIRS},
+l as (select si as symbol, -substr(si, 7, 1)::int as c from p where si = sj),
+a as (select symbol, row_number() over o as n, coalesce(c <> lag(c) over o, false) as boundary from l window o as (order by c, symbol)),
+f as (select si, sj, corr from p union all select sj, si, corr from p where si < sj)
+select 'all' as book_id, cast(i.n as integer) as i, cast(j.n as integer) as j, si, sj, round(corr, 6) as corr, i.boundary from f join a i on i.symbol = si join a j on j.symbol = sj""",
     "panel_from_wide": f"with {_BARS} select symbol, date, round(close, 6) as close, volume from bars",
     "benchmark_series": f"with {_BARS} select date, round(close, 6) as close from bars where symbol = 'Brand#11'",
     "align_to_benchmark": f"""with {_PRINTS.format(symbol="p_brand").replace("prints", "prints1").replace("bars", "bars1")}, {_MANY},
@@ -640,13 +750,13 @@ select 'all' as book_id, k, round(avg(case when own is null or greatest(own, oth
   round(round(close, 6), 2) as close, volume from weekly""",
     "holding_diagnostics": f"""{_IVP},
 b as (select date, sum(r * weight) as b from m join ivp using (symbol) group by date)
-select 'all' as book_id, symbol, round(any_value(weight), 6) as weight, round(stddev_samp(r) * sqrt(252.0::double), 6) as volatility, round(corr(r, b), 6) as corr_to_book
+select 'all' as book_id, symbol, round(any_value(weight), 6) as weight, round(stddev_samp(r) * sqrt(52.0::double), 6) as volatility, round(corr(r, b), 6) as corr_to_book
 from m join b using (date) join ivp using (symbol) group by symbol""",
     "book_risk": f"""{_IVP},
 f as (select si, sj, cov from p union all select sj, si, cov from p where si < sj),
 c as (select si, sum(a.weight * b.weight * cov) as c from f join ivp a on a.symbol = si join ivp b on b.symbol = sj group by si),
 s as (select c, c / sum(c) over () as share from c)
-select 'all' as book_id, count(*) as names, round(sqrt(sum(c) * 252), 6) as volatility, round(max(share) * count(*), 6) as concentration, round(stddev_pop(share) / avg(share), 6) as dispersion from s having count(*) > 0""",
+select 'all' as book_id, count(*) as names, round(sqrt(sum(c) * 52), 6) as volatility, round(max(share) * count(*), 6) as concentration, round(stddev_pop(share) / avg(share), 6) as dispersion from s having count(*) > 0""",
     "equal_units": f"""with {_BARS}, {_WEEKLY}, l as (select symbol, arg_max(close, week) as price from weekly group by symbol)
 select 'all' as book_id, symbol, cast(floor(100000.0::double / (select count(*) from l) / price) as bigint) as units from l""",
     "panel_summary": f"""with {_MANY} select count(distinct date) as days, min(date) as first_date, max(date) as last_date, count(distinct symbol) as symbols,
@@ -794,19 +904,19 @@ a as (
   select book_id, count(*) as n, product(1 + r) - 1 as total, avg(r) as mean, stddev_samp(r) as std, stddev_samp(case when r < 0 then r end) as down, min(dd) as mdd,
     any_value(v95) as v95, quantile_cont(r, 0.01) as v99, avg(case when r <= v95 then r end) as c95, avg(case when r > 0 then 1.0 else 0.0 end) as win, max(r) as best, min(r) as worst,
     skewness(r) as sk, kurtosis(r) as ku, sum(case when r > 0 then r end) as gains, sum(case when r < 0 then -r end) as losses,
-    covar_samp(case when b is not null then r end, b) / var_samp(b) as beta, corr(r, b) as co, count(b) as np, stddev_samp(r - b) as te, avg(r - b) as act, product(1 + b) - 1 as bt,
+    covar_samp(case when b is not null then r end, b) / var_samp(b) as beta, corr(r, b) as co, count(b) as np, stddev_samp(r - b) as te, avg(r - b) as act, product(1 + b) - 1 as bt, product(case when b is not null then 1 + r end) - 1 as pt,
     count(case when r > 0 then 1 end) as wins, count(case when r < 0 then 1 end) as losses_n, count(case when b > 0 then 1 end) as un, count(case when b < 0 then 1 end) as dn,
     product(case when b > 0 then 1 + r end) as ur, product(case when b > 0 then 1 + b end) as ub, product(case when b < 0 then 1 + r end) as dr, product(case when b < 0 then 1 + b end) as db,
     avg(case when b is not null then r end) as mp, avg(b) as mb
   from q group by book_id),
-e as (select *, pow(1 + total, 252.0::double / n) - 1 as cagr, sqrt(252.0::double) as root, 0.045::double / 252 as daily from a)
+e as (select *, pow(1 + total, 52.0::double / n) - 1 as cagr, sqrt(52.0::double) as root, 0.045::double / 52 as daily from a)
 select book_id, n, round(total, 6) as total_return, round(cagr, 6) as cagr, round(std * root, 6) as volatility, round(mdd, 6) as max_drawdown,
   round(case when std > 0 then (mean - daily) / std * root end, 6) as sharpe, round(case when down > 0 then (mean - daily) / down * root end, 6) as sortino,
   round(case when mdd < 0 then cagr / -mdd end, 6) as calmar, round(v95, 6) as var_95, round(v99, 6) as var_99, round(c95, 6) as cvar_95, round(win, 6) as win_rate,
   round(best, 6) as best, round(worst, 6) as worst, round(sk, 6) as skewness, round(ku, 6) as kurtosis,
   round(case when losses > 0 then coalesce(gains, 0) / losses end, 6) as profit_factor, np as n_paired, round(beta, 6) as beta, round(bt, 6) as benchmark_return,
-  round(252 * (mp - daily - beta * (mb - daily)), 6) as alpha, round(co, 6) as correlation, round(co * co, 6) as r_squared, round(te * root, 6) as tracking_error,
-  round(case when te > 0 then act / te * root end, 6) as info_ratio, round(case when abs(beta) > 0 then (mp - daily) * 252 / beta end, 6) as treynor,
+  round(52 * (mp - daily - beta * (mb - daily)), 6) as alpha, round(pt - daily * np - beta * (bt - daily * np), 6) as alpha_period, round(co, 6) as correlation, round(co * co, 6) as r_squared, round(te * root, 6) as tracking_error,
+  round(case when te > 0 then act / te * root end, 6) as info_ratio, round(case when abs(beta) > 0 then (mp - daily) * 52 / beta end, 6) as treynor,
   round(std, 6) as daily_volatility, wins as win_days, losses_n as lose_days,
   round(case when un > 0 then 100 * (pow(ur, 1.0::double / un) - 1) / (pow(ub, 1.0::double / un) - 1) end, 6) as up_capture,
   round(case when dn > 0 then 100 * (pow(dr, 1.0::double / dn) - 1) / (pow(db, 1.0::double / dn) - 1) end, 6) as down_capture
