@@ -36,7 +36,7 @@ PAIRS = 4_000_000
 #: such a space, and no piece of the other joins a visible character to a space that follows (checked when it is loaded).
 _VISIBLE = "!-~À-ɏͰ-ԯ"
 _CUT = re.compile(rf"(?<=[{_VISIBLE}]) (?=[{_VISIBLE}])")
-_SOUND = re.compile(rf"[{_VISIBLE}](?:.*[{_VISIBLE}])?", re.DOTALL)
+_LETTERS = frozenset(c for c in map(chr, range(0x530)) if re.match(f"[{_VISIBLE}]", c))
 #: Characters encoded at a time, segments a task remembers, characters of a text that are cut at a time, tokens aligned at a time, keys held.
 _RUN, _SEGMENTS, _PART, _TOKENS, _KEYS = 100_000, 400_000, 1_000_000, 1_000_000, 2_000_000
 _SPACE = "▁"
@@ -80,46 +80,54 @@ class PairEncoder:
         self.ids = [np.zeros(0, np.uint16), np.zeros(0, np.uint16)]
         self.starts, self.many, self.sound = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2, np.zeros(0, bool)
 
-    def _run(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-        """Ids of segments that begin and end visibly, encoded as one text; halved where its bytes are not kept."""
+    def _run(self, segments: list[str]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], np.ndarray]:
+        """(ids of both, tokens of each segment of both, whether its bytes are kept) of segments, encoded as one text.
+
+        Several have to begin and end visibly; the text is halved where its bytes are not kept.
+        """
         text = " ".join(segments)
         want = f" {text}".encode()
-        a = np.array(self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, np.int64)
-        b = np.array(self.b.encode(text), np.int64)
-        if b"".join(map(self.va.tokens.__getitem__, a.tolist())) != want or b"".join(map(self.vb.tokens.__getitem__, b.tolist())) != want:
+        ids = (
+            np.array(self.a.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, np.int64), np.array(self.b.encode(text), np.int64),
+        )
+        if any(b"".join(map(v.tokens.__getitem__, x.tolist())) != want for x, v in zip(ids, (self.va, self.vb))):
             if len(segments) == 1:
-                return [(a, b, False)]
+                return ids, tuple(np.array([x.size]) for x in ids), np.zeros(1, bool)
             half = len(segments) // 2
-            return self._run(segments[:half]) + self._run(segments[half:])
+            one, two = self._run(segments[:half]), self._run(segments[half:])
+            return *(tuple(map(np.concatenate, zip(one[k], two[k]))) for k in (0, 1)), np.r_[one[2], two[2]]
         ends = np.cumsum([len(s.encode()) + 1 for s in segments])
-        cut = []
-        for ids, v in ((a, self.va), (b, self.vb)):
-            at = np.cumsum(v.lengths[ids])
-            k = np.searchsorted(at, ends) + 1
-            if (at[k - 1] != ends).any():
+        many = []
+        for x, v in zip(ids, (self.va, self.vb)):
+            at = np.cumsum(v.lengths[x])
+            k = np.searchsorted(at, ends)
+            if (at[k] != ends).any():
                 raise ValueError("a token crosses a cut")
-            cut.append(np.split(ids, k[:-1]))
-        return [(x, y, True) for x, y in zip(*cut)]
+            many.append(np.diff(k, prepend=-1))
+        return ids, tuple(many), np.ones(len(segments), bool)
 
     def _learn(self, segments: list[str]) -> None:
-        out, run, size = [], [], 0
-        ordinary = [s for s in segments if _SOUND.fullmatch(s)]
-        for s in [*ordinary, None]:
-            if run and (s is None or size > _RUN):
-                out += zip(run, self._run(run))
-                run, size = [], 0
-            if s is not None:
+        if not segments:
+            return
+        runs, run, size, odd = [], [], 0, []
+        for s in segments:
+            if s and s[0] in _LETTERS and s[-1] in _LETTERS:
                 run.append(s)
                 size += len(s) + 1
-        out += [(s, self._run([s])[0]) for s in segments if not _SOUND.fullmatch(s)]
+                if size > _RUN:
+                    runs.append(run)
+                    run, size = [], 0
+            else:
+                odd.append([s])
+        runs += [run] * bool(run) + odd
+        coded = [self._run(r) for r in runs]
         for side in (0, 1):
-            many = np.array([len(x[side]) for _, x in out], np.int64)
-            starts = np.cumsum(many) - many + self.ids[side].size
-            self.ids[side] = np.concatenate([self.ids[side], *[x[side].astype(np.uint16) for _, x in out]])
-            self.starts[side], self.many[side] = np.r_[self.starts[side], starts], np.r_[self.many[side], many]
-        self.sound = np.r_[self.sound, np.array([x[2] for _, x in out], bool)]
-        for s, _ in out:
-            self.known[s] = len(self.known)
+            many = np.concatenate([c[1][side] for c in coded])
+            self.starts[side] = np.r_[self.starts[side], np.cumsum(many) - many + self.ids[side].size]
+            self.many[side] = np.r_[self.many[side], many]
+            self.ids[side] = np.concatenate([self.ids[side], *[c[0][side].astype(np.uint16) for c in coded]])
+        self.sound = np.concatenate([self.sound, *[c[2] for c in coded]])
+        self.known.update(zip((s for r in runs for s in r), range(len(self.known), self.sound.size)))
 
     def _segments(self, text: str) -> list[str]:
         if not self.cuts:
@@ -175,20 +183,24 @@ class Aligned:
 
     def __init__(self, batch: pa.RecordBatch, lengths: tuple[np.ndarray, np.ndarray]) -> None:
         a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).astype(np.int64) for c in "ab")
-        self.many_a, self.many_b = (np.array([len(x) // 2 for x in batch[c].to_pylist()], np.int64) for c in "ab")
-        ends_a, ends_b = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
-        ends = np.union1d(ends_a, ends_b)
-        at_a, at_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
-        mark_a, mark_b = np.zeros(ends.size, np.int64), np.zeros(ends.size, np.int64)
-        mark_a[at_a] = mark_b[at_b] = 1
+        self.many_a, self.many_b = (np.fromiter((len(x) // 2 for x in batch[c].to_pylist()), np.int64, batch.num_rows) for c in "ab")
+        # a sign for each byte at which a token of A (1), of B (2) or both (3) end
+        signs = np.zeros(int(lengths[0][a].sum()) + 1, np.uint8)
+        signs[np.cumsum(lengths[0][a])] = 1
+        signs[np.cumsum(lengths[1][b])] |= 2
+        marks = signs[signs > 0]
+        mark_a, mark_b = (marks & 1).astype(np.int32), (marks >> 1).astype(np.int32)
         # between two neighbouring ends lies one token of each side: a link
         link_a, link_b = np.cumsum(mark_a) - mark_a, np.cumsum(mark_b) - mark_b
         self.a, self.b = a, b
-        self.keys = (a[link_a] << 32) | b[link_b]
+        coded = pa.array((a[link_a] << 32) | b[link_b]).dictionary_encode()
+        #: The distinct pairs of ids, and which of them each link is.
+        self.keys, self.pair = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         self.doc = np.repeat(np.arange(batch.num_rows), self.many_a)[link_a]
         both = mark_a & mark_b
         self.groups = np.bincount(self.doc[both > 0], minlength=batch.num_rows)
         before = np.cumsum(both) - both
+        at_a, at_b = np.flatnonzero(mark_a), np.flatnonzero(mark_b)
         self.group_a, self.group_b = before[at_a], before[at_b]
 
     def digests(self, names: tuple[np.ndarray, np.ndarray]) -> list[str]:
@@ -276,7 +288,7 @@ def align_tokenizers(docs: DataFrame, byte_json_path: str, piece_model_path: str
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, fresh, size = np.zeros(0, np.int64), [], 0
         for b in _runs(batches):
-            fresh.append(np.unique(Aligned(b, lengths).keys))
+            fresh.append(Aligned(b, lengths).keys)
             size += fresh[-1].size
             if size > _KEYS:
                 held, fresh, size = np.unique(np.concatenate([held, *fresh])), [], 0
@@ -296,7 +308,9 @@ def align_tokenizers(docs: DataFrame, byte_json_path: str, piece_model_path: str
             own = hashed.value
             total = np.zeros(len(own.keys), np.int64)
             for b in _runs(batches):
-                total += np.bincount(own.slots(Aligned(b, lengths).keys)[1], minlength=total.size)
+                x = Aligned(b, lengths)
+                mine, slot = own.slots(x.keys)
+                total[slot] += np.bincount(x.pair, minlength=x.keys.size)[mine]
             cut = ((own.low + k, total[s : s + n]) for k, (s, n) in enumerate(zip(own.starts, own.sizes)) if total[s : s + n].any())
             yield from vector_rows(cut, TaskContext.get().partitionId())
 
@@ -329,11 +343,14 @@ def align_tokenizers(docs: DataFrame, byte_json_path: str, piece_model_path: str
             for b in _runs(batches):
                 x = Aligned(b, lengths)
                 mine, slot = own.slots(x.keys)
-                count, doc = worth[slot], x.doc[mine]
-                top = doc[count == best.value[x.keys[mine] & 0xFFFFFFFF]]
-                total = np.zeros(b.num_rows, np.int64)
-                np.add.at(total, doc, count)
-                columns = [x.many_a, x.many_b, x.groups, np.bincount(x.doc, minlength=b.num_rows), np.bincount(top, minlength=b.num_rows), total]
+                count, top = np.zeros(x.keys.size, np.int64), np.zeros(x.keys.size, bool)
+                count[mine] = worth[slot]
+                top[mine] = worth[slot] == best.value[x.keys[mine] & 0xFFFFFFFF]
+                # a document's links stand together
+                many = np.bincount(x.doc, minlength=b.num_rows)
+                upto = np.r_[0, np.cumsum(many)]
+                total, tops = (np.diff(np.r_[0, np.cumsum(v[x.pair].astype(np.int64))][upto]) for v in (count, top))
+                columns = [x.many_a, x.many_b, x.groups, many, tops, total]
                 yield pa.RecordBatch.from_arrays(
                     [b["doc_id"], *(pa.array(c.astype(np.int64)) for c in columns), pa.array(x.digests(names.value))], ["doc_id", *_MEASURES, "groups_sha256"]
                 )
