@@ -33,7 +33,7 @@ LONGEST = 4
 #: Phrases of a broadcast trie (about 60 bytes each), and words of a broadcast vocabulary; more go round in several passes.
 SHARD, VOCABULARY = 1_000_000, 1_000_000
 #: Characters of a text that are split into words at a time, and words or keys that a task holds before it sends them.
-_PIECE, _HELD_WORDS, _HELD_KEYS, _ROW_WORDS = 500_000, 300_000, 3_000_000, 1 << 16
+_PIECE, _HELD_WORDS, _HELD_KEYS, _ROW_WORDS = 500_000, 300_000, 1_500_000, 1 << 16
 
 _SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 _WORDS = re.compile(r"[.,;:!?\x0A-\x0D]|[^\x20\x09.,;:!?\x0A-\x0D]+")
@@ -92,12 +92,16 @@ def _encode(vocabulary: Broadcast, known: bool, keep: bool):
         ids = vocabulary.value
 
         def numbers(texts: list[str], own: dict[str, int]) -> np.ndarray:
-            words = [w for t in texts for part in (*_words(t), [_SEPARATORS[0]]) for w in part]
+            words: list[str] = []
+            for t in texts:
+                for part in _words(t):
+                    words += part
+                words.append(_SEPARATORS[0])
             coded = pa.array(words, pa.string()).dictionary_encode()
-            table = np.array([own.get(w, 0) for w in coded.dictionary.to_pylist()], np.int32)
+            table = np.fromiter((own.get(w, 0) for w in coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
             return table[coded.indices.to_numpy()] if words else np.zeros(0, np.int32)
 
-        for b in slices(batches, 50):
+        for b in slices(batches, 400):
             if keep or known:
                 rows = []
                 for k, (lang, text) in enumerate(zip(b["lang"].to_pylist(), pc.ascii_lower(b["text"]).to_pylist())):
@@ -128,8 +132,9 @@ def _encoded(texts: DataFrame, words: DataFrame, many: int, scratch: Scratch, bl
     rows, starts = texts, range(1, many + 1, block) or [1]
     for at in starts:
         ids: dict[str, dict[str, int]] = defaultdict(dict)
-        for r in words.where(F.col("no").between(at, at + block - 1)).select("lang", "word", "no").toLocalIterator():
-            ids[r["lang"]][r["word"]] = r["no"]
+        table = words.where(F.col("no").between(at, at + block - 1)).select("lang", "word", "no").toArrow()
+        for lang, word, no in zip(*(c.to_pylist() for c in table.columns)):
+            ids[lang][word] = no
         last = at + block > many
         shared = texts.sparkSession.sparkContext.broadcast(dict(ids))
         rows = rows.mapInArrow(_encode(shared, at > 1, not last), "ids binary" if last else "lang string, text string, ids binary")
@@ -224,14 +229,18 @@ def _tries(phrases: DataFrame, many: int, first: int, scratch: Scratch, name: st
         for at, b in by_key(batches, "shard"):
             words = np.stack([b[w].to_numpy() for w in _W], axis=1)
             row = {"shard": int(at)} | build_trie(words, b["no"].to_numpy()).to_row()
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), *((n, pa.binary()) for n in ("root", "base", "check", "value")), ("digits", pa.int32())]))
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int64()), *((n, pa.binary()) for n in ("root", "base", "check", "value")), ("digits", pa.int32()), ("bits", pa.int32())]))
 
     count = -(-many // shard)
     dealt = phrases.withColumn("shard", F.floor((F.col("no") - first) / shard)).select("shard", F.col("no").cast("int"), *[F.col(w).cast("int") for w in _W])
-    built = dealt.repartition(max(1, count), "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, root binary, base binary, check binary, value binary, digits int")
+    built = dealt.repartition(max(1, count), "shard").sortWithinPartitions("shard").mapInArrow(build, "shard long, root binary, base binary, check binary, value binary, digits int, bits int")
     built = scratch.save(built, name)
     for k in range(count):
-        yield phrases.sparkSession.sparkContext.broadcast(Trie.from_row(built.where(F.col("shard") == k).first()))
+        # by Arrow, so that the driver holds no copies of the arrays as rows
+        table = built.where(F.col("shard") == k).toArrow()
+        shared = phrases.sparkSession.sparkContext.broadcast(Trie.from_row({n: table[n][0].as_buffer() if n in ("root", "base", "check", "value") else table[n][0].as_py() for n in table.column_names}))
+        del table
+        yield shared
 
 
 def _candidates(ids: DataFrame, shorter: DataFrame | None, many: int, first: int, k: int, least: int, scratch: Scratch, shard: int) -> DataFrame:
