@@ -238,3 +238,12 @@ def test_embedding_copies_and_blocks(spark, monkeypatch):
     rows = [(i, (base + rng.normal(size=8) * 1e-4).tolist(), 1) for i in range(30)] + [(100 + i, base.tolist(), 1) for i in range(9)]
     got = embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(38, 0)}
+
+
+def test_plans_that_need_too_many_tables_are_refused(monkeypatch):
+    import tidepool.llm.hamming as module
+
+    monkeypatch.setattr(module, "MOST_TABLES", 9)
+    x = np.random.default_rng(0).normal(size=(500, 64))
+    with pytest.raises(ValueError, match="tables"):
+        module.plan_codes(x / np.linalg.norm(x, axis=1, keepdims=True), 10_000_000, 0.5, 1e-3)

@@ -18,7 +18,7 @@ from tidepool.llm.language import drop_unidentified, fit_language_model, has_let
 from tidepool.llm.license_texts import TEXTS, long_texts
 from tidepool.llm.license_texts import variants
 from tidepool.llm.licenses import _MARKS, NOTICE, SPELLINGS, TEMPLATES, canonical, license_digests, scan_licenses
-from tidepool.llm.mixing import mix_sources, quality_weights, word_count
+from tidepool.llm.mixing import key_bin, mix_sources, quality_weights, uniform, word_count
 from tidepool.llm.tokens import SplicingTokenizer, count_tokens
 from tidepool.llm.toxicity import DOUBT, Lexicon, drop_toxic, features, fit_lexicon, fold, labelled_lexicon, score_toxicity, terms_of
 
@@ -82,6 +82,18 @@ def test_quality_weights_and_word_count(spark):
     assert got == {1: (3, 1.0), 2: (0, 0.25), 3: (0, 0.5), None: (1, 0.5)}
 
 
+def test_quality_weights_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x", 3, "y")], "doc_id long, Quality string, _quality int, weight string")
+    got = quality_weights(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert got.columns == ["doc_id", "Quality", "_quality", "weight"] and [tuple(r) for r in got.collect()] == [(1, "x", 3, 1.0)]
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.25, 1e-6])
+def test_no_bin_is_large(spark, weight):
+    keys = spark.range(200_000).select(key_bin(-F.log(uniform(F.col("id"))) / weight).alias("bin"))
+    assert keys.groupBy("bin").count().agg(F.max("count")).first()[0] < 0.002 * 200_000
+
+
 LANGS = {"aa": "the and with for that this have from they", "bb": "der und mit nicht eine auch sich werden über", "cc": "ßü öä ñandú señor mañana también corazón"}
 
 

@@ -41,6 +41,8 @@ from tidepool.llm.shared import Scratch, shuffle_partitions
 BLOCK = 1000
 #: Bits by which near copies in the sample are found, and pairs made to plan the tables.
 COARSE_BITS, TRIALS = 16, 4000
+#: Tables beyond which a plan is refused.
+MOST_TABLES = 256
 
 
 def one_of_each_copy(x: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -115,8 +117,10 @@ def plan_codes(sample: np.ndarray, rows: int, least: float, miss: float) -> Code
         met = (coder.parts(one) == coder.parts(two)).any(axis=1)
         differ = (one != two).sum(axis=1)
         apart = (1 - (1 - differ.mean() / one.shape[1]) ** coder.bits) ** coder.tables
-        if (1 - met.mean() <= miss / 2 and apart <= miss) or coder.tables >= 256:
+        if 1 - met.mean() <= miss / 2 and apart <= miss:
             break
+        if coder.tables >= MOST_TABLES:
+            raise ValueError(f"{MOST_TABLES} tables still miss more than {miss} of the pairs at a cosine of {least}; allow more misses, or compare the vectors otherwise")
     coder.far = min(one.shape[1], max(int(differ.max()), math.ceil(differ.mean() + 6 * differ.std())))
     return coder
 
@@ -183,15 +187,18 @@ def _linked(coder: Coder, least: float):
             np.fill_diagonal(near, False)
             if b["low"][0].as_py() != b["high"][0].as_py():
                 near &= part[:, None] != part[None, :]
+            codes, place = _codes(b["code"]), int(b["place"][0].as_py())
             i, j = np.nonzero(near)
+            # counts and components take the same pairs: those whose codes are near, in whichever bucket they meet
+            close = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1, dtype=np.int64) <= coder.far
+            near[i[~close], j[~close]] = False
+            i, j = i[close], j[close]
             if not i.size:
                 continue
-            codes, place = _codes(b["code"]), int(b["place"][0].as_py())
             signs = np.unpackbits(codes, axis=1, count=coder.bits * coder.tables, bitorder="little")
             seen = coder.parts(signs)[:, :place]
-            # a pair counts where it first meets; one whose codes are apart may not have got there
-            first = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1, dtype=np.int64) <= coder.far
-            first &= ~(seen[i] == seen[j]).any(axis=1)
+            # a pair counts where it first meets
+            first = ~(seen[i] == seen[j]).any(axis=1)
             count = np.bincount(i[first], weights=copies[j[first]], minlength=rep.size).astype(np.int64)
             root = np.arange(rep.size)
             while True:

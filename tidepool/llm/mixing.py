@@ -6,9 +6,10 @@ sample without replacement of any length.  A source's target is spent on
 complete epochs first; what is left goes to the documents with the smallest
 keys, up to the word where the running sum of sizes meets it.
 
-No source is ever sorted as a whole.  Keys fall into BINS ordered bins; sums
-by source and bin (combined before the shuffle) tell which bin holds the cut,
-so that only that bin's documents, one in thousands, are put in order.
+No source is ever sorted as a whole.  Keys fall into bins by their logarithm,
+so that whatever its weight a document is in any one bin with a chance of less
+than one in a thousand; sums by source and bin (combined before the shuffle)
+tell which bin holds the cut, and only that bin's documents are put in order.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import Scratch
+from tidepool.llm.shared import Scratch, fresh_names
 
-BINS = 8192
+#: Bins for a key that is e times as large; a bin holds at most 1 / (e * BINS) of the documents of any weight.
+BINS = 500
 #: Sources are broadcast only if there are no more than these.
 BROADCAST_SOURCES = 2000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +38,10 @@ def uniform(name: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def key_bin(key: Column) -> Column:
+    return F.floor(F.lit(BINS) * F.log(key)).cast("int")
+
+
 def source_targets(sizes: DataFrame, ratio: float, weights: Sequence[float], epochs: int) -> DataFrame:
     """(source, source_size, target) from (source, size): weighted shares, capped at `epochs` times the size.
 
@@ -84,7 +90,7 @@ def mix_sources(
     keyed = docs.select(
         "doc_id", "source", F.coalesce(F.col("size").cast("long"), F.lit(0)).cast("long").alias("size"),
         (-F.log(uniform(F.col("doc_id"))) / weight).alias("key"),
-    ).withColumn("bin", F.floor(F.lit(BINS) * (1 - F.exp(-F.col("key")))).cast("int"))
+    ).withColumn("bin", key_bin(F.col("key")))
     keyed = scratch.save(keyed, "keyed")
 
     bins = scratch.save(keyed.groupBy("source", "bin").agg(F.sum("size").alias("size")), "bins")
@@ -122,9 +128,9 @@ def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Where a doc_id has several labels, the best counts.  Null labels and a
     null doc_id count as unlabelled; documents that repeat stay; an empty table
-    of either gives no rows or no labels.
+    of either gives no rows or no labels.  Other columns of `docs` stay, but
+    for one named `weight`.
     """
-    best = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return docs.join(best, "doc_id", "left").withColumn(
-        "weight", F.when(F.col("quality") >= 1, 1.0).when(F.col("quality") <= 0, 0.25).otherwise(0.5)
-    ).drop("quality")
+    (q,) = fresh_names(docs, "quality")
+    best = labels.groupBy("doc_id").agg(F.max("quality").alias(q))
+    return docs.join(best, "doc_id", "left").withColumn("weight", F.when(F.col(q) >= 1, 1.0).when(F.col(q) <= 0, 0.25).otherwise(0.5)).drop(q)
