@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidepool.llm import components as library
 from tidepool.llm.arrow import by_key, keep_rows, slices, whole_groups
-from tidepool.llm.components import connected_components
+from tidepool.llm.components import connected_components, joined_components
 from tidepool.llm.shared import Scratch
 from test_pairs import components
 
@@ -46,3 +48,25 @@ def test_components_match_union_find(spark, shape):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "t")).collect()}
     links = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
     assert got == components({x for e in links for x in e}, links)
+
+
+def test_components_of_hubs_by_broadcast_and_by_vertex(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [(0, int(x)) for x in range(1, 200)] + [(int(a), int(b)) for a, b in rng.integers(0, 600, (300, 2))]
+    want = components({x for e in edges if e[0] != e[1] for x in e}, edges)
+    for hubs in (1, 10, 10_000):
+        monkeypatch.setattr(library, "HUBS", hubs)
+        got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), Scratch(spark, "t")).collect()}
+        assert got == want, hubs
+
+
+def test_joined_components_equal_those_of_all_links(spark):
+    scratch = Scratch(spark, "t")
+    first, more = [(1, 2), (3, 4), (5, 6)], [(2, 4), (7, 8), (9, 6), (8, 7)]
+    roots = scratch.save(connected_components(spark.createDataFrame(first, "src long, dst long"), scratch), "roots")
+    links = scratch.save(spark.createDataFrame(more, "src long, dst long"), "links")
+    got = {r.node: r.root for r in joined_components(roots, links, scratch, "all").collect()}
+    assert got == components(range(1, 10), first + more)
+    assert joined_components(roots, links.limit(0), scratch, "none") is roots
+    none = scratch.save(roots.limit(0), "no-roots")
+    assert {r.node: r.root for r in joined_components(none, links, scratch, "new").collect()} == components([2, 4, 6, 7, 8, 9], more)

@@ -1,37 +1,44 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a grouped minimum joined back to the edges; hubs are dealt out
-over salts, so a vertex with a third of all edges does not land in one task.
-The number of steps grows with the logarithm of the vertices, and each step's
-edges are a table in the shared folder.
+Each step gives every edge the smallest neighbour of its vertex.  Vertices of
+more than a HUBS-th of all edges, fewer than HUBS of them, are broadcast with
+theirs and their edges dealt out; the others' edges meet by vertex, so that no
+task holds a hub, whatever its size.  The number of steps grows with the
+logarithm of the vertices, and each step's edges are a table in the shared
+folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.shared import Scratch
+from tidepool.llm.shared import Scratch, near
 
-SALTS = 16
+HUBS = 10_000
 
 
-def _with_minimum(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the smallest of u and all its neighbours in `edges`."""
-    salted = edges.withColumn("s", F.pmod(F.hash("v"), F.lit(SALTS)))
-    least = (
-        salted.groupBy("u", "s").agg(F.min("v").alias("m")).groupBy("u").agg(F.least(F.min("m"), F.first("u")).alias("m"))
-        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    return salted.join(least, ["u", "s"]).select("u", "v", "m")
+def _with_minimum(edges: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): m is the smallest of u and all its neighbours in `edges`, which has at most `rows` rows."""
+    degrees = edges.groupBy("u").agg(F.min("v").alias("_least"), F.count("*").alias("_degree"))
+    hubs = F.broadcast(degrees.where(F.col("_degree") * HUBS > rows).select("u", "_least"))
+    dealt = F.when(F.col("_least").isNull(), F.lit(0)).otherwise(F.pmod(F.hash("v"), F.lit(HUBS)) + 1)
+    own = F.min("v").over(Window.partitionBy("u", "_dealt"))
+    return edges.join(hubs, "u", "left").withColumn("_dealt", dealt).select("u", "v", F.least("u", F.coalesce("_least", own)).alias("m"))
 
 
-def _is_star_forest(edges: DataFrame) -> bool:
-    """Whether every vertex has one edge to a smaller one, or is itself the smaller end of all its edges."""
-    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
-        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
-    )
-    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+def _edges(*pairs: tuple[Column | str, Column | str]) -> Column:
+    return F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs]))
+
+
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges, and whether every vertex has one edge to a smaller one, or is itself the smaller end of all its edges."""
+    ends = edges.select(F.inline(F.array(*[
+        F.struct(F.col(c).alias("x"), F.lit(up).alias("up"), F.lit(1 - up).alias("down")) for c, up in (("u", 1), ("v", 0))
+    ])))
+    ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    row = ends.agg(F.sum("up").alias("rows"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).alias("left")).collect()[0]
+    return row["rows"] or 0, row["left"] == 0
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
@@ -42,19 +49,35 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     """
     e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     e = scratch.save(e, f"{name}-0")
+    rows, done = _state(e)
     k = 0
-    while not _is_star_forest(e):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    while not done:
+        both = e.select(_edges(("u", "v"), ("v", "u")))
+        large = _with_minimum(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = scratch.save(large, f"{name}-{k + 1}")
-        with_m = _with_minimum(large)
-        small = (
-            with_m.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(with_m.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        )
+        small = _with_minimum(large, rows).select(_edges(("v", "m"), ("u", "m"))).where("u <> v").distinct()
         e = scratch.save(small, f"{name}-{k + 2}")
         scratch.drop(f"{name}-{k}", f"{name}-{k + 1}")
         k += 2
+        rows, done = _state(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def joined_components(roots: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The saved components `roots` (node, root) after more saved `links` (src, dst), as a saved table.
+
+    Only the links' components are joined to one another, each by its root; a
+    vertex that is new to `roots` is its own.  No links change nothing.
+    """
+    if links.isEmpty():
+        return roots
+    ends = links
+    for c in ("src", "dst"):
+        of = near(roots).withColumnsRenamed({"node": c, "root": "_root"})
+        ends = ends.join(of, c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
+    joined = scratch.save(connected_components(ends, scratch, f"{name}-ends"), f"{name}-joined")
+    to = near(joined).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    moved = roots.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return scratch.save(moved.unionByName(joined.join(roots, "node", "left_anti").select("node", "root")), name)
