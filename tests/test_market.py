@@ -321,8 +321,13 @@ def test_holes_are_filled_and_never_overwritten(spark):
 def test_checks_of_a_panel(spark):
     bars, names = close_frame(spark, a=[1, 2], b=[None, 0]), spark.createDataFrame([("a",), ("b",), ("z",)], "symbol string")
     one = checks.panel_checks(bars, names, "2024-01-01", "2024-01-02").collect()[0]
-    assert tuple(one) == (3, 2, False, False, False, False)
-    assert tuple(checks.panel_checks(bars, names.limit(0), "2024-01-02", "2024-01-01").collect()[0]) == (0, 0, True, True, True, False)
+    assert tuple(one) == (3, 2, False, False, False, False, False)
+    assert checks.panel_checks(bars, names, "2024-01-01", "2024-01-02", many=2).collect()[0].many_names
+    assert tuple(checks.panel_checks(bars, names.limit(0), "2024-01-02", "2024-01-01").collect()[0]) == (0, 0, True, True, True, False, False)
+    assert sorted(map(tuple, checks.enough_history(bars, 2).collect())) == [("a", 2, True), ("b", 2, True)]
+    some = names.where("symbol <> 'b'").unionByName(names.where("symbol = 'z'"))
+    assert sorted(map(tuple, checks.enough_history(bars, 2, keys=some).collect())) == [("a", 2, True), ("z", 0, False)]
+    assert checks.enough_history(bars.limit(0), 2).collect() == [] and not checks.enough_history(bars.limit(0), 1, keys=names).where("enough").count()
     assert tuple(checks.failed_share(bars, names).collect()[0]) == (3, 1, pytest.approx(1 / 3), False)
     assert tuple(checks.failed_share(bars, names.limit(0)).collect()[0]) == (0, 0, None, False)
     values = spark.createDataFrame([("k", START), ("m", START)], "book_id string, date date")
@@ -456,3 +461,13 @@ def test_short_books_say_why(spark):
         assert r.covered == 5 and r.cause == cause and r.short == requested - r.positions
     _, poor = audited_book(prices, names=3, lookback=30, least=0.8, capital=1.0)
     assert {(r.positions, r.cause, r.deployed) for r in poor.collect()} == {(0, "prices", 0.0)}
+
+
+def test_holdings_keep_their_row_without_returns_or_label(spark):
+    r = returns_frame(spark, np.random.default_rng(2).normal(size=(30, 2)))
+    book, names = r.first().book_id, sorted(x.symbol for x in r.select("symbol").distinct().collect())
+    weights = spark.createDataFrame([(book, names[0], 0.5), (book, names[1], 0.3), (book, "none", 0.2)], "book_id string, symbol string, weight double")
+    labels = spark.createDataFrame([(book, names[0], 3), (book, "none", 1), ("other", names[1], 2)], "book_id string, symbol string, cluster int")
+    got = {x.symbol: (x.volatility is None, x.cluster) for x in diagnostics.holding_diagnostics(r, weights, labels=labels).collect()}
+    assert got == {names[0]: (False, 3), names[1]: (False, None), "none": (True, 1)}
+    assert "cluster" not in diagnostics.holding_diagnostics(r, weights).columns

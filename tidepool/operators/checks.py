@@ -36,19 +36,29 @@ def estimable(returns: DataFrame, least_dates: int = 20) -> DataFrame:
     return counts.withColumn("estimable", enough)
 
 
-def enough_history(rows: DataFrame, least: int, key: str = "symbol") -> DataFrame:
-    """(key, dates, enough) : whether a key has at least `least` dates."""
-    return rows.groupBy(key).agg(F.count_distinct("date").alias("dates")).withColumn("enough", F.col("dates") >= least)
+def enough_history(rows: DataFrame, least: int, key: str = "symbol", keys: DataFrame | None = None) -> DataFrame:
+    """(key, dates, enough) : whether a key has at least `least` dates.
+
+    With `keys`, one row for each of its distinct keys, with no dates for those
+    without rows; other keys are left out.
+    """
+    counts = rows.groupBy(key).agg(F.count_distinct("date").alias("dates"))
+    if keys is not None:
+        counts = keys.select(key).distinct().join(counts, key, "left").select(key, F.coalesce("dates", F.lit(0)).alias("dates"))
+    return counts.withColumn("enough", F.col("dates") >= least)
 
 
-def panel_checks(bars: DataFrame, universe: DataFrame, start: str, end: str) -> DataFrame:
-    """One row (names, failed, no_names, reversed_range, no_prices, all_failed) of a universe's bars in a range of dates."""
+def panel_checks(bars: DataFrame, universe: DataFrame, start: str, end: str, many: int = 10_000) -> DataFrame:
+    """One row (names, failed, no_names, reversed_range, no_prices, all_failed, many_names) of a universe's bars in a range of dates.
+
+    `many_names` is a warning: over `many` names, more than one should put into one book.
+    """
     inside = bars.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & is_priced(F.col("close")))
     names = universe.select("symbol").distinct().join(inside.select("symbol").distinct().withColumn("_p", F.lit(1)), "symbol", "left")
     counts = names.agg(F.count("*").alias("names"), (F.count("*") - F.count("_p")).alias("failed"))
     return counts.select(
         "names", "failed", (F.col("names") == 0).alias("no_names"), F.lit(date.fromisoformat(start) > date.fromisoformat(end)).alias("reversed_range"),
-        (F.col("names") == F.col("failed")).alias("no_prices"), ((F.col("names") > 0) & (F.col("names") == F.col("failed"))).alias("all_failed"),
+        (F.col("names") == F.col("failed")).alias("no_prices"), ((F.col("names") > 0) & (F.col("names") == F.col("failed"))).alias("all_failed"), (F.col("names") > many).alias("many_names"),
     )
 
 

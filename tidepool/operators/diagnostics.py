@@ -14,11 +14,16 @@ def book_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
     return returns.join(weights.select("book_id", "symbol", "weight"), ["book_id", "symbol"]).groupBy("book_id", "date").agg(F.sum(F.col("r") * F.col("weight")).alias("r"))
 
 
-def holding_diagnostics(returns: DataFrame, weights: DataFrame, periods: int = 252) -> DataFrame:
-    """(book_id, symbol, weight, volatility, corr_to_book): annual volatility, and correlation with the book's own returns."""
+def holding_diagnostics(returns: DataFrame, weights: DataFrame, periods: int = 252, labels: DataFrame | None = None) -> DataFrame:
+    """(book_id, symbol, weight, volatility, corr_to_book): annual volatility, and correlation with the book's own returns.
+
+    With `labels` (book_id, symbol, cluster), also a holding's cluster.  A
+    holding without returns, or without a label, stays with nulls there.
+    """
     book = book_returns(returns, weights).withColumnRenamed("r", "_b")
     rows = returns.join(book, ["book_id", "date"]).groupBy("book_id", "symbol").agg((F.stddev_samp("r") * F.sqrt(F.lit(float(periods)))).alias("volatility"), F.corr("r", "_b").alias("corr_to_book"))
-    return weights.select("book_id", "symbol", "weight").join(rows, ["book_id", "symbol"], "left")
+    out = weights.select("book_id", "symbol", "weight").join(rows, ["book_id", "symbol"], "left")
+    return out if labels is None else out.join(labels.select("book_id", "symbol", "cluster"), ["book_id", "symbol"], "left")
 
 
 def book_risk(pairs: DataFrame, weights: DataFrame, periods: int = 252) -> DataFrame:

@@ -17,22 +17,13 @@ from tidepool.functions.series import (
 )
 from tidepool.operators import allocation, calendar, checks, diagnostics, panel, performance, profile, returns
 from tidepool.plans.books import audited_book, book_prices, books_by_date, books_by_method, inverse_variance_book, last_prices
-from tidepool.sources.bars import benchmark_series, load_bars, panel_from_wide
-from tidepool.sources.bars import daily_bars as build_bars
+from tidepool.sources.bars import benchmark_series, daily_bars, load_bars, panel_from_wide
 from tidepool.sources.scratch import materialise, shared_folder
 from tidepool.sources.snapshots import read_snapshots, write_snapshots
 from tidepool.streaming.bars import event_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Tables of bars that were saved before, by folder and by_nation; without one, bars are built from the line items.
-SAVED_BARS: dict[tuple[str, bool], str] = {}
-
-
-def daily_bars(spark: SparkSession, sf_dir: str, by_nation: bool = False) -> DataFrame:
-    saved = SAVED_BARS.get((sf_dir, by_nation))
-    return spark.read.parquet(saved) if saved else build_bars(spark, sf_dir, by_nation)
-
 
 def _round(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
@@ -56,7 +47,7 @@ def flagship_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(build_bars(spark, sf_dir, by_nation=True), "open", "high", "low", "close")
+    return _round(daily_bars(spark, sf_dir, by_nation=True), "open", "high", "low", "close")
 
 
 def q_load_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +284,8 @@ def q_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_holding_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = materialise(returns.returns_matrix(_weekly_book(spark, sf_dir), least=0.3))
     weights = materialise(allocation.inverse_variance(materialise(returns.pair_moments(r))))
-    return _round(diagnostics.holding_diagnostics(r, weights, 52), "weight", "volatility", "corr_to_book")
+    labels = weights.select("book_id", "symbol", F.substring("symbol", 7, 1).cast("int").alias("cluster"))
+    return _round(diagnostics.holding_diagnostics(r, weights, 52, labels), "weight", "volatility", "corr_to_book")
 
 
 def q_book_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,12 +440,12 @@ def q_estimable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_enough_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.enough_history(daily_bars(spark, sf_dir, by_nation=True), 60)
+    return checks.enough_history(daily_bars(spark, sf_dir, by_nation=True), 60, keys=_universe(spark, sf_dir))
 
 
 def q_panel_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, names = daily_bars(spark, sf_dir, by_nation=True), _universe(spark, sf_dir)
-    return checks.panel_checks(bars, names, "1994-01-01", "1994-01-31").unionByName(checks.panel_checks(bars, names, "1994-01-31", "1994-01-01"))
+    return checks.panel_checks(bars, names, "1994-01-01", "1994-01-31", 100).unionByName(checks.panel_checks(bars, names, "1994-01-31", "1994-01-01"))
 
 
 def q_failed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -731,10 +723,10 @@ select date, best from (select distinct date from bars) left join b using (date)
 r as (select split_part(symbol, '|', 2) as book_id, symbol, week, close / lag(close) over (partition by symbol order by week) - 1 as r from weekly),
 c as (select book_id, count(distinct symbol) as names, count(distinct week) as dates from r where r is not null group by book_id)
 select book_id, names, dates, names >= 2 and dates > names and dates >= 260 as estimable from c""",
-    "enough_history": f"with {_MANY} select symbol, count(distinct date) as dates, count(distinct date) >= 60 as enough from bars group by symbol",
+    "enough_history": f"with {_MANY}, {_UNIVERSE} select u.symbol, count(distinct date) as dates, count(distinct date) >= 60 as enough from u left join bars on bars.symbol = u.symbol group by u.symbol",
     "panel_checks": f"""with {_MANY}, {_UNIVERSE}, r(a, z) as (values (date '1994-01-01', date '1994-01-31'), (date '1994-01-31', date '1994-01-01')),
 c as (select a, z, count(distinct u.symbol) as names, count(distinct bars.symbol) as priced from r cross join u left join bars on bars.symbol = u.symbol and date between a and z group by a, z)
-select names, names - priced as failed, names = 0 as no_names, a > z as reversed_range, priced = 0 as no_prices, names > 0 and priced = 0 as all_failed from c""",
+select names, names - priced as failed, names = 0 as no_names, a > z as reversed_range, priced = 0 as no_prices, names > 0 and priced = 0 as all_failed, names > case when a < z then 100 else 10000 end as many_names from c""",
     "failed_share": f"""with {_MANY}, {_UNIVERSE}, c as (select count(*) as names, count(case when symbol not in (select symbol from bars) then 1 end) as failed from u)
 select names, failed, round(failed / names::double, 6) as share, failed / names::double > 0.03 as too_many from c""",
     "date_back": f"""with {_BARS}, d as (select date, row_number() over (order by date desc) - 1 as back from (select distinct date from bars where date <= '1996-12-31'))
@@ -750,7 +742,8 @@ select 'all' as book_id, k, round(avg(case when own is null or greatest(own, oth
   round(round(close, 6), 2) as close, volume from weekly""",
     "holding_diagnostics": f"""{_IVP},
 b as (select date, sum(r * weight) as b from m join ivp using (symbol) group by date)
-select 'all' as book_id, symbol, round(any_value(weight), 6) as weight, round(stddev_samp(r) * sqrt(52.0::double), 6) as volatility, round(corr(r, b), 6) as corr_to_book
+select 'all' as book_id, symbol, round(any_value(weight), 6) as weight, round(stddev_samp(r) * sqrt(52.0::double), 6) as volatility, round(corr(r, b), 6) as corr_to_book,
+  substr(symbol, 7, 1)::int as cluster
 from m join b using (date) join ivp using (symbol) group by symbol""",
     "book_risk": f"""{_IVP},
 f as (select si, sj, cov from p union all select sj, si, cov from p where si < sj),
