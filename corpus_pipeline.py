@@ -1,7 +1,8 @@
 """A training-data pipeline over documents, stage by stage.
 
 Each stage takes all documents that its predecessor kept, as a table in the
-shared folder, and all but the last return documents with all their columns.
+shared folder, and all but the last return documents with all their columns,
+whatever their names.  An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -22,27 +23,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
+    """Documents that score 0.7 or more go; null and empty texts score as one without any term, and repeated rows stay."""
     return drop_toxic(docs, labelled_lexicon(docs, _table(spark, sf_dir, "labels")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language, or with a score under 0.5, go."""
+    """Documents in no known language, or with a score under 0.5, go, as do null texts and texts without a letter; repeated rows stay."""
     return drop_unidentified(docs, fit_language_model(training_rows(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates, the document with the smallest doc_id stays; texts without words and rows without a doc_id stay."""
     return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and wordless texts stay, and without items all rows do."""
     return drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) of the documents in the mix."""
+    """(doc_id, source, size, source_size, target, taken) of the documents in the mix; a null source is one of its own, null texts take nothing."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix_sources(quality_weights(sized, _table(spark, sf_dir, "labels"))).where("taken > 0")
 

@@ -224,7 +224,9 @@ def records_of(archives: DataFrame, held_bytes: int = 8_000_000) -> DataFrame:
     """As `read_archives`, of a table (archive, records) of paths or addresses; `records` may be null.
 
     Archives are dealt out by name and read a record at a time; a batch holds
-    payloads of about `held_bytes`.
+    payloads of about `held_bytes`.  A damaged archive gives a row with its
+    problem; one that is missing or can't be opened ends the job, as nothing can
+    be told of its records.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
