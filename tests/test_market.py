@@ -185,12 +185,33 @@ def test_single_linkage_order():
     assert allocation.single_linkage_order(d) == [0, 2, 1, 3]
 
 
-@given(st.lists(st.integers(1, 1000), min_size=1, max_size=12), st.floats(0.01, 1))
+def capped_one_by_one(w, cap):
+    """The largest is held at the cap and the rest scaled, until none is over it."""
+    top, held = max(cap, 1 / len(w)), set()
+    while True:
+        rest = [i for i in range(len(w)) if i not in held]
+        total, left = sum(w[i] for i in rest), 1 - top * len(held)
+        got = {i: left * w[i] / total if total else left / len(rest) for i in rest}
+        over = [i for i in rest if got[i] > top * (1 + 1e-12)]
+        if not over:
+            return [top if i in held else got[i] for i in range(len(w))]
+        held.add(max(over, key=lambda i: w[i]))
+
+
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12).filter(any), st.floats(0.01, 1))
 @settings(max_examples=12, deadline=None)
 def test_capped_weights(spark, parts, cap):
-    w = [("k", f"s{i}", p / sum(parts)) for i, p in enumerate(parts)]
-    got = [r.weight for r in allocation.cap_weights(spark.createDataFrame(w, "book_id string, symbol string, weight double"), cap).collect()]
-    assert sum(got) == pytest.approx(1) and max(got) <= max(cap, 1 / len(parts)) + 1e-12
+    w = [p / sum(parts) for p in parts]
+    rows = [("k", f"s{i:02}", x) for i, x in enumerate(w)] + [("other", "x", 1.0)]
+    got = {(r.book_id, r.symbol): r.weight for r in allocation.cap_weights(spark.createDataFrame(rows, "book_id string, symbol string, weight double"), cap).collect()}
+    assert got.pop(("other", "x")) == 1 and [got["k", f"s{i:02}"] for i in range(len(w))] == pytest.approx(capped_one_by_one(w, cap), abs=1e-9)
+    assert sum(got.values()) == pytest.approx(1) and max(got.values()) <= max(cap, 1 / len(parts)) + 1e-12
+
+
+def test_what_no_weight_can_take_goes_in_equal_parts(spark):
+    w = spark.createDataFrame([("k", "a", 1.0), ("k", "b", 0.0), ("k", "c", None), ("k", "d", 0.0)], "book_id string, symbol string, weight double")
+    assert {r.symbol: r.weight for r in allocation.cap_weights(w, 0.4).collect()} == pytest.approx({"a": 0.4, "b": 0.2, "c": 0.2, "d": 0.2})
+    assert allocation.cap_weights(w.limit(0), 0.4).collect() == []
 
 
 def test_cap_below_equal_parts_is_relaxed(spark):

@@ -59,16 +59,25 @@ def select_top(weights: DataFrame, n: int) -> DataFrame:
 
 
 def cap_weights(weights: DataFrame, cap: float) -> DataFrame:
-    """Weights of at most `cap` (or equal parts, if that is more); what is cut goes to the others by headroom.
+    """Weights of at most `cap` (or equal parts, if that is more): the smaller of the cap and one common multiple of the weight.
 
-    One pass: the cut never exceeds the headroom of all, so sharing it in
-    proportion leaves no weight above the cap.
+    Names below the cap so keep their proportions.  From the largest weight
+    down, a name is at the cap if the multiple that the names from it on would
+    have takes it over; that multiple rises up to the last such name and falls
+    after it, so one sorted window finds it.  If all names with a weight are at
+    the cap, what is left goes to the others in equal parts.
     """
-    top = F.greatest(F.lit(float(cap)), 1 / F.count("*").over(_book()))
-    w = weights.withColumn("_top", top).withColumn("_w", F.least("weight", "_top"))
-    short, room = 1 - F.sum("_w").over(_book()), F.sum(F.col("_top") - F.col("_w")).over(_book())
-    filled = F.col("_w") + F.when(room > 0, short * (F.col("_top") - F.col("_w")) / room).otherwise(F.lit(0.0))
-    return w.select("book_id", "symbol", filled.alias("weight"))
+    down = _book().orderBy(F.desc("_b"), "symbol")
+    w = weights.select("book_id", "symbol", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("_b"))
+    w = w.withColumn("_top", F.greatest(F.lit(float(cap)), 1 / F.count("*").over(_book()))).select(
+        "*", (F.row_number().over(down) - 1).alias("_k"), F.sum("_b").over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_rest")
+    )
+    w = w.withColumn("_m", F.when(F.col("_b") > 0, F.greatest(1 - F.col("_k") * F.col("_top"), F.lit(0.0)) / F.col("_rest")))
+    w = w.withColumn("_over", F.coalesce(F.col("_m") * F.col("_b") > F.col("_top"), F.lit(False)))
+    free = F.max(F.when(~F.col("_over"), F.col("_m"))).over(_book())
+    left = F.greatest(1 - F.sum(F.when(F.col("_over"), F.col("_top")).otherwise(F.lit(0.0))).over(_book()), F.lit(0.0))
+    shared = F.when(free.isNotNull(), F.col("_b") * free).otherwise(left / F.sum(F.when(F.col("_b") > 0, 0).otherwise(1)).over(_book()))
+    return w.select("book_id", "symbol", F.when(F.col("_over"), F.col("_top")).otherwise(shared).alias("weight"))
 
 
 def size_positions(weights: DataFrame, prices: DataFrame, capital: float) -> DataFrame:
@@ -96,12 +105,13 @@ def _spread(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return w / w.sum() if at.size else np.full(n, 1 / max(n, 1))
 
 
-def equal_risk_contributions(pairs: DataFrame, sweeps: int = 1000, tolerance: float = 1e-12) -> DataFrame:
+def equal_risk_contributions(pairs: DataFrame, sweeps: int = 5000, tolerance: float = 1e-10) -> DataFrame:
     """Weights whose parts of the variance are equal, by cyclic coordinate descent.
 
     Each coordinate is the positive root of a quadratic, so weights stay
-    positive; started from one over volatility, normalised at the end.  `pairs`
-    may be a sample or a shrunk covariance.  Names without variance get no
+    positive; started from one over volatility, normalised at the end.  It ends
+    when no name's part differs from an equal one by more than `tolerance` of
+    it, or after `sweeps`.  `pairs` may be a sample or a shrunk covariance.  Names without variance get no
     weight, and if all are such, weights are equal.
     """
 
@@ -112,12 +122,12 @@ def equal_risk_contributions(pairs: DataFrame, sweeps: int = 1000, tolerance: fl
         a = np.diag(s)
         x = 1 / np.sqrt(a)
         for _ in range(sweeps):
-            old = x.copy()
+            # each part of the variance is 1 / n at the solution
+            if not n or np.max(np.abs(n * x * (s @ x) - 1)) <= tolerance:
+                break
             for i in range(n):
                 b = s[i] @ x - s[i, i] * x[i]
                 x[i] = (-b + np.sqrt(b * b + 4 * a[i] / n)) / (2 * a[i])
-            if not n or np.max(np.abs(x - old) / np.abs(x)) < tolerance:
-                break
         return pd.DataFrame({"book_id": pdf["book_id"].iloc[0], "symbol": names, "weight": _spread(x, moving, len(names))})
 
     return pairs.select("book_id", "si", "sj", "cov").groupBy("book_id").applyInPandas(solve, "book_id string, symbol string, weight double")

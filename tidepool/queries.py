@@ -586,9 +586,37 @@ filled as (
 )
 
 
-def _capped(source: str, cap: float) -> str:
-    return f"""(select symbol, wm + case when sum(top - wm) over () > 0 then (1 - sum(wm) over ()) * (top - wm) / sum(top - wm) over () else 0 end as weight
-  from (select symbol, top, least(weight, top) as wm from (select *, greatest({cap}, 1.0::double / count(*) over ()) as top from {source})))"""
+def _capped(source: str, cap: float, key: str = "'all'") -> str:
+    """The multiple is looked for among those of every number of names at the cap: the least number after which nobody is over it."""
+    return f"""(
+  with base as (
+    select {key} as book, *, greatest({cap}, 1.0::double / count(*) over (partition by {key})) as most, row_number() over (partition by {key} order by weight desc, symbol) - 1 as k
+    from {source}),
+  tried as (select book, k, (1 - k * most) / (select sum(weight) from base y where y.book = x.book and y.k >= x.k) as m from base x where weight > 0),
+  fit as (
+    select book, arg_min(m, k) as m from tried t where not exists (select 1 from base where base.book = t.book and base.k >= t.k and weight * t.m > most) group by book)
+  select base.* replace (least(most, weight * m) as weight) from base join fit using (book))"""
+
+
+#: Correlation distances in one book a nation, gaps carried over.
+_NATION_DISTANCES = f"""{_MANY}, {_WEEKLY},
+grid as (select * from (select distinct week from weekly), (select distinct symbol from weekly)),
+filled as (
+  select split_part(symbol, '|', 2) as book_id, symbol, week as date,
+    last_value(close ignore nulls) over (partition by symbol order by week rows between unbounded preceding and current row) as close
+  from grid left join weekly using (symbol, week)),
+r0 as (select book_id, symbol, date, close / lag(close) over (partition by symbol order by date) - 1 as r from filled),
+recent as (select * from r0 where date in (select distinct date from r0 order by date desc limit 252)),
+kept as (select book_id, symbol from recent group by 1, 2 having count(r) >= 0.3 * (select count(distinct date) from recent)),
+many as (select book_id, count(*) as n from kept group by 1),
+good as (select recent.* from recent join kept using (book_id, symbol) where r is not null),
+full_ as (select book_id, date from good join many using (book_id) group by book_id, date having count(*) = any_value(many.n)),
+x as materialized (select book_id, symbol, date, r - avg(r) over (partition by book_id, symbol) as x from good join full_ using (book_id, date)),
+p as (
+  select book_id, a.symbol as si, b.symbol as sj,
+    case when sum(a.x * a.x) > 0 and sum(b.x * b.x) > 0 then sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) else 0 end as corr
+  from x a join x b using (book_id, date) where a.symbol < b.symbol group by 1, 2, 3),
+d as (select book_id, si, sj, sqrt(greatest(0.0::double, 0.5::double * (1 - corr))) as dist from p)"""
 
 
 def _rows(expression: str, n: int) -> str:
@@ -631,15 +659,23 @@ v as (select as_of, symbol, case when var_samp(r) > 0 then 1 / var_samp(r) else
 w0 as (select as_of, symbol, case when sum(i) over (partition by as_of) > 0 then i / sum(i) over (partition by as_of) else 1.0::double / count(*) over (partition by as_of) end as weight from v),
 w1 as (select *, row_number() over (partition by as_of order by weight desc, symbol) as k from w0 where weight > 1e-9),
 w2 as (select as_of, symbol, weight / sum(weight) over (partition by as_of) as weight from w1 where k <= 10),
-w3 as (select *, greatest(0.12, 1.0::double / count(*) over (partition by as_of)) as top from w2),
-w4 as (select *, least(weight, top) as wm from w3),
-w5 as (
-  select as_of, symbol, wm + case when sum(top - wm) over b > 0 then (1 - sum(wm) over b) * (top - wm) / sum(top - wm) over b else 0 end as weight
-  from w4 window b as (partition by as_of)),
+w5 as {_capped("w2", 0.12, "as_of")},
 px as (select as_of, symbol, arg_max(close, week) as price from rb join weekly on week <= as_of group by 1, 2),
 w6 as (select as_of, symbol, price, weight / sum(weight) over (partition by as_of) as weight from w5 join px using (as_of, symbol))
 select 'all' as book_id, as_of, symbol, round(price, 6) as price, round(weight, 6) as weight, cast(floor(100000.0::double * weight / price) as bigint) as units,
   round(floor(100000.0::double * weight / price) * price, 6) as value from w6""",
+    "leaf_order": f"""with recursive {_NATION_DISTANCES},
+edges as materialized (select *, row_number() over (partition by book_id order by dist, si, sj) as k from d),
+trees as (
+  select book_id, 0::bigint as k, list([symbol]) as parts from (select distinct book_id, symbol from x) group by 1
+  union all
+  select book_id, k, case when list_contains(u, sj) then parts
+    else list_append(list_filter(parts, lambda y: not list_contains(y, si) and not list_contains(y, sj)), case when list_min(u) < list_min(v) then u || v else v || u end) end
+  from (
+    select t.book_id, t.parts, e.k, e.si, e.sj, list_filter(t.parts, lambda y: list_contains(y, e.si))[1] as u, list_filter(t.parts, lambda y: list_contains(y, e.sj))[1] as v
+    from trees t join edges e on e.book_id = t.book_id and e.k = t.k + 1)),
+order_ as (select book_id, arg_max(parts, k)[1] as leaves from trees group by 1)
+select book_id, unnest(leaves) as symbol, cast(generate_subscripts(leaves, 1) - 1 as integer) as pos from order_""",
     "hrp_in_order": f"""with recursive {_PAIRS[5:]},
 nm as (select si as name, row_number() over (order by si) - 1 as k, cov as v from p where si = sj),
 f as (select si, sj, cov from p union all select sj, si, cov from p where si < sj),
