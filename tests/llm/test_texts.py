@@ -134,6 +134,75 @@ def plain_ngrams(text):
     return [(h * m) >> np.uint32(18) for h, m in ((one, np.uint32(0xC2B2AE3D)), (two, np.uint32(0x9E3779B1)), (three, np.uint32(0x85EBCA77)))]
 
 
+def plain_tf_idf(text, df, many):
+    """Weights by hashed n-gram, one n-gram at a time in whole numbers."""
+    low, counts, codes = (1 << 32) - 1, {}, [ord(c) for c in text.lower()]
+    one = [(c + 1) * 0x9E3779B1 & low for c in codes]
+    for i in range(len(codes)):
+        two = three = None
+        if i + 1 < len(codes):
+            two = ((one[i] ^ one[i + 1] >> 15) * 0x85EBCA77 + one[i + 1]) & low
+        if i + 2 < len(codes):
+            three = ((two ^ one[i + 2] >> 13) * 0xC2B2AE3D + one[i + 2]) & low
+        for h, m in ((one[i], 0xC2B2AE3D), (two, 0x9E3779B1), (three, 0x85EBCA77)):
+            if h is not None:
+                at = (h * m & low) >> 18
+                counts[at] = counts.get(at, 0) + 1
+    if df is None:
+        return set(counts)
+    x = {at: math.log(1 + n) * (math.log((1 + many) / (1 + df.get(at, 0))) + 1) for at, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
+    return {at: v / norm for at, v in x.items()}
+
+
+def plain_ftrl(rows, langs, epochs, alpha=1.0, beta=1.0, l1=0.002, l2=0.0005):
+    """A function that gives a weight by feature (None: the bias) and language, learned one weight at a time."""
+    z, n = {}, {}
+
+    def weight(key):
+        zi = z.get(key, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(n.get(key, 0.0))) / alpha + l2)
+
+    for x, lang in rows * epochs:
+        x = {**x, None: 1.0}
+        w = {(at, k): weight((at, k)) for at in x for k in langs}
+        logit = {k: sum(v * w[at, k] for at, v in x.items()) for k in langs}
+        most = max(logit.values())
+        total = sum(math.exp(v - most) for v in logit.values())
+        for k in langs:
+            slope = math.exp(logit[k] - most) / total - (k == lang)
+            for at, v in x.items():
+                g, key = v * slope, (at, k)
+                z[key] = z.get(key, 0.0) + g - (math.sqrt(n.get(key, 0.0) + g * g) - math.sqrt(n.get(key, 0.0))) / alpha * w[key]
+                n[key] = n.get(key, 0.0) + g * g
+    return weight
+
+
+def test_language_model_equals_a_plain_one(spark):
+    rows = sorted(sentences(60, seed=3))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    folds = {r.doc_id: r.f for r in frame.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).alias("f")).collect()}
+    model = fit_language_model(frame, shards=1, epochs=2)
+    langs, df = sorted({lang for *_, lang in rows}), {}
+    for _, text, _ in rows:
+        for at in plain_tf_idf(text, None, None):
+            df[at] = df.get(at, 0) + 1
+    vectors = {i: plain_tf_idf(text, df, len(rows)) for i, text, _ in rows}
+    weight = plain_ftrl([(vectors[i], lang) for i, _, lang in rows if folds[i]], langs, 2)
+    want = np.array([[weight((at, k)) for k in langs] for at in [*range(1 << 14), None]])
+    assert model.langs == langs and np.count_nonzero(want) > 100 and np.abs(model.weights - want).max() < 1e-9
+    held = [(np.array([sum(v * weight((at, k)) for at, v in {**vectors[i], None: 1.0}.items()) for k in langs]), langs.index(lang)) for i, _, lang in rows if not folds[i]]
+
+    def loss(t):
+        return sum(np.log(np.exp(z / t - (z / t).max()).sum()) + (z / t).max() - z[y] / t for z, y in held) / len(held)
+
+    assert len(held) > 3 and all(loss(model.temperature) <= loss(t) + 1e-6 for t in np.geomspace(0.02, 20, 200))
+    for i, text, _ in rows:
+        z = np.array([sum(v * weight((at, k)) for at, v in {**vectors[i], None: 1.0}.items()) for k in langs]) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert model.predict(text) == (langs[int(p.argmax())], pytest.approx(float(p.max()), abs=1e-9))
+
+
 def test_language_filter_and_empty_table(spark):
     df = spark.createDataFrame(sentences() + [(1000, None, "aa"), (1001, "42", "bb")], "doc_id long, text string, lang string")
     model = fit_language_model(training_rows(df))
