@@ -415,6 +415,46 @@ def test_terms_are_counted_by_document(spark):
     assert any(" vile".startswith(t.rstrip()) for t in got.terms) and not any(t.startswith(" alph") for t in got.terms)
 
 
+def test_scores_equal_a_plain_fit(spark):
+    """Terms by counting each in every text, matches by looking for each everywhere, and coefficients at which the penalised loss is flat."""
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "trash", "can", "omega"]
+    rows = []
+    for i in range(400):
+        bad = rng.random() < 0.4
+        w = rng.choices(words, k=rng.randrange(5, 40)) + bad * rng.choices(["vile", "v1lest", "Rotten", "alpha"], k=2) + (rng.random() < 0.1) * ["rotten"]
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(bad)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = fit_lexicon(frame)
+    held = {r.doc_id for r in frame.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(4)) == 0).collect()}
+    learned = [(f" {' '.join(fold(t).split())} ".replace(" ", "  "), y) for i, t, y in rows if i not in held]
+    toxic, clean = sum(y for _, y in learned), sum(1 - y for _, y in learned)
+    every = {x for t, _ in learned for w in t.split() for x in [f" {w} ", *(f" {w[:n]}" for n in range(4, min(12, len(w)) + 1))]}
+    odds = {}
+    for x in every:
+        a, b = (sum(x in t for t, y in learned if y == k) for k in (1, 0))
+        plain = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
+        if a >= 5 and plain >= 1.5 and plain - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= 1.5:
+            odds[x] = plain - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    kept = {}
+    for x in sorted(odds, key=lambda x: (len(x.strip()), x)):
+        begun = [kept[y] for y in kept if y != x and not y.endswith(" ") and x.startswith(y)]
+        if not begun or odds[x] > max(begun) + 1:
+            kept[x] = odds[x]
+    assert kept and got.terms == pytest.approx(kept)
+    c, slope = got.coefficients, np.zeros(3)
+    for i, t, y in rows:
+        if i in held:
+            x = np.array([1.0, *plain_features(fold(t), got)])
+            slope += x * (1 / (1 + math.exp(-x @ c)) - y)
+    # a coefficient held at 0 leaves the others where all three were best, so only a fit with none held is flat
+    assert min(c[1:]) > 0 and np.abs(slope + 0.1 * c).max() < 1e-6
+    for r, (_, t, _) in zip(score_toxicity(frame, got).orderBy("doc_id").collect(), rows):
+        z = c @ np.array([1.0, *plain_features(fold(t), got)])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z))) and r.predicted == (r.score >= 0.7)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
