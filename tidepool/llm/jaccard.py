@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.arrow import by_key, slices, whole_groups
-from tidepool.llm.components import connected_components
+from tidepool.llm.components import connected_components, joined_components
 from tidepool.llm.shared import Scratch, fresh_names, near, shuffle_partitions
 from tidepool.llm.shingles import mix, shingles
 
@@ -486,16 +486,16 @@ def _linked_classes(docs: DataFrame, scratch: Scratch, fingerprint_bits: int) ->
     stars = scratch.save(stars.where("src <> dst").distinct(), "stars")
     links = scratch.save(_verify(stars, sets), "links")
     cheap = shared.select("node", "view", F.explode(F.array_distinct("pivots")).alias("key"))
+    roots = scratch.save(connected_components(links, scratch, "stars"), "roots")
     for k in range(THIN_ROUNDS):
-        roots = scratch.save(connected_components(links, scratch, f"thin{k}"), f"roots{k}")
         more = _verify(_candidates(cheap, roots, sets, BEST, scratch, f"thin{k}"), sets)
         links = scratch.save(links.unionByName(more), f"links{k}")
-    roots = scratch.save(connected_components(links, scratch, "most"), "roots")
+        roots = joined_components(roots, links, scratch, f"joined{k}")
     rarest = shared.select("node", "view", F.explode(F.array_distinct("rarest")).alias("key"))
     more = scratch.save(_verify(_candidates(rarest, roots, sets, 0, scratch, "all"), sets), "more")
     scratch.drop("sets", "all-members", "all-mixed", "all-pairs", "pivots", "shared", "wanted")
 
-    roots = connected_components(links.unionByName(more), scratch, "last")
+    roots = joined_components(roots, more, scratch, "last")
     own = classes.select("node", F.struct("first.doc_id", "first.version").alias("own"))
     leaders = roots.join(own, "node").groupBy("root").agg(F.min("own").alias("leader"))
     leader = roots.join(leaders, "root").select("node", "leader")
